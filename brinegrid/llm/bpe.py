@@ -6,7 +6,7 @@ changed since are skipped. Decoding concatenates vocabulary strings with a space
 decoder does. Special tokens' strings in a text are those tokens.
 
 Defined cases: null text is empty and has no ids; a symbol outside the vocabulary is dropped, as there is no unknown
-token; rows are independent, so ties and repeated rows need no rule; an empty table gives an empty result.
+token; letters are those of the regex module's Unicode tables; rows are independent, so ties and repeated rows need no rule; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +49,8 @@ class Bpe:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.specials.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.word = regex.compile(pattern)
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 

@@ -21,10 +21,14 @@ WORDS = 5
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
+#: An empty bin tries so many bins one by one; the first full one on the rest of its order is found by rank.
+PROBES = 8
+_steps = [(i * 37 + 11) % 64 * 2 + 1 for i in range(BINS)]
 
 
 def _shingles(text: Column, words: int = WORDS) -> Column:
-    split = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    # a single plain space is split on without a regular expression
+    split = F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " "), "")
 
     def of(h: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(0), F.size(h) - words), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(words)]))
@@ -36,25 +40,30 @@ def _shingles(text: Column, words: int = WORDS) -> Column:
 def fingerprint(text: Column) -> Column:
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
     low = (1 << LOW_BITS) - 1
+    steps, turns, shifts = F.lit(_steps), F.lit([pow(s, -1, BINS) for s in _steps]), F.lit([(i * 73 + 29) % BINS for i in range(BINS)])
 
     def minima(hashes: Column) -> Column:
         return F.filter(hashes, lambda x, i: F.coalesce(bin_of(x) != bin_of(F.get(hashes, i - 1)), F.lit(True)))
 
-    def packed(full: Column) -> Column:
-        """full: the smallest hash of each bin that has one."""
-        bins = F.transform(full, bin_of)
+    def packed(full: Column, table: Column) -> Column:
+        """full: the smallest hash of each bin that has one; table: the same by bin."""
 
         def value(i: Column) -> Column:
-            turn, shift = (i * 37 + 11) % 64 * 2 + 1, (i * 73 + 29) % BINS
+            # bin i probes (t * step - shift) mod BINS for t = 0, 1, ...; `turn` undoes `step`
+            step, turn, shift = F.get(steps, i), F.get(turns, i), F.get(shifts, i)
+            tried = [F.get(table, (step * t - shift).bitwiseAND(BINS - 1)) for t in range(PROBES)]
             rank = lambda x: ((bin_of(x) + shift) * turn).bitwiseAND(F.lit(BINS - 1).cast("bigint"))
-            donor = F.array_min(F.transform(full, lambda x: rank(x) * (low + 1) + x.bitwiseAND(F.lit(low).cast("bigint"))))
-            own = F.get(full, (F.array_position(bins, i.cast("bigint")) - 1).cast("int"))
-            return F.coalesce(own, donor).bitwiseAND(F.lit(low).cast("bigint"))
+            rest = F.array_min(F.transform(full, lambda x: rank(x) * (low + 1) + x.bitwiseAND(F.lit(low).cast("bigint"))))
+            return F.coalesce(F.get(table, i), *tried, rest).bitwiseAND(F.lit(low).cast("bigint"))
 
         every = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.lpad(F.lower(F.hex(value(i))), LOW_BITS // 4, "0"))
         return F.when(F.size(full) > 0, F.array_join(every, "")).otherwise(F.lit(""))
 
-    return bind(bind(F.sort_array(_shingles(F.coalesce(text, F.lit("")))), minima), packed)
+    def tabled(full: Column) -> Column:
+        at = lambda bins: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(full, (F.array_position(bins, i.cast("bigint")) - 1).cast("int")))
+        return bind(bind(F.transform(full, bin_of), at), lambda table: packed(full, table))
+
+    return bind(bind(F.sort_array(_shingles(F.coalesce(text, F.lit("")))), minima), tabled)
 
 
 def likeness(a: Column, b: Column) -> Column:

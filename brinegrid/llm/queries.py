@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import fingerprints as fp
 from . import line_dedup as ld
 
 
+def vocabulary_text(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, read by the driver; it is of fixed size."""
+    return Path(public_tokenizers.path(name)).read_text()
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -18,12 +27,19 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    made = bpe.encode(_documents(spark, sf_dir), vocabulary or vocabulary_text())
+    return made.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ld.dedup_lines(_documents(spark, sf_dir))
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op9_line_dedup)}
 
 SQL = {
     "op9_line_dedup": """
