@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import fingerprints as fp
+from . import langid
 from . import line_dedup as ld
+from . import quality
+from .scratch import fold
 
 
 def vocabulary_text(name: str = "word_bpe_49k.json") -> str:
@@ -34,12 +37,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    made = quality.classify(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return made.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "lang")
+    filters = langid.fit(docs, fold("id", 3) != 1, "text", "lang")
+    made = langid.identify(docs.select("id", "text"), filters)
+    return made.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ld.dedup_lines(_documents(spark, sf_dir))
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op6_quality, op7_language, op9_line_dedup)}
 
 SQL = {
     "op9_line_dedup": """
