@@ -12,7 +12,7 @@ from . import bpe
 from . import fingerprints as fp
 from . import langid
 from . import line_dedup as ld
-from . import quality
+from . import minhash, quality
 from .scratch import fold
 
 
@@ -50,14 +50,30 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = minhash.near_duplicates(_documents(spark, sf_dir))
+    return made.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = ld.dedup_lines(_documents(spark, sf_dir))
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op6_quality, op7_language, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup)}
 
 SQL = {
+    "op8_near_duplicates": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] END AS sh
+  FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 2, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 85 * (x.n + y.n - both_n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS reached FROM w UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+SELECT c.id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, c.id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.id""",
     "op9_line_dedup": """
 WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
