@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: The bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -23,7 +23,7 @@ _random = np.random.default_rng(20240501)
 BYTE_CODE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WORD_CODE = np.where(IS_SPACE, np.uint64(0), BYTE_CODE)
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+SECOND_BASE = 0xD1342543DE82EF95
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -91,11 +91,11 @@ class Words:
 class Spans:
     """Fingerprints of any stretch of a sequence of 64-bit codes, from one running sum modulo 2**64."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, base: int = BASE):
         n = len(codes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, n), out=self.sums[1:])
-        self.back = powers(INVERSE, n + 1)
+        np.cumsum(codes * powers(base, n), out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), n + 1)
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.back[start]

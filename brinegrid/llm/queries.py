@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, debruijn
 from . import fingerprints as fp
 from . import langid
 from . import line_dedup as ld
-from . import minhash, quality
+from . import minhash, quality, suffix_dedup
 from .scratch import fold
 
 
@@ -30,6 +30,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.dedup_bytes(_documents(spark, sf_dir))
+    return made.select(
+        F.col("id").alias("doc_id"), F.col("units").alias("n_bytes"), F.col("removed").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     made = bpe.encode(_documents(spark, sf_dir), vocabulary or vocabulary_text())
     return made.select(
@@ -37,6 +45,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = debruijn.dedup_words(_documents(spark, sf_dir))
+    return made.select(F.col("id").alias("doc_id"), F.col("units").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     made = quality.classify(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -60,9 +73,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op4_bpe, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op4_bpe, op5_substring_dedup, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup)}
 
 SQL = {
+    "op5_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(len(ws) - 34)) AS i, ws FROM d WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 35], ' ') AS win FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM h) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(35)) AS k)),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op8_near_duplicates": """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] END AS sh

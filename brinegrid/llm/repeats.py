@@ -1,0 +1,236 @@
+"""Which windows of a fixed length occur again in a corpus: the common part of suffix-array dedup and substring dedup.
+
+A sequence is a text's bytes or its words. The smallest hash among the grams of `gram` units inside a window names the
+window's anchor, which its content alone decides, so the windows of a text fall into intervals of one anchor each, and equal
+windows lie at equal offsets from equal anchors. Windows are decided an interval at a time:
+
+1. intervals whose gram occurs once are dropped;
+2. intervals whose whole stretch of text occurs again at the same offsets are repeated throughout;
+3. the rest are cut at offsets that are multiples of the next, smaller step, named by the longer part that all windows of
+   such a block share, and decided in the same way, down to single windows.
+
+Only names travel, reduced before every shuffle, so a group of copies of any size costs a row for each task; copies of
+one stretch are represented by one of them in later steps. Names are pairs of 64-bit fingerprints.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .kernels import BYTE_CODE, SECOND_BASE, Spans, Texts, Words, mix, slices
+from .scratch import bucketed, materialise, row_key
+
+
+@dataclass(frozen=True)
+class Plan:
+    """window: units of a window; gram: units of an anchor; steps: windows in a block, falling to 1."""
+
+    kind: str
+    window: int
+    gram: int
+    steps: tuple[int, ...]
+
+    def sequence(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, offsets) of the units of some texts end to end."""
+        if self.kind == "bytes":
+            return BYTE_CODE[texts.bytes], texts.offsets
+        words = Words(texts)
+        return words.hashes, words.offsets
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every `width` successive values."""
+    n = len(x) - width + 1
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    rows = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
+def salted(name: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    for x in more:
+        name = mix(name) + x.astype(np.uint64)
+    return mix(name)
+
+
+def intervals(plan: Plan, codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The intervals of windows of one anchor: text, first window i, number n, offset o of the first, names g and r."""
+    size, none = plan.window, {k: np.zeros(0, np.int64) for k in ("text", "i", "n", "o", "g", "r")}
+    if len(codes) < size:
+        return none
+    spans = Spans(codes)
+    at = np.arange(len(codes) - plan.gram + 1)
+    gram = mix(spans.at(at, at + plan.gram))
+    bits = np.uint64(24 if len(codes) < 1 << 24 else 40)
+    key = sliding_min((gram >> bits << bits) | at.astype(np.uint64), size - plan.gram + 1)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(key)]
+    whole = np.flatnonzero(np.arange(len(key)) + size <= offsets[1:][text])
+    if not len(whole):
+        return none
+    anchor = (key[whole] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    new = np.ones(len(whole), bool)
+    new[1:] = (np.diff(whole) != 1) | (np.diff(anchor) != 0)
+    first = np.flatnonzero(new)
+    i, a, n = whole[first], anchor[first], np.diff(np.append(first, len(whole)))
+    r = salted(spans.at(i, i + n - 1 + size), a - i, n)
+    return {"text": text[i], "i": i - offsets[text[i]], "n": n, "o": a - i, "g": gram[a].view(np.int64), "r": r.view(np.int64)}
+
+
+def blocks(plan: Plan, step: int, codes: np.ndarray, asked: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The blocks of `step` offsets of some intervals (i counted from the start of `codes`)."""
+    spans, size = Spans(codes), plan.window
+    top, low = asked["o"] // step, (asked["o"] - asked["n"] + 1) // step
+    many = top - low + 1
+    of = np.repeat(np.arange(len(many)), many)
+    b = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    last, first = np.minimum(asked["o"][of], b * step + step - 1), np.maximum((asked["o"] - asked["n"] + 1)[of], b * step)
+    anchor = (asked["i"] + asked["o"])[of]
+    i, n = anchor - last, last - first + 1
+    if step == 1:
+        # a window is named by the pair of its halves' names, as ranks are doubled
+        half = size // 2
+        g = salted(spans.at(i, i + half), mix(spans.at(i + half, i + size)))
+        r = mix(Spans(codes, SECOND_BASE).at(i, i + size))
+    else:
+        g = salted(spans.at(anchor - b * step, anchor - b * step - step + 1 + size), b)
+        r = salted(spans.at(i, i + n - 1 + size), last, n)
+    return {"of": of, "i": i, "n": n, "o": last, "g": g.view(np.int64), "r": r.view(np.int64)}
+
+
+NAMES = "g bigint, r bigint, rid bigint, i int, n int, o int, need boolean"
+
+
+def _rows(found: dict[str, np.ndarray], rid: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+    narrow = [pa.array(found[k].astype(np.int32)) for k in ("i", "n", "o")]
+    return pa.RecordBatch.from_arrays([pa.array(found["g"]), pa.array(found["r"]), pa.array(rid), *narrow, pa.array(need)], ["g", "r", "rid", "i", "n", "o", "need"])
+
+
+def _name_intervals(plan: Plan) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                found = intervals(plan, *plan.sequence(Texts(part.column("text"))))
+                yield _rows(found, part.column("rid").to_numpy()[found["text"]], np.ones(len(found["i"]), bool))
+
+    return run
+
+
+def _asked(part: pa.RecordBatch, column: str, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The lists of a column of arrays of structs, flat, with the text of each and i moved to the flat sequence."""
+    lists = part.column(column)
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    got = {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+    text = np.repeat(np.arange(len(lists)), np.diff(ends))
+    return {k: v.astype(np.int64) if k != "need" else v for k, v in got.items()} | {"text": text, "i": got["i"].astype(np.int64) + offsets[text]}
+
+
+def _name_blocks(plan: Plan, step: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                codes, offsets = plan.sequence(Texts(part.column("text")))
+                asked = _asked(part, "asked", offsets)
+                found = blocks(plan, step, codes, asked)
+                text = asked["text"][found["of"]]
+                found["i"] = found["i"] - offsets[text]
+                yield _rows(found, part.column("rid").to_numpy()[text], asked["need"][found["of"]])
+
+    return run
+
+
+def _decide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of named rows: those that occur again throughout, and a row for each stretch of the groups still open."""
+    groups = rows.groupBy("g").agg(F.count("*").alias("c"), F.max("need").alias("wanted"), F.min("r").alias("low"), F.max("r").alias("high"))
+    groups = groups.filter("c > 1 and wanted").select("g", (F.col("low") != F.col("high")).alias("mixed"))
+    hit = materialise(rows.join(groups, "g"), "shared")
+    plain = hit.filter("need and not mixed").select("rid", "i", "n")
+    mixed = hit.filter("mixed")
+    stretches = mixed.groupBy("g", "r").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.min(F.struct("rid", "i", "n", "o")).alias("one"))
+    stretches = materialise(stretches, "stretches")
+    again = mixed.filter("need").join(stretches.filter("c > 1 and need").select("g", "r"), ["g", "r"]).select("rid", "i", "n")
+    open_groups = stretches.groupBy("g").agg(F.max(F.expr("c = 1 and need")).alias("open")).filter("open").select("g")
+    rest = stretches.join(open_groups, "g").select("one.*", F.expr("c = 1 and need").alias("need"))
+    return plain.unionByName(again), rest
+
+
+def repeated(docs: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """(texts, found): the documents by key (rid, text, id), and the runs of n windows from i on that occur again (rid, i, n)."""
+    texts = bucketed(docs, "rid", f"texts_{plan.kind}")
+    named = materialise(docs.select("rid", "text").mapInArrow(_name_intervals(plan), NAMES), "intervals")
+    found, rest = _decide(named)
+    every = [found]
+    for step in plan.steps:
+        asked = rest.groupBy("rid").agg(F.collect_list(F.struct("i", "n", "o", "need")).alias("asked"))
+        put = texts.select("rid", "text").join(asked, "rid")
+        named = materialise(put.mapInArrow(_name_blocks(plan, step), NAMES), f"blocks{step}")
+        found, rest = _decide(named)
+        every.append(found)
+    return texts, reduce(DataFrame.unionByName, every)
+
+
+def _cut(plan: Plan) -> Callable:
+    """Texts without the units of their repeated windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                texts = Texts(part.column("text"))
+                words = Words(texts) if plan.kind == "words" else None
+                offsets = words.offsets if words else texts.offsets
+                total, n = int(offsets[-1]), len(texts)
+                asked = _asked(part, "windows", offsets)
+                steps = np.bincount(asked["i"], minlength=total + 1) - np.bincount(asked["i"] + asked["n"] - 1 + plan.window, minlength=total + 1)
+                gone = np.cumsum(steps[:total]) > 0
+                text = np.repeat(np.arange(n), np.diff(offsets))
+                first, last = gone.copy(), gone.copy()
+                first[1:] &= ~(gone[:-1] & (text[1:] == text[:-1]))
+                last[:-1] &= ~(gone[1:] & (text[1:] == text[:-1]))
+                starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+                of = text[starts] if len(starts) else np.zeros(0, np.int64)
+                per = np.append(0, np.cumsum(np.bincount(of, minlength=n))).astype(np.int32)
+                fields = [pa.array(starts - offsets[of]), pa.array(ends - offsets[of])]
+                spans = pa.ListArray.from_arrays(per, pa.StructArray.from_arrays(fields, ["start", "end"]))
+                kept = _kept_words(texts, words, ~gone) if words else _kept_bytes(texts, ~gone)
+                columns = [part.column("id"), part.column("rid"), pa.array(np.diff(offsets)), pa.array(np.bincount(text[gone], minlength=n)), spans, pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "units", "removed", "spans", "kept"])
+
+    return run
+
+
+def _kept_bytes(texts: Texts, keep: np.ndarray) -> list[bytes]:
+    at = np.append(0, np.cumsum(keep))[texts.offsets]
+    data = texts.bytes[keep].tobytes()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _kept_words(texts: Texts, words: Words, keep: np.ndarray) -> list[bytes]:
+    """The kept words of each text joined by one space."""
+    starts, sizes = words.starts[keep], (words.ends - words.starts)[keep] + 1
+    ends = np.cumsum(sizes)
+    take = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+    data = np.append(texts.bytes, np.uint8(32))[take]
+    data[ends - 1] = 32
+    at = np.append(0, ends)[np.append(0, np.cumsum(keep))[words.offsets]]
+    data = data.tobytes()
+    return [data[a : max(a, b - 1)] for a, b in zip(at, at[1:], strict=False)]
+
+
+def cut_repeats(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
+    """(id, rid, units, removed, spans, kept) of every document; spans count units, kept holds the rest as UTF-8."""
+    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.coalesce(text_col, F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts, found = repeated(rows, plan)
+    windows = found.groupBy("rid").agg(F.collect_list(F.struct("i", "n")).alias("windows"))
+    none = F.array().cast("array<struct<i: int, n: int>>")
+    put = texts.join(windows, "rid", "left").select("id", "rid", "text", F.coalesce("windows", none).alias("windows"))
+    return put.mapInArrow(_cut(plan), f"id {kind}, rid bigint, units bigint, removed bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
