@@ -12,7 +12,7 @@ from . import bpe, debruijn
 from . import fingerprints as fp
 from . import langid
 from . import line_dedup as ld
-from . import minhash, quality, suffix_dedup
+from . import maxent, minhash, quality, suffix_dedup
 from .scratch import fold
 
 
@@ -73,7 +73,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op4_bpe, op5_substring_dedup, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = maxent.score(_documents(spark, sf_dir), fold("id", 10) != 0)
+    return made.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op4_bpe, op5_substring_dedup, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup, op10_lm_score)}
 
 SQL = {
     "op5_substring_dedup": """
