@@ -21,7 +21,6 @@ LOWER[65:91] += 32
 
 _random = np.random.default_rng(20240501)
 BYTE_CODE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WORD_CODE = np.where(IS_SPACE, np.uint64(0), BYTE_CODE)
 BASE = 0x9E3779B97F4A7C15
 SECOND_BASE = 0xD1342543DE82EF95
 
@@ -63,9 +62,10 @@ class Texts:
 class Words:
     """The words of some texts: first byte, end, text and a 64-bit hash of each; `offsets` as in Texts, in words."""
 
-    def __init__(self, texts: Texts, lower: bool = False):
+    def __init__(self, texts: Texts, lower: bool = False, parts: np.ndarray = IS_SPACE):
+        """parts: for each byte, whether it parts words."""
         data = LOWER[texts.bytes] if lower else texts.bytes
-        solid = ~IS_SPACE[data]
+        solid = ~parts[data]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         heads = texts.offsets[:-1][np.diff(texts.offsets) > 0]
@@ -75,7 +75,7 @@ class Words:
         if n:
             gaps = np.diff(np.append(self.starts, len(data)))
             place = np.arange(self.starts[0], len(data)) - np.repeat(self.starts, gaps)
-            code = WORD_CODE[data[self.starts[0] :]] * powers(BASE, int(gaps.max()))[place]
+            code = np.where(parts, np.uint64(0), BYTE_CODE)[data[self.starts[0] :]] * powers(BASE, int(gaps.max()))[place]
             self.hashes = mix(np.add.reduceat(code, self.starts - self.starts[0]))
         else:
             self.hashes = np.zeros(0, np.uint64)

@@ -1,21 +1,23 @@
 """Near-duplicates by b-bit MinHash: packed low bits of 256 minima, candidates from bands, links confirmed on full sets.
 
-A document's set holds its distinct three-word runs (A-Z lowered). Documents of one set form a class, kept by one
-representative. Sixteen bands of four minima name buckets; in each bucket its smallest member is paired with the others.
+A document's set holds its distinct runs of three words (A-Z lowered). The words of a run, `words`, and the
+threshold `percent` are parameters. Documents of one set form a class, kept by one
+representative. Bands of four minima name buckets, as many as leave a pair at the threshold unmet once in 100,000; in each bucket its smallest member is paired with the others.
 Pairs whose packed bits, corrected for chance agreement, may reach the threshold are compared on their full sets, and
 components are formed. Where a bucket still holds several components, members of different ones are paired in the same
 way, so that no link between components is lost; pairs inside a component need no more proof.
 
-A pair of the threshold's similarity shares no bucket with probability (1 - 0.85**4)**16 = 7e-6, and fails the bit estimate, which
-is set four standard deviations low, with 3e-5.
+The bit estimate is held against the threshold less four of its standard deviations, which a pair at the threshold fails
+with probability 3e-5.
 
-Defined cases: null text and text without words have empty sets and are linked with nothing; a text of one or two words has
+Defined cases: null text and text without words have empty sets and are linked with nothing; a text of fewer words than a run has
 its whole sequence as one run; rows that share id and text are one document; a null id names no component, its document's is
 that of the others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,11 @@ from .scratch import materialise, row_key
 
 WORDS = 3
 HASHES = 256
-BANDS, ROWS = 16, 4
+ROWS = 4
+MISSED = 1e-5
 B = 2
 PER_WORD = 64 // B
 PERCENT = 85
-#: Four standard deviations of the corrected estimate below the threshold.
-LEAST = 0.85 - 4 * 0.0263
 
 _rng = np.random.default_rng(90125)
 _turn = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -58,10 +59,22 @@ def pack(mins: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(PER_WORD, dtype=np.uint64) * np.uint64(B)), axis=2)
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(mins), BANDS)).copy()
+def bands_for(percent: int) -> int:
+    """The number of bands of ROWS minima that a pair at the threshold misses altogether with probability MISSED."""
+    return min(HASHES // ROWS, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** ROWS)))
+
+
+def least_estimate(percent: int) -> float:
+    """The threshold less four standard deviations of the corrected estimate."""
+    chance = 2.0**-B
+    agree = percent / 100 * (1 - chance) + chance
+    return percent / 100 - 4 * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
+
+
+def band_keys(mins: np.ndarray, bands: int) -> np.ndarray:
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(mins), bands)).copy()
     for k in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mins[:, k : BANDS * ROWS : ROWS])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mins[:, k : bands * ROWS : ROWS])
     return key
 
 
@@ -77,31 +90,34 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for part in slices(whole, "text"):
-            n_texts = part.num_rows
-            doc, h = distinct(*runs_of(Words(Texts(part.column("text")), lower=True), WORDS))
-            n = np.bincount(doc, minlength=n_texts)
-            starts = np.searchsorted(doc, np.flatnonzero(n))
-            sums = np.zeros((2, n_texts), np.uint64)
-            bits, bands = np.zeros((n_texts, HASHES // PER_WORD), np.uint64), np.zeros((n_texts, BANDS), np.uint64)
-            if len(starts):
-                full = n > 0
-                sums[0][full], sums[1][full] = np.add.reduceat(h, starts), np.add.reduceat(mix(h), starts)
-                mins = minima(h, starts)
-                bits[full], bands[full] = pack(mins), band_keys(mins)
-            columns = [part.column("id"), part.column("rid"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bits), _lists(bands)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "n", "s1", "s2", "bits", "bands"])
-
-
-def _confirm(percent: int):
+def _sketch(words: int, n_bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                n_texts = part.num_rows
+                doc, h = distinct(*runs_of(Words(Texts(part.column("text")), lower=True), words))
+                n = np.bincount(doc, minlength=n_texts)
+                starts = np.searchsorted(doc, np.flatnonzero(n))
+                sums = np.zeros((2, n_texts), np.uint64)
+                bits, bands = np.zeros((n_texts, HASHES // PER_WORD), np.uint64), np.zeros((n_texts, n_bands), np.uint64)
+                if len(starts):
+                    full = n > 0
+                    sums[0][full], sums[1][full] = np.add.reduceat(h, starts), np.add.reduceat(mix(h), starts)
+                    mins = minima(h, starts)
+                    bits[full], bands[full] = pack(mins), band_keys(mins, n_bands)
+                columns = [part.column("id"), part.column("rid"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bits), _lists(bands)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "n", "s1", "s2", "bits", "bands"])
+
+    return run
+
+
+def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole, "text_a"):
                 both = pa.concat_arrays([part.column("text_a"), part.column("text_b")])
                 m = part.num_rows
-                doc, h = distinct(*runs_of(Words(Texts(both), lower=True), WORDS))
+                doc, h = distinct(*runs_of(Words(Texts(both), lower=True), words))
                 at = np.searchsorted(doc, np.arange(2 * m + 1))
                 keep = np.zeros(m, bool)
                 for i in range(m):
@@ -128,18 +144,18 @@ def _estimate(a: Column, b: Column) -> Column:
 def _likely(percent: int) -> Column:
     """Whether a pair (n_a, bits_a, n_b, bits_b) can reach the threshold by size and does by its estimate."""
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return fits & (_estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST - (0.85 - percent / 100))
+    return fits & (_estimate(F.col("bits_a"), F.col("bits_b")) >= least_estimate(percent))
 
 
 def _named(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias({"rid": side, "key": "key"}.get(c, f"{c}_{side}")) for c in columns])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, rid, n_shingles, component_id) for every row of `docs`; rid is the row's key (scratch.row_key)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketch, f"id {kind}, rid bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, bands array<bigint>"), "sketches")
+    sketches = materialise(rows.mapInArrow(_sketch(words, bands_for(percent)), f"id {kind}, rid bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, bands array<bigint>"), "sketches")
     sets = ["n", "s1", "s2"]
     # exact copies are reduced before the shuffle, so a group of copies arrives as a row for each task
     classes = materialise(sketches.filter("n > 0").groupBy(sets).agg(F.min(F.struct("rid", "bits", "bands")).alias("r")).select(*sets, "r.*"), "classes")
@@ -150,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = classes.select("rid", "n", "bits")
     pairs = shared.filter("a != rid").select("a", F.col("rid").alias("b")).distinct()
     pairs = pairs.join(_named(light, "a", ["rid", "n", "bits"]), "a").join(_named(light, "b", ["rid", "n", "bits"]), "b").filter(_likely(percent)).select("a", "b")
-    links = _links(materialise(pairs, "pairs"), rows, percent)
+    links = _links(materialise(pairs, "pairs"), rows, words, percent)
     first = components(links)
 
     # buckets that hold several components: pairs across components, each in the first bucket that both share
@@ -162,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = lambda side: F.array_position(f"bands_{side}", F.col("key"))
     earlier = F.exists(F.zip_with(F.slice("bands_a", 1, (place("a") - 1).cast("int")), F.slice("bands_b", 1, (place("b") - 1).cast("int")), lambda p, q: p == q), lambda same: same)
     across = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _likely(percent) & ~earlier).select("a", "b").distinct()
-    more = _links(materialise(across, "across"), rows, percent)
+    more = _links(materialise(across, "across"), rows, words, percent)
     joined = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     of = classes.select(*sets, F.col("rid").alias("class")).join(joined.withColumnRenamed("id", "class"), "class", "left").select(*sets, F.coalesce("component", "class").alias("component"))
@@ -172,17 +188,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
     texts = materialise(rows.select("rid", "text").join(ends, "rid", "left_semi").dropDuplicates(["rid"]), "texts")
     put = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialise(put.mapInArrow(_confirm(percent), "a bigint, b bigint"), "confirmed")
+    return materialise(put.mapInArrow(_confirm(words, percent), "a bigint, b bigint"), "confirmed")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each group: of its smallest id, or the smallest key of rows without ids; rows without words all stay."""
-    found = near_duplicates(docs, id_col, text_col, percent).groupBy("rid").agg(F.first("id").alias("id"), F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    found = near_duplicates(docs, id_col, text_col, words, percent).groupBy("rid").agg(F.first("id").alias("id"), F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
     kept = found.filter(F.col("n").eqNullSafe(0) | F.col("id").eqNullSafe(F.col("c"))).select(F.col("rid").alias("__rid"))
     names = [f"`{c}`" for c in docs.columns]
     return docs.withColumn("__rid", row_key(id_col, text_col)).join(kept, "__rid", "left_semi").select(*names)

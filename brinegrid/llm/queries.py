@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn
+from . import bpe, debruijn, decontam
 from . import fingerprints as fp
 from . import langid
 from . import line_dedup as ld
@@ -38,6 +38,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decontam.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return made.select(F.col("id").alias("doc_id"), "item_id", "cosine", "subsequence", "answer", "start", "end")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     made = bpe.encode(_documents(spark, sf_dir), vocabulary or vocabulary_text())
     return made.select(
@@ -78,7 +83,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("id").alias("doc_id"), (fold("id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op4_bpe, op5_substring_dedup, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_decontamination, op4_bpe, op5_substring_dedup, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup, op10_lm_score)}
 
 SQL = {
     "op5_substring_dedup": """

@@ -3,26 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, decontam, minhash
 from . import line_dedup as ld
+from . import quality as nbsvm
+from .queries import vocabulary_text
+
+#: Near-duplicates of the corpus: runs of five words, similarity 0.8.
+RUN, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The documents that the classifier does not reject; it is fitted on labelled documents of its own input."""
+    scored = nbsvm.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), out="__score")
+    return scored.filter("__score >= 0.5").drop("__score")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines of windows that occurred before; n_chars follows the text."""
-    return ld.dedup_lines(docs, out="text", counts=False)
+    names = docs.columns
+    cut = ld.dedup_lines(docs, out="text", counts=False)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each group of near-duplicates, that of the smallest id."""
+    return minhash.keep_one(docs, words=RUN, percent=PERCENT)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Each document's token count, and digests of its ids and of the text that they decode to."""
+    made = bpe.encode(docs, vocabulary_text())
+    count = (F.octet_length("ids") / 4).cast("long")
+    return made.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
