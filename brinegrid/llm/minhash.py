@@ -2,9 +2,9 @@
 
 A document's set holds its distinct runs of three words (A-Z lowered). The words of a run, `words`, and the
 threshold `percent` are parameters. Documents of one set form a class, kept by one
-representative. Bands of four minima name buckets, as many as leave a pair at the threshold unmet once in 100,000; in each bucket its smallest member is paired with the others.
-Pairs whose packed bits, corrected for chance agreement, may reach the threshold are compared on their full sets, and
-components are formed. Where a bucket still holds several components, members of different ones are paired in the same
+representative. Bands of four minima name buckets, as many as leave a pair at the threshold unmet once in 100,000; in each bucket one member, the pivot, is paired with the others.
+Pairs whose packed bits, corrected for chance agreement, may reach the threshold (and whose parity bits do not rule it out)
+are compared on their full sets, and components are formed. Where a bucket still holds several components, members of different ones are paired in the same
 way, so that no link between components is lost; pairs inside a component need no more proof.
 
 The bit estimate is held against the threshold less four of its standard deviations, which a pair at the threshold fails
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Texts, Words, mix, runs_of, slices
-from .scratch import materialise, row_key
+from .scratch import bucketed, materialise, row_key
 
 WORDS = 3
 HASHES = 256
@@ -36,6 +37,7 @@ MISSED = 1e-5
 B = 2
 PER_WORD = 64 // B
 PERCENT = 85
+ODD_BITS = 512
 
 _rng = np.random.default_rng(90125)
 _turn = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -90,6 +92,13 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
+def odd_bits(doc: np.ndarray, h: np.ndarray, n_texts: int) -> np.ndarray:
+    """For each text ODD_BITS bits: whether an odd number of its set's hashes fall on a bit."""
+    place = doc * ODD_BITS + (h & np.uint64(ODD_BITS - 1)).astype(np.int64)
+    bits = (np.bincount(place, minlength=n_texts * ODD_BITS) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(n_texts, ODD_BITS), axis=1).view(np.uint64)
+
+
 def _sketch(words: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -100,13 +109,14 @@ def _sketch(words: int, n_bands: int):
                 starts = np.searchsorted(doc, np.flatnonzero(n))
                 sums = np.zeros((2, n_texts), np.uint64)
                 bits, bands = np.zeros((n_texts, HASHES // PER_WORD), np.uint64), np.zeros((n_texts, n_bands), np.uint64)
+                odd = odd_bits(doc, h, n_texts)
                 if len(starts):
                     full = n > 0
                     sums[0][full], sums[1][full] = np.add.reduceat(h, starts), np.add.reduceat(mix(h), starts)
                     mins = minima(h, starts)
                     bits[full], bands[full] = pack(mins), band_keys(mins, n_bands)
-                columns = [part.column("id"), part.column("rid"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bits), _lists(bands)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "n", "s1", "s2", "bits", "bands"])
+                columns = [part.column("id"), part.column("rid"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bits), _lists(odd), _lists(bands)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "n", "s1", "s2", "bits", "odd", "bands"])
 
     return run
 
@@ -142,8 +152,13 @@ def _estimate(a: Column, b: Column) -> Column:
 
 
 def _likely(percent: int) -> Column:
-    """Whether a pair (n_a, bits_a, n_b, bits_b) can reach the threshold by size and does by its estimate."""
+    """Whether a pair (n, bits and odd of a and b) can reach the threshold by size and odd bits, and does by its estimate.
+
+    The bits that differ are at most as many as the members that only one of two sets holds, so no link is lost by them.
+    """
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    apart = reduce(Column.__add__, [F.bit_count(F.get("odd_a", F.lit(w)).bitwiseXOR(F.get("odd_b", F.lit(w)))) for w in range(ODD_BITS // 64)])
+    fits = fits & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     return fits & (_estimate(F.col("bits_a"), F.col("bits_b")) >= least_estimate(percent))
 
 
@@ -155,30 +170,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, rid, n_shingles, component_id) for every row of `docs`; rid is the row's key (scratch.row_key)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketch(words, bands_for(percent)), f"id {kind}, rid bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, bands array<bigint>"), "sketches")
+    sketches = materialise(rows.mapInArrow(_sketch(words, bands_for(percent)), f"id {kind}, rid bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, odd array<bigint>, bands array<bigint>"), "sketches")
+    texts = bucketed(rows.select("rid", "text"), "rid", "texts_near")
     sets = ["n", "s1", "s2"]
     # exact copies are reduced before the shuffle, so a group of copies arrives as a row for each task
-    classes = materialise(sketches.filter("n > 0").groupBy(sets).agg(F.min(F.struct("rid", "bits", "bands")).alias("r")).select(*sets, "r.*"), "classes")
+    classes = materialise(sketches.filter("n > 0").groupBy(sets).agg(F.min(F.struct("rid", "bits", "odd", "bands")).alias("r")).select(*sets, "r.*"), "classes")
     entries = classes.select("rid", F.explode("bands").alias("key"))
-    pivots = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("rid").alias("a")).filter("size > 1").select("key", "a")
-    shared = materialise(entries.join(pivots, "key"), "buckets")
-
-    light = classes.select("rid", "n", "bits")
-    pairs = shared.filter("a != rid").select("a", F.col("rid").alias("b")).distinct()
-    pairs = pairs.join(_named(light, "a", ["rid", "n", "bits"]), "a").join(_named(light, "b", ["rid", "n", "bits"]), "b").filter(_likely(percent)).select("a", "b")
-    links = _links(materialise(pairs, "pairs"), rows, words, percent)
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialise(entries.join(sizes, "key"), "buckets")
+    # the pivot of a bucket is the member whose buckets are the fullest: of near copies, the one nearest to their origin
+    central = shared.groupBy("rid").agg(F.sum(F.log2("size")).alias("at"))
+    pivots = shared.select("rid", "key").join(central, "rid").groupBy("key").agg(F.max(F.struct("at", "rid")).alias("p")).select("key", F.col("p.rid").alias("a"))
+
+    columns = ["rid", "n", "bits", "odd"]
+    light = classes.select(*columns)
+    pairs = shared.select("rid", "key").join(pivots, "key").filter("a != rid").select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
+    pairs = pairs.join(_named(light, "a", columns), "a").join(_named(light, "b", columns), "b").filter(_likely(percent)).select("a", "b")
+    links = _links(materialise(pairs, "pairs"), texts, words, percent)
     first = components(links)
 
     # buckets that hold several components: pairs across components, each in the first bucket that both share
     member = shared.select("rid", "key").join(first.withColumnRenamed("id", "rid"), "rid", "left").select("rid", "key", F.coalesce("component", "rid").alias("c"))
     mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    left = materialise(member.join(mixed, "key").join(classes.select("rid", "n", "bits", "bands"), "rid"), "mixed")
-    columns = ["key", "rid", "c", "n", "bits", "bands"]
+    left = materialise(member.join(mixed, "key").join(classes.select(*columns, "bands"), "rid"), "mixed")
+    columns = ["key", "c", *columns, "bands"]
     x, y = _named(left, "a", columns), _named(left, "b", columns)
     place = lambda side: F.array_position(f"bands_{side}", F.col("key"))
     earlier = F.exists(F.zip_with(F.slice("bands_a", 1, (place("a") - 1).cast("int")), F.slice("bands_b", 1, (place("b") - 1).cast("int")), lambda p, q: p == q), lambda same: same)
     across = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _likely(percent) & ~earlier).select("a", "b").distinct()
-    more = _links(materialise(across, "across"), rows, words, percent)
+    more = _links(materialise(across, "across"), texts, words, percent)
     joined = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     of = classes.select(*sets, F.col("rid").alias("class")).join(joined.withColumnRenamed("id", "class"), "class", "left").select(*sets, F.coalesce("component", "class").alias("component"))
@@ -188,10 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select("id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    texts = materialise(rows.select("rid", "text").join(ends, "rid", "left_semi").dropDuplicates(["rid"]), "texts")
+    texts = materialise(texts.join(ends, "rid", "left_semi").dropDuplicates(["rid"]), "texts")
     put = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
     return materialise(put.mapInArrow(_confirm(words, percent), "a bigint, b bigint"), "confirmed")
 
