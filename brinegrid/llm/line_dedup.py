@@ -67,9 +67,10 @@ def dedup_lines(
         bind(_lines(F.col(text_col)), lambda x: bind(keep(x), lambda k: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(k)).alias("gone"), F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n").alias("text")))),
     )
     text = F.when(F.col("__done.gone") > 0, F.col("__done.text")).otherwise(F.col(text_col))
-    kept = [F.col(f"`{c}`") for c in names if c != out and not (counts and c in ("n_lines", "n_removed"))]
-    more = [F.col("__done.n").cast("long").alias("n_lines"), F.col("__done.gone").cast("long").alias("n_removed")] if counts else []
-    return done.select(*kept, *more, text.alias(out))
+    made = {"n_lines": F.col("__done.n").cast("long"), "n_removed": F.col("__done.gone").cast("long")} if counts else {}
+    made[out] = text
+    kept = [made.pop(c).alias(c) if c in made else F.col(f"`{c}`") for c in names]
+    return done.select(*kept, *[v.alias(c) for c, v in made.items()])
 
 
 def _upto(lines: Column) -> Column:
