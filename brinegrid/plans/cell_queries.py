@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cells as cl
 from ..functions import geo, tags
 from ..operators import lines, raster
-from .fixtures import Fixtures, sql, walk_sql
+from .fixtures import Fixtures, fixtures, sql, walk_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -16,7 +16,7 @@ SQL: dict[str, str] = {}
 
 def query(text: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures(spark, sf_dir))
         if text:
             SQL[f.__name__] = text
         return f

@@ -124,6 +124,14 @@ class Fixtures:
         return cut(out.fillna(False, ["land", "lane", "zone", "boundary"]))
 
 
+_made: dict[tuple[str, str], Fixtures] = {}
+
+
+def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
+    """The fixtures of some tables, one for each Spark application, so that all queries share the checkpointed layers."""
+    return _made.setdefault((spark.sparkContext.applicationId, sf_dir), Fixtures(spark, sf_dir))
+
+
 def walk_sql(source: str, keys: str) -> str:
     """The line walk over a table expression with x0, y0, x1, y1."""
     return f"""SELECT {keys}, i, CAST(CASE WHEN abs(dx) >= abs(dy) THEN x0 + sign(dx) * i ELSE x0 + sign(dx) * off END AS BIGINT) AS x,

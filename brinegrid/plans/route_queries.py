@@ -10,7 +10,7 @@ from ..functions import geo, tags
 from ..operators import corridor, lines, moves, passages, polyline, raster, search
 from ..operators.lineage import cut
 from . import cell_queries as cq
-from .fixtures import Fixtures, sql
+from .fixtures import Fixtures, fixtures, sql
 from .route import Attempt, Settings, route, searched
 
 QUERIES: dict = {}
@@ -19,7 +19,7 @@ SQL: dict[str, str] = {}
 
 def query(text: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures(spark, sf_dir))
         if text:
             SQL[f.__name__] = text
         return f

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..operators import raster
 from ..sources import bands, geojson
-from .fixtures import Fixtures, sql
+from .fixtures import Fixtures, fixtures, sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -18,7 +18,7 @@ SQL: dict[str, str] = {}
 
 def query(text: str):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(fixtures(spark, sf_dir))
         SQL[f.__name__] = text
         return f
 
