@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, Words, slices
-from .scratch import row_key
+from .scratch import materialise, row_key
 from .sums import summed
 
 BLOCK = 16
@@ -34,8 +34,10 @@ ITEMS = 256
 COSINE = 0.3
 VERBATIM, PARAPHRASE = 0.8, 0.6
 ANSWER = 5
-DIRECTIONS = 32
-SKETCH = 48
+#: Share of blocks above which a word is a stop word.
+COMMON = 0.05
+DIRECTIONS = 24
+SKETCH = 32
 #: The ASCII bytes that are neither letters nor digits part words here.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -50,26 +52,40 @@ def plain_words(column: pa.Array) -> Words:
 
 
 class Items:
-    """A block of the benchmark: words and size of each item, the vocabulary of all."""
+    """A block of the benchmark: the vocabulary of all its items, and each item's words as places in it."""
 
     def __init__(self, ids: list, texts: list[str]):
         words = plain_words(pa.array(texts, pa.string()))
         ends = words.offsets
         rows = [(i, words.hashes[a:b]) for i, a, b in zip(ids, ends, ends[1:], strict=False) if b > a]
         self.ids = [i for i, _ in rows]
-        self.words = [w for _, w in rows]
         self.vocabulary = np.unique(words.hashes)
-        self.places = [np.searchsorted(self.vocabulary, w) for w in self.words]
-        self.blocks = np.array([-(-len(w) // BLOCK) + 1 for w in self.words], np.int64)
+        self.places = [np.searchsorted(self.vocabulary, w) for _, w in rows]
+        self.blocks = np.array([-(-len(w) // BLOCK) + 1 for w in self.places], np.int64)
 
     def masks(self, k: int, start: int = 0) -> dict[int, int]:
-        """For each word of item k from `start` on, the bits of its places."""
+        """For each word of item k from `start` on, by its place in the vocabulary, the bits of its positions."""
         out: dict[int, int] = {}
-        for place, w in enumerate(self.words[k][start:].tolist()):
-            out[w] = out.get(w, 0) | 1 << place
+        for position, w in enumerate(self.places[k][start:].tolist()):
+            out[w] = out.get(w, 0) | 1 << position
         return out
 
 
+def _coded(vocabulary: np.ndarray) -> Callable:
+    """Each text as the places of its words in the vocabulary, -1 for other words: words are cut and looked up once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                words = plain_words(part.column("text"))
+                at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
+                data = np.where(vocabulary[at] == words.hashes, at, -1).astype("<i4").tobytes()
+                packed = [data[4 * a : 4 * b] for a, b in zip(words.offsets, words.offsets[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rid"), pa.array(packed, pa.binary())], ["id", "rid", "places"])
+
+    return run
+
+
 def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
     """Length of the longest common subsequence, a bit for each place of the first sequence."""
     full = (1 << size) - 1
@@ -82,58 +98,76 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
 
 
 class Blocks:
-    """The blocks of a slice of texts, and the places in the vocabulary of the words that are in it."""
-
-    def __init__(self, part: pa.RecordBatch, vocabulary: np.ndarray):
-        self.words = plain_words(part.column("text"))
-        offsets = self.words.offsets
-        many = -(-np.diff(offsets) // BLOCK)
+    """The blocks of some coded texts, and the places of the words that are in the vocabulary."""
+
+    def __init__(self, part: pa.RecordBatch, used: np.ndarray | None = None):
+        """used: for each place whether its word counts at all."""
+        column = part.column("places")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2]
+        self.offsets = (ends - ends[0]) // 4
+        self.places = np.frombuffer(data, "<i4")[ends[0] // 4 : ends[-1] // 4] if data else np.zeros(0, "<i4")
+        sizes = np.diff(self.offsets)
+        many = -(-sizes // BLOCK)
         self.first = np.append(0, np.cumsum(many))
         self.text = np.repeat(np.arange(part.num_rows), many)
-        place = np.arange(len(self.words.hashes)) - offsets[self.words.doc]
-        self.of_word = self.first[self.words.doc] + place // BLOCK
-        at = np.minimum(np.searchsorted(vocabulary, self.words.hashes), len(vocabulary) - 1)
-        self.known = vocabulary[at] == self.words.hashes
-        self.place, self.block = at[self.known], self.of_word[self.known]
+        # a word's block: its text's first block and its place in the text, in blocks
+        shift = np.repeat(self.first[:-1] * BLOCK - self.offsets[:-1], sizes)
+        self.of_word = (np.arange(len(self.places)) + shift) // BLOCK
+        self.known = self.places >= 0
+        if used is not None:
+            self.known &= used[self.places]
+        self.place, self.block = self.places[self.known], self.of_word[self.known]
 
     def added(self, rows: np.ndarray) -> np.ndarray:
         """The sum of rows[word] over the known words of each block."""
         out = np.zeros((len(self.text), rows.shape[1]), np.float32)
-        if len(self.block):
+        n = len(self.block)
+        if n:
             first = np.flatnonzero(np.append(True, self.block[1:] != self.block[:-1]))
-            out[self.block[first]] = np.add.reduceat(rows[self.place], first, axis=0)
+            nth = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+            for k in range(int(nth.max()) + 1):  # the k-th known word of every block that has as many
+                own = nth == k
+                out[self.block[own]] += rows[self.place[own]]
         return out
 
 
-def _frequencies(vocabulary: np.ndarray) -> Callable:
+def _frequencies(size: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(len(vocabulary) + 1)
+        total = np.zeros(size + 1)
         for whole in batches:
-            for part in slices(whole, "text"):
-                b = Blocks(part, vocabulary)
-                once = np.unique(b.block * len(vocabulary) + b.place) % len(vocabulary)
-                total[:-1] += np.bincount(once, minlength=len(vocabulary))
+            for part in slices(whole, "places"):
+                b = Blocks(part)
+                once = np.unique(b.block * size + b.place) % size
+                total[:-1] += np.bincount(once, minlength=size)
                 total[-1] += len(b.text)
         return total
 
     return work
 
 
-def _sketched(vocabulary: np.ndarray, idf: np.ndarray, test: np.ndarray) -> Callable:
+def weights_of(items: Items, counts: np.ndarray) -> np.ndarray:
+    """Inverse block frequencies; words of more than COMMON of all blocks count 0, unless an item lives on them."""
+    idf = np.log((counts[-1] + 2) / (counts[:-1] + 1))
+    common = counts[:-1] > COMMON * counts[-1]
+    for places in items.places:
+        if (idf[places][~common[places]] ** 2).sum() < 0.8 * (idf[places] ** 2).sum():
+            common[places] = False
+    return np.where(common, 0.0, idf)
+
+
+def _sketched(idf: np.ndarray, test: np.ndarray) -> Callable:
     """The product A'(A test) of the TF-IDF matrix A of all blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((len(vocabulary), test.shape[1]))
+        total = np.zeros(test.shape)
         weighted = (idf[:, None] * test).astype(np.float32)
         for whole in batches:
-            for part in slices(whole, "text"):
-                b = Blocks(part, vocabulary)
-                if len(b.place):
-                    image = b.added(weighted)[b.block]
-                    order = np.argsort(b.place, kind="stable")
-                    at = b.place[order]
-                    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                    total[at[first]] += np.add.reduceat(image[order], first, axis=0)
+            for part in slices(whole, "places"):
+                b = Blocks(part, idf > 0)
+                image = b.added(weighted)[b.block]
+                for k in range(test.shape[1]):
+                    total[:, k] += np.bincount(b.place, image[:, k], len(idf))
         return (total * idf[:, None]).reshape(-1)
 
     return work
@@ -158,22 +192,23 @@ def latent_items(items: Items, idf: np.ndarray, sketch: np.ndarray, test: np.nda
 
 def _search(items: Items, weights: np.ndarray, lengths: np.ndarray, idf: np.ndarray, unknown: float) -> Callable:
     every = [items.masks(k) for k in range(len(items.ids))]
-    answers = [items.masks(k, max(0, len(w) - ANSWER)) for k, w in enumerate(items.words)]
+    answers = [items.masks(k, max(0, len(w) - ANSWER)) for k, w in enumerate(items.places)]
 
     def matched(words: list[int], k: int) -> tuple[float, bool]:
-        size = len(items.words[k])
+        size = len(items.places[k])
+        if sum(map(every[k].__contains__, words)) < PARAPHRASE * size:
+            return 0.0, False  # too few of the item's words for a subsequence of that length
         share = common_subsequence(every[k], size, words) / size
         n = min(ANSWER, size)
-        return share, common_subsequence(answers[k], n, words) >= n - 1
+        return share, share >= PARAPHRASE and common_subsequence(answers[k], n, words) >= n - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text"):
-                b = Blocks(part, items.vocabulary)
+            for part in slices(whole, "places"):
+                b = Blocks(part, idf > 0)
                 n = len(b.text)
                 scores = b.added(weights)
-                mass = np.full(len(b.words.hashes), unknown**2)
-                mass[b.known] = idf[b.place] ** 2
+                mass = np.where(b.places < 0, unknown**2, (idf**2)[b.places])
                 norms = np.bincount(b.of_word, mass, n)
                 found: dict[tuple[int, int], tuple] = {}
                 for m in np.unique(items.blocks):
@@ -181,16 +216,16 @@ def _search(items: Items, weights: np.ndarray, lengths: np.ndarray, idf: np.ndar
                     total, norm = scores[:, own].copy(), norms.copy()
                     for d in range(1, min(m, n)):
                         same = b.text[d:] == b.text[:-d]
-                        total[:-d][same] += scores[d:, own][same]
-                        norm[:-d][same] += norms[d:][same]
+                        total[:-d] += scores[d:, own] * same[:, None]
+                        norm[:-d] += norms[d:] * same
                     cosine = total / lengths[own] / np.sqrt(np.maximum(norm, 1e-9))[:, None]
                     at, which = np.nonzero(cosine >= COSINE)
                     for i, k, c in zip(at.tolist(), own[which].tolist(), cosine[at, which].tolist(), strict=True):
                         text = int(b.text[i])
-                        lo, hi = b.words.offsets[text], b.words.offsets[text + 1]
+                        lo, hi = b.offsets[text], b.offsets[text + 1]
                         start = max(lo, lo + (i - b.first[text] - 1) * BLOCK)
                         end = min(hi, lo + (i - b.first[text] + m + 1) * BLOCK)
-                        share, answer = matched(b.words.hashes[start:end].tolist(), k)
+                        share, answer = matched(b.places[start:end].tolist(), k)
                         if share >= VERBATIM or share >= PARAPHRASE and answer:
                             row = (share, c, -int(start - lo), int(end - lo), answer)
                             found[text, k] = max(found.get((text, k), row), row)
@@ -228,13 +263,16 @@ def _one_block(rows: DataFrame, items: Items, shape: str) -> DataFrame | None:
     if not items.ids:
         return None
     shared = rows.sparkSession.sparkContext.broadcast
-    counts = summed(rows.select("text"), _frequencies(items.vocabulary), len(items.vocabulary) + 1)
-    idf, unknown = np.log((counts[-1] + 2) / (counts[:-1] + 1)), float(np.log(counts[-1] + 2))
+    size = len(items.vocabulary)
+    coded = rows.mapInArrow(_coded(items.vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, rid bigint, places binary")
+    coded = materialise(coded, "places")
+    counts = summed(coded.select("places"), _frequencies(size), size + 1)
+    idf, unknown = weights_of(items, counts), float(np.log(counts[-1] + 2))
     test = np.random.default_rng(17).standard_normal((len(idf), SKETCH))
-    tools = shared((items.vocabulary, idf, test))
-    sketch = summed(rows.select("text"), lambda batches: _sketched(*tools.value)(batches), test.size).reshape(test.shape)
+    tools = shared((idf, test))
+    sketch = summed(coded.select("places"), lambda batches: _sketched(*tools.value)(batches), test.size).reshape(test.shape)
     model = shared((items, *latent_items(items, idf, sketch, test), idf, unknown))
-    return rows.mapInArrow(lambda batches: _search(*model.value)(batches), shape)
+    return coded.mapInArrow(lambda batches: _search(*model.value)(batches), shape)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,7 @@ def query(text: str):
 def _folder(fx: Fixtures) -> str:
     """A new name in the shared folder of the session, or a temporary folder where none is named."""
     shared = fx.spark.conf.get("spark.checkpoint.dir", None)
-    name = tempfile.mkdtemp(prefix="brinegrid-")
-    return f"{shared}/{name.rsplit('/', 1)[1]}" if shared else name
+    return f"{shared}/brinegrid-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="brinegrid-")
 
 
 @query(sql("SELECT x, y, depth FROM cells0 WHERE x BETWEEN 5 AND 24 AND y BETWEEN 3 AND 22"))
