@@ -70,26 +70,34 @@ def _shape(texts: Texts, words: Words) -> np.ndarray:
     return np.concatenate(out)
 
 
-def log_ratios(docs: np.ndarray, features: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Of each feature: log of its smoothed share among rows of label 1 over that among rows of label 0; 0 for rare ones."""
-    p, q = (SMOOTH + np.bincount(features[labels[docs] == y], minlength=1 << BITS) for y in (1, 0))
+    held = np.full((2, 1 << BITS), SMOOTH)
+    for f, y in zip(rows, labels.tolist(), strict=True):
+        held[y][f] += 1.0  # a row's features are distinct
+    q, p = held
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     return np.where(p + q >= RARE + 2 * SMOOTH, ratio, 0.0)
 
 
-def descend(starts: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Hinge-loss weights, the intercept last, by dual coordinate descent (one dual variable a row, clipped to [0, COST])."""
+def descend(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Hinge-loss weights times the ratios, the intercept last, by dual coordinate descent (a dual variable a row, clipped to [0, COST]).
+
+    A row's values are ratio[f] over the row's length. Kept times the ratios, the weights need no values but the squares.
+    """
     w, alpha, rng = np.zeros((1 << BITS) + 1, np.float64), np.zeros(len(labels)), np.random.default_rng(7)
+    square = ratio**2
+    length = np.array([np.sqrt(max(square[f].sum(), 1e-12)) for f in rows])
     y = np.where(labels == 1, 1.0, -1.0)
     for _ in range(EPOCHS):
         moved = 0.0
         for i in rng.permutation(len(labels)):
-            f, v = features[starts[i] : starts[i + 1]], values[starts[i] : starts[i + 1]]
-            slope = y[i] * (w[f] @ v + w[-1]) - 1.0
+            f = rows[i]
+            slope = y[i] * (w[f].sum() / length[i] + w[-1]) - 1.0
             new = min(max(alpha[i] - slope / 2.0, 0.0), COST)  # a row and its intercept have length one each
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[f] += step * v
+                w[f] += step / length[i] * square[f]
                 w[-1] += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -119,17 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5
     packed = got.column("features").to_pylist()
+    del got
     # rows in an order of their own, so that the fit does not depend on how Spark dealt them
     order = sorted(range(len(y)), key=lambda i: (packed[i], y[i]))
     y = y[order]
-    parts = [np.frombuffer(packed[i], "<u4") for i in order]
-    starts = np.append(0, np.cumsum([len(x) for x in parts]))
-    features = np.concatenate(parts).astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(starts))
-    ratio = log_ratios(doc, features, y)
-    length = np.sqrt(np.maximum(np.bincount(doc, ratio[features] ** 2, len(y)), 1e-12))
-    w = descend(starts, features, ratio[features] / length[doc], y)
-    return np.stack([w[:-1] * ratio, ratio**2]).astype(np.float32), float(w[-1])
+    held = [np.frombuffer(packed[i], "<u4") for i in order]
+    ratio = log_ratios(held, y)
+    w = descend(held, ratio, y)
+    return np.stack([w[:-1], ratio**2]).astype(np.float32), float(w[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | float, text_col: str = "text", out: str = "score") -> DataFrame:
