@@ -4,8 +4,9 @@ Texts are cut into blocks of 16 words; one to several adjacent blocks are a pass
 against and a block more. A randomised decomposition of the TF-IDF matrix of all blocks (columns: the words of the items; one
 distributed pass gives its product with a random test matrix) yields the leading singular directions, which hold what all
 passages have in common. Items are compared in the latent space: those directions are damped by their energy, the items'
-own are kept. Passages whose cosine with an item reaches COSINE are candidates; a candidate is a leak if the longest common
-subsequence of words covers VERBATIM of the item, or PARAPHRASE of it together with the item's answer, its last words.
+own are kept. Candidates are all passages that hold enough of an item's words for a common subsequence of PARAPHRASE of it, a
+bound that rules out no leak; a candidate is a leak if the longest common subsequence of words covers VERBATIM of the item,
+or PARAPHRASE of it together with the item's answer, its last words. The cosine rates leaks and picks among equal places.
 
 Words are runs of letters and digits, A-Z and accented Latin letters lowered, so case and marks do not matter. Items are
 taken in blocks of at most ITEMS, a model each, so what goes to the tasks is bounded. All documents are searched whole.
@@ -31,7 +32,6 @@ from .sums import summed
 
 BLOCK = 16
 ITEMS = 256
-COSINE = 0.3
 VERBATIM, PARAPHRASE = 0.8, 0.6
 ANSWER = 5
 #: Share of blocks above which a word is a stop word.
@@ -121,7 +121,7 @@ class Blocks:
 
     def added(self, rows: np.ndarray) -> np.ndarray:
         """The sum of rows[word] over the known words of each block."""
-        out = np.zeros((len(self.text), rows.shape[1]), np.float32)
+        out = np.zeros((len(self.text), rows.shape[1]), rows.dtype)
         n = len(self.block)
         if n:
             first = np.flatnonzero(np.append(True, self.block[1:] != self.block[:-1]))
@@ -193,10 +193,17 @@ def latent_items(items: Items, idf: np.ndarray, sketch: np.ndarray, test: np.nda
 def _search(items: Items, weights: np.ndarray, lengths: np.ndarray, idf: np.ndarray, unknown: float) -> Callable:
     every = [items.masks(k) for k in range(len(items.ids))]
     answers = [items.masks(k, max(0, len(w) - ANSWER)) for k, w in enumerate(items.places)]
+    # the words that a subsequence of PARAPHRASE takes; those of them that count; those of them that differ
+    least = np.array([next(c for c in range(len(w) + 1) if c / len(w) >= PARAPHRASE) for w in items.places])
+    least_counted = least - np.array([(idf[w] == 0).sum() for w in items.places])
+    least_different = (least - np.array([len(w) - len(own) for w, own in zip(items.places, every, strict=True)])).tolist()
+    holds = np.zeros((len(idf), len(items.ids)), np.uint8)
+    for k, w in enumerate(items.places):
+        holds[w, k] = 1
 
     def matched(words: list[int], k: int) -> tuple[float, bool]:
         size = len(items.places[k])
-        if sum(map(every[k].__contains__, words)) < PARAPHRASE * size:
+        if len(every[k].keys() & set(words)) < least_different[k]:
             return 0.0, False  # too few of the item's words for a subsequence of that length
         share = common_subsequence(every[k], size, words) / size
         n = min(ANSWER, size)
@@ -207,26 +214,28 @@ def _search(items: Items, weights: np.ndarray, lengths: np.ndarray, idf: np.ndar
             for part in slices(whole, "places"):
                 b = Blocks(part, idf > 0)
                 n = len(b.text)
-                scores = b.added(weights)
+                hits = b.added(holds).astype(np.int32)
                 mass = np.where(b.places < 0, unknown**2, (idf**2)[b.places])
                 norms = np.bincount(b.of_word, mass, n)
                 found: dict[tuple[int, int], tuple] = {}
                 for m in np.unique(items.blocks):
                     own = np.flatnonzero(items.blocks == m)
-                    total, norm = scores[:, own].copy(), norms.copy()
-                    for d in range(1, min(m, n)):
-                        same = b.text[d:] == b.text[:-d]
-                        total[:-d] += scores[d:, own] * same[:, None]
-                        norm[:-d] += norms[d:] * same
-                    cosine = total / lengths[own] / np.sqrt(np.maximum(norm, 1e-9))[:, None]
-                    at, which = np.nonzero(cosine >= COSINE)
-                    for i, k, c in zip(at.tolist(), own[which].tolist(), cosine[at, which].tolist(), strict=True):
+                    # the words that are matched: the passage of m blocks, and a block on either side
+                    total = hits[:, own].copy()
+                    for d in range(1, min(m + 1, n)):
+                        total[:-d] += hits[d:, own] * (b.text[d:] == b.text[:-d])[:, None]
+                    total[1:] += hits[:-1, own] * (b.text[1:] == b.text[:-1])[:, None]
+                    at, which = np.nonzero(total >= least_counted[own])
+                    for i, k in zip(at.tolist(), own[which].tolist(), strict=True):
                         text = int(b.text[i])
                         lo, hi = b.offsets[text], b.offsets[text + 1]
                         start = max(lo, lo + (i - b.first[text] - 1) * BLOCK)
                         end = min(hi, lo + (i - b.first[text] + m + 1) * BLOCK)
                         share, answer = matched(b.places[start:end].tolist(), k)
                         if share >= VERBATIM or share >= PARAPHRASE and answer:
+                            passage = b.places[lo + (i - b.first[text]) * BLOCK : min(hi, lo + (i - b.first[text] + m) * BLOCK)]
+                            norm = norms[i : min(i + m, b.first[text + 1])].sum()
+                            c = float(weights[passage[passage >= 0], k].sum() / lengths[k] / np.sqrt(max(norm, 1e-9)))
                             row = (share, c, -int(start - lo), int(end - lo), answer)
                             found[text, k] = max(found.get((text, k), row), row)
                 keys = sorted(found)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -124,6 +125,28 @@ def test_leaks_found_and_clean_left(spark, docs, none):
     assert decontam.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_paraphrases_found_at_any_corpus_size():
+    """Items with 20 and 38 % of their words replaced and the answer kept, amid host text."""
+    rng = random.Random(3)
+    items = decontam.Items(list(range(40)), [" ".join(f"t{rng.randrange(4000)}" for _ in range(rng.randrange(15, 60))) for _ in range(40)])
+    for share in (0.2, 0.38):
+        texts, want = [], set()
+        for k, own in enumerate(items.places):
+            n = len(own)
+            changed = set(rng.sample(range(n - decontam.ANSWER), int(share * n)))
+            words = [-1] * 37 + [-1 if j in changed else int(w) for j, w in enumerate(own)] + [-1] * 50
+            texts.append(np.array(words, "<i4").tobytes())
+            want.add((k, k))
+        batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts, pa.binary())], ["id", "rid", "places"])
+        for blocks in (2.5e5, 3e8):
+            counts = np.append(np.full(len(items.vocabulary), 0.001 * blocks), blocks)
+            idf = decontam.weights_of(items, counts)
+            test = np.random.default_rng(17).standard_normal((len(idf), decontam.SKETCH))
+            weights, lengths = decontam.latent_items(items, idf, np.zeros(test.shape), test)
+            out = pa.Table.from_batches(decontam._search(items, weights, lengths, idf, float(np.log(blocks + 2)))([batch])).to_pydict()
+            assert set(zip(out["id"], out["item_id"], strict=True)) >= want
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)
