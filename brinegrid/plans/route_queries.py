@@ -157,7 +157,8 @@ def a9_macro_distance(fx: Fixtures) -> DataFrame:
 @query()
 def a10_macro_waypoints(fx: Fixtures) -> DataFrame:
     edges = fx.passages.withColumn("waypoints", F.array(F.struct(F.col("src").cast("double").alias("lon"), F.col("dst").cast("double").alias("lat"))))
-    found = passages.macro_routes(fx.passages, fx.spark.range(3).select(F.col("id").alias("node")))
+    nodes = fx.passages.select(F.col("src").alias("node")).union(fx.passages.select("dst")).distinct()
+    found = passages.macro_routes(fx.passages, nodes)
     return passages.corridor_waypoints(found, edges).select("start", "node", F.size("waypoints").alias("n"), F.to_json("waypoints").alias("waypoints"))
 
 
@@ -243,7 +244,7 @@ def x5_x6_douglas_peucker(fx: Fixtures) -> DataFrame:
 
 @query()
 def x7_spline(fx: Fixtures) -> DataFrame:
-    made = polyline.splined(fx.track.filter("seq < 12"), 25)
+    made = polyline.splined(fx.track, 25)
     return made.select("route_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 

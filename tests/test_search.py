@@ -1,10 +1,16 @@
+import os
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brinegrid.functions.grid import Grid
 from brinegrid.operators import corridor, lines, moves, passages, polyline, search
+from brinegrid.plans import queries as plans
+from brinegrid.plans.fixtures import fixtures
 from brinegrid.plans.route import Attempt, Settings, route, searched
 
+SF = "/root/testdata/sf0.001"
 GRID = Grid("EPSG:4326", 0.1, 0.1, 0.0, 10.0, 12, 12)
 
 
@@ -70,3 +76,37 @@ def test_string_pulling_keeps_only_what_is_needed(spark, layers):
     points = lines.walk(line, ("route_id",)).withColumnRenamed("i", "seq")
     pulled = polyline.farthest_skips(points, polyline.clear_pairs(points, layers, GRID, 10, 1.0)).collect()
     assert sorted(r.seq for r in pulled) == [0, 5]
+
+
+def test_spline_equals_the_dense_solution(spark):
+    rng = np.random.default_rng(4)
+    lon, lat = rng.uniform(-9, 9, 40), rng.uniform(-9, 9, 40)
+    points = spark.createDataFrame([(1, k, float(lon[k]), float(lat[k])) for k in range(40)], "route_id bigint, seq bigint, lon double, lat double")
+    got = sorted(map(tuple, polyline.splined(points, 25).collect()))
+    t, s = np.linspace(0, 1, 40), np.linspace(0, 1, 25)
+    for c, v in ((2, lon), (3, lat)):
+        h, a, r = np.diff(t), np.eye(40), np.zeros(40)
+        for i in range(1, 39):
+            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+            r[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
+        m = np.linalg.solve(a, r)
+        k = np.clip(np.searchsorted(t, s, "right") - 1, 0, 38)
+        p, q = (t[k + 1] - s) / h[k], (s - t[k]) / h[k]
+        want = p * v[k] + q * v[k + 1] + ((p**3 - p) * m[k] + (q**3 - q) * m[k + 1]) * h[k] ** 2 / 6
+        assert [row[c] for row in got] == pytest.approx(want.tolist())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_splines_end_where_their_tracks_end(spark):
+    track = fixtures(spark, SF).track
+    last = {r.route_id: (r.lon, r.lat) for r in track.groupBy("route_id").agg(F.max_by("lon", "seq").alias("lon"), F.max_by("lat", "seq").alias("lat")).collect()}
+    got = plans.QUERIES["x7_spline"](spark, SF)
+    ends = {r.route_id: (r.lon, r.lat) for r in got.groupBy("route_id").agg(F.max_by("lon", "seq").alias("lon"), F.max_by("lat", "seq").alias("lat")).collect()}
+    assert ends.keys() == last.keys() and all(ends[k] == pytest.approx(last[k], abs=1e-5) for k in last)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_macro_waypoints_from_every_node(spark):
+    edges = fixtures(spark, SF).passages
+    leaving = {r.src for r in edges.select("src").collect()}
+    assert {r.start for r in plans.QUERIES["a10_macro_waypoints"](spark, SF).select("start").distinct().collect()} == leaving
