@@ -82,11 +82,17 @@ class Fixtures:
         return raster.normalised(sums, "density").withColumn("density", F.round("density", 6))
 
     @property
-    def requests(self) -> DataFrame:
+    def asked(self) -> DataFrame:
+        """A route request of every customer."""
         c, w = F.col("c_custkey").cast("long"), F.lit(self.w).cast("long")
         draft = (5 + F.col("c_nationkey") % 10).cast("long")
         at = lambda a, b: (c * a + b) % w
-        return self.table("customer").filter(c < 64).select(c.alias("route_id"), at(13, 0).alias("x0"), at(29, 0).alias("y0"), at(41, 5).alias("x1"), at(59, 9).alias("y1"), draft.alias("draft"))
+        return self.table("customer").select(c.alias("route_id"), at(13, 0).alias("x0"), at(29, 0).alias("y0"), at(41, 5).alias("x1"), at(59, 9).alias("y1"), draft.alias("draft"))
+
+    @property
+    def requests(self) -> DataFrame:
+        """The requests that the SQL of the fixtures is held to."""
+        return self.asked.filter("route_id < 64")
 
     @property
     def track(self) -> DataFrame:

@@ -28,6 +28,7 @@ def query(text: str | None = None):
 
 
 def _few(fx: Fixtures, n: int = 8) -> DataFrame:
+    """The requests that the SQL of a query is held to; queries without SQL take all (fx.asked)."""
     return fx.requests.filter(F.col("route_id") < n)
 
 
@@ -50,7 +51,7 @@ def c5_waypoint_corridor(fx: Fixtures) -> DataFrame:
 
 @query()
 def c3_two_width_corridor(fx: Fixtures) -> DataFrame:
-    return corridor.two_width_corridor(_few(fx), fx.grid, 12.0, 6.0, 6.0)
+    return corridor.two_width_corridor(fx.asked, fx.grid, 12.0, 6.0, 6.0)
 
 
 def _ends(r: DataFrame) -> DataFrame:
@@ -58,20 +59,19 @@ def _ends(r: DataFrame) -> DataFrame:
     return r.select("route_id", F.explode(points).alias("p")).select("route_id", F.col("p.seq").cast("long").alias("seq"), "p.x", "p.y")
 
 
-def _features(fx: Fixtures) -> DataFrame:
-    few = _few(fx)
-    cells = corridor.straight_corridor(few, fx.grid, 3.3 * 6, fx.land).join(few.select("route_id", "draft"), "route_id")
-    return cut(corridor.features(cells, fx.layers, _ends(few), F.col("draft"), fx.size))
+def _features(fx: Fixtures, r: DataFrame) -> DataFrame:
+    cells = corridor.straight_corridor(r, fx.grid, 3.3 * 6, fx.land).join(r.select("route_id", "draft"), "route_id")
+    return cut(corridor.features(cells, fx.layers, _ends(r), F.col("draft"), fx.size))
 
 
 @query()
 def c4_features(fx: Fixtures) -> DataFrame:
-    return _features(fx).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"), "near", "right", "wrong", "band", "snap", "bearing")
+    return _features(fx, fx.asked).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"), "near", "right", "wrong", "band", "snap", "bearing")
 
 
 @query(sql("SELECT c.route_id, c.x, c.y, (NOT coalesce(depth <= -draft, false)) OR zone AS blocked, CASE WHEN coalesce(depth <= -draft, false) THEN round(5.0 / greatest(-depth - draft, 0.001), 6) ELSE 0.0 END AS depth_cost, coalesce(round(greatest(0.0, 5.0 * (1 - dist / 6.0)), 6), 0.0) AS land_cost FROM (SELECT * FROM corr ANTI JOIN land USING (x, y)) c JOIN layers l ON l.x = c.x AND l.y = c.y JOIN requests r ON r.route_id = c.route_id", corr=_APART))
 def c2_c4_penalties(fx: Fixtures) -> DataFrame:
-    return _features(fx).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"))
+    return _features(fx, _few(fx)).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"))
 
 
 _WRONG_NEAR = f"SELECT c.x, c.y, min(CASE WHEN {cq._angle('l.lane_dir', '90')} > 90 THEN pow(l.x - c.x, 2) + pow(l.y - c.y, 2) END) AS wrong, min(CASE WHEN {cq._angle('l.lane_dir', '90')} <= 90 THEN pow(l.x - c.x, 2) + pow(l.y - c.y, 2) END) AS ok FROM cells0 c JOIN lane l ON abs(l.x - c.x) <= 2 AND abs(l.y - c.y) <= 2 AND pow(l.x - c.x, 2) + pow(l.y - c.y, 2) BETWEEN 1 AND 4 GROUP BY 1, 2"
@@ -108,21 +108,20 @@ def p7_p8_p10_p15_move_terms(fx: Fixtures) -> DataFrame:
 
 @query()
 def p14_move_costs(fx: Fixtures) -> DataFrame:
-    few = _few(fx)
-    goals = few.select("route_id", F.col("x1").alias("gx"), F.col("y1").alias("gy"))
-    priced = moves.costed(_features(fx), fx.lane, goals, fx.grid)
+    goals = fx.asked.select("route_id", F.col("x1").alias("gx"), F.col("y1").alias("gy"))
+    priced = moves.costed(_features(fx, fx.asked), fx.lane, goals, fx.grid)
     return priced.select("route_id", "x", "y", "nx", "ny", "dir", F.round("cost", 6).alias("cost"))
 
 
 @query()
 def a2_route_kernel(fx: Fixtures) -> DataFrame:
-    found = searched(_few(fx), fx.layers, fx.grid, Settings(width_nm=24.0), Attempt())
+    found = searched(fx.asked, fx.layers, fx.grid, Settings(width_nm=24.0), Attempt())
     return found.select("route_id", F.size("path").alias("n"), "explored", F.round("cost", 3).alias("cost"), "success")
 
 
-def _blocks(fx: Fixtures, n: int) -> DataFrame:
+def _blocks(fx: Fixtures, r: DataFrame) -> DataFrame:
     open_blocks = raster.coarse_open(fx.layers, 8, 1.0).filter("open").select("cx", "cy")
-    return _few(fx, n).select("route_id").crossJoin(F.broadcast(open_blocks))
+    return r.select("route_id").crossJoin(open_blocks)
 
 
 _COARSE = "SELECT x // 8 AS cx, y // 8 AS cy FROM layers GROUP BY 1, 2 HAVING bool_or(coalesce(depth <= -1, false)) AND bool_or(NOT land)"
@@ -133,15 +132,15 @@ _RELAX = "SELECT route_id, x0 // 8 AS cx, y0 // 8 AS cy, 0.0::DOUBLE AS cost, 0
 @query(sql("SELECT route_id, cx, cy, round(min(cost), 6) AS cost FROM rel GROUP BY 1, 2, 3", True, mv=_MOVE, blk=_COARSE, stp=_NEXT, rel=_RELAX))
 def a6_coarse_distance(fx: Fixtures) -> DataFrame:
     starts = _few(fx, 4).select("route_id", F.expr("x0 div 8").alias("x"), F.expr("y0 div 8").alias("y"))
-    found = search.relaxed(search.coarse_moves(_blocks(fx, 4), fx.grid, 8), starts)
+    found = search.relaxed(search.coarse_moves(_blocks(fx, _few(fx, 4)), fx.grid, 8), starts)
     return found.select("route_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.round("cost", 6).alias("cost"))
 
 
 @query()
 def a4_coarse_to_fine_legs(fx: Fixtures) -> DataFrame:
-    asked = _few(fx, 8)
+    asked = fx.asked
     blocks = asked.select("route_id", *[F.expr(f"{c} div 8").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    coarse = search.astar(search.coarse_moves(_blocks(fx, 8), fx.grid, 8), blocks, fx.grid, turn_weight=0.0, heuristic=1.0)
+    coarse = search.astar(search.coarse_moves(_blocks(fx, asked), fx.grid, 8), blocks, fx.grid, turn_weight=0.0, heuristic=1.0)
     return search.coarse_to_fine(coarse, asked, 8)
 
 
@@ -183,8 +182,8 @@ _THREE = "SELECT route_id, 0 AS seq, x0 AS x, y0 AS y FROM requests UNION ALL SE
 _LEGS = "SELECT route_id * 10 + seq AS route_id, x0, y0, x1, y1 FROM (SELECT route_id, seq, x AS x0, y AS y0, lead(x) OVER p AS x1, lead(y) OVER p AS y1 FROM th WINDOW p AS (PARTITION BY route_id ORDER BY seq)) WHERE x1 IS NOT NULL"
 
 
-def _three(fx: Fixtures) -> DataFrame:
-    r, w = fx.requests, F.lit(fx.w).cast("long")
+def _three(fx: Fixtures, r: DataFrame) -> DataFrame:
+    w = F.lit(fx.w).cast("long")
     at = lambda n, x, y: r.select("route_id", F.lit(n).cast("long").alias("seq"), x.alias("x"), y.alias("y"))
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     return at(0, x0, y0).unionByName(at(1, (x0 + y1) % w, (y0 + x1) % w)).unionByName(at(2, x1, y1))
@@ -192,12 +191,12 @@ def _three(fx: Fixtures) -> DataFrame:
 
 @query(sql("SELECT route_id // 10 AS route_id, route_id % 10 AS seq FROM wr WHERE wrong", th=_THREE, ln=_LEGS, lw=cq.WALKED, ends=cq.ENDS, wr=cq.WRONG))
 def x8_wrong_way_segments(fx: Fixtures) -> DataFrame:
-    return polyline.wrong_segments(_three(fx), fx.layers, fx.grid).select("route_id", "seq")
+    return polyline.wrong_segments(_three(fx, fx.requests), fx.layers, fx.grid).select("route_id", "seq")
 
 
 @query()
 def x9_bypasses(fx: Fixtures) -> DataFrame:
-    return polyline.bypasses(polyline.wrong_segments(_three(fx), fx.layers, fx.grid), fx.layers, fx.grid)
+    return polyline.bypasses(polyline.wrong_segments(_three(fx, fx.asked), fx.layers, fx.grid), fx.layers, fx.grid)
 
 
 @query(sql(f"SELECT route_id, round(sum(coalesce({cq.PLANAR}, 0.0)), 3) AS distance_nm FROM pairs GROUP BY 1", pairs=cq.PAIRS))
@@ -227,14 +226,14 @@ def l10_wrong_way_audit(fx: Fixtures) -> DataFrame:
 
 @query()
 def x4_lane_aware_simplify(fx: Fixtures) -> DataFrame:
-    points = lines.lane_status(lines.walk(_few(fx), ("route_id",)).withColumnRenamed("i", "seq"), fx.layers)
-    return polyline.lane_aware(points, polyline.clear_pairs(points, fx.layers, fx.grid, 12, 1.0)).select("route_id", "seq", "x", "y", "in_lane")
+    points = lines.lane_status(lines.walk(fx.asked, ("route_id",)).withColumnRenamed("i", "seq"), fx.layers)
+    return polyline.lane_aware(points, polyline.clear_pairs(points, fx.layers, fx.grid, Settings().max_skip, 1.0)).select("route_id", "seq", "x", "y", "in_lane")
 
 
 @query()
 def x1_x3_string_pull(fx: Fixtures) -> DataFrame:
-    points = lines.walk(_few(fx), ("route_id",)).withColumnRenamed("i", "seq")
-    return polyline.farthest_skips(points, polyline.clear_pairs(points, fx.layers, fx.grid, 12, 1.0))
+    points = lines.walk(fx.asked, ("route_id",)).withColumnRenamed("i", "seq")
+    return polyline.farthest_skips(points, polyline.clear_pairs(points, fx.layers, fx.grid, Settings().max_skip, 1.0))
 
 
 @query()
@@ -251,5 +250,5 @@ def x7_spline(fx: Fixtures) -> DataFrame:
 @query()
 def route_batch(fx: Fixtures) -> DataFrame:
     """The flagship: fixture rasters, open water, corridors, search, simplification and repair for a batch of requests."""
-    made = route(_few(fx), fx.layers, fx.grid, Settings(width_nm=24.0))
+    made = route(fx.asked, fx.layers, fx.grid, Settings(width_nm=24.0))
     return made.select("route_id", F.to_json("path").alias("path"), F.round("distance_nm", 6).alias("distance_nm"), "explored", "attempt", F.to_json("warnings").alias("warnings"))

@@ -110,3 +110,11 @@ def test_macro_waypoints_from_every_node(spark):
     edges = fixtures(spark, SF).passages
     leaving = {r.src for r in edges.select("src").collect()}
     assert {r.start for r in plans.QUERIES["a10_macro_waypoints"](spark, SF).select("start").distinct().collect()} == leaving
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["c3_two_width_corridor", "a2_route_kernel"])
+def test_every_customer_is_routed(spark, name):
+    asked = {r.k for r in spark.read.parquet(f"{SF}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k")).collect()}
+    assert len(asked) > 64
+    assert {r.route_id for r in plans.QUERIES[name](spark, SF).select("route_id").distinct().collect()} == asked
