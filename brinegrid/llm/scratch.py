@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key that holds more than one in HEAVY of all rows is met by broadcast; there are fewer than HEAVY of these.
+HEAVY = 4096
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests, local mode)."""
+    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and the session is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='brinegrid-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -41,6 +47,19 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def met(rows: DataFrame, groups: DataFrame, on: list[str], count: str = "c") -> DataFrame:
+    """`rows` joined with `groups`, a row for each key with `count`, the number of `rows` of that key.
+
+    No task gets a great share of the rows: the keys that hold more than one in HEAVY of them, fewer than HEAVY whatever the
+    input, go to all tasks, so their rows are not shuffled; all other keys are met in a shuffle. `groups` is read several times.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY > total
+    few = F.broadcast(groups.filter(heavy))
+    rest = rows.join(few.select(*on), on, "left_anti").join(groups.filter(~heavy), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 def row_key(id_col: str, text_col: str):
     """A key of a document: rows that share both id and text are one document and get one decision."""
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))

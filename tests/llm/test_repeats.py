@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from brinegrid.llm import debruijn, suffix_dedup
-from brinegrid.llm.repeats import sliding_min
+from brinegrid.llm.sieve import sliding_min
 
 from .conftest import table
 
