@@ -1,8 +1,8 @@
 """Substring dedup: remove the words of 35-word windows that occur elsewhere in the corpus, by a compacted de Bruijn graph.
 
-The graph is that of the stretches that the sieve left (sieve.py), in minimizer space: nodes are ten-word grams at anchors,
-places that the words around them decide, at most nine words apart; an edge is a node, the distance to the next anchor, and that
-anchor's node, so it stands for the 11 to 19 words from one gram's start to the other's end. Every window holds an edge.
+The graph is that of the stretches that the sieve left (sieve.py), in minimizer space: nodes are twelve-word grams at anchors,
+places that the words around them decide, at most eleven words apart; an edge is a node, the distance to the next anchor, and that
+anchor's node, so it stands for the 13 to 23 words from one gram's start to the other's end. Every window holds an edge.
 
 1. Edges are counted; those seen once are dropped.
 2. A node with one edge in and one out does not branch. Spark joins link each edge to the one before it over such a node, and
@@ -123,5 +123,5 @@ def repeated(held: DataFrame, units: Units) -> DataFrame:
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WORDS) -> DataFrame:
     """(id, units, removed, spans, kept): spans of removed words, kept words joined by one space as UTF-8."""
-    units = Units("words", length, length // 2 + 1)
+    units = Units("words", length, 2 * length // 3 - 1)
     return cut_repeats(docs, units, id_col, text_col, lambda held: repeated(held, units))

@@ -1,8 +1,8 @@
 """Suffix-array dedup: remove the bytes of 400-byte strings that occur elsewhere in the corpus, by prefix doubling.
 
 The suffixes that are ranked are those that start at an anchor of a stretch that the sieve left (sieve.py): places that the
-bytes around them decide, at most 50 bytes apart, so that equal strings hold them at equal offsets (a sparse suffix array).
-A suffix's first rank is the name of the 51 bytes at its anchor. In each round Spark pairs the rank of every place with
+bytes around them decide, at most 100 bytes apart, so that equal strings hold them at equal offsets (a sparse suffix array).
+A suffix's first rank is the name of the 101 bytes at its anchor. In each round Spark pairs the rank of every place with
 the rank at the place as many anchors on as the rank covers, sorts the pairs (rank, offset in bytes, rank there) and ranks them
 anew by their order. Places whose rank is unique are dropped, for a longer prefix is unique as well; so are those whose
 prefix passes the threshold of 400 bytes. With the ranks of 1, 2, 4, ... anchors any run of anchors is named by two ranks that
@@ -110,5 +110,5 @@ def repeated(held: DataFrame, units: Units) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = BYTES) -> DataFrame:
     """(id, units, removed, spans, kept): spans of removed bytes, kept bytes as binary (a cut may split a letter)."""
-    units = Units("bytes", length, length // 4)
+    units = Units("bytes", length, length // 2)
     return cut_repeats(docs, units, id_col, text_col, lambda held: repeated(held, units))
