@@ -1,19 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into blocks of 16 words; one to several adjacent blocks are a passage, as long as the item that it is held
-against and a block more. A randomised decomposition of the TF-IDF matrix of all blocks (columns: the words of the items; one
-distributed pass gives its product with a random test matrix) yields the leading singular directions, which hold what all
-passages have in common. Items are compared in the latent space: those directions are damped by their energy, the items'
-own are kept. Candidates are all passages that hold enough of an item's words for a common subsequence of PARAPHRASE of it, a
-bound that rules out no leak; a candidate is a leak if the longest common subsequence of words covers VERBATIM of the item,
-or PARAPHRASE of it together with the item's answer, its last words. The cosine rates leaks and picks among equal places.
+against and a block more. The benchmark's passages, weighted by TF-IDF with the frequencies of all blocks of the corpus, are
+the collection: a distributed randomised decomposition (subspace iteration, POWER passes) gives its RANK leading singular
+directions. Every passage of the corpus is folded in and compared with every item by the cosine in that space, both vectors
+at their latent lengths; those at COSINE or more are candidates. A candidate is a leak if the longest common subsequence of
+words covers VERBATIM of the item, or PARAPHRASE of it together with the item's answer, its last words. Words outside the
+benchmark have no place in the space, so the cosine does not fall as the corpus grows.
 
 Words are runs of letters and digits, A-Z and accented Latin letters lowered, so case and marks do not matter. Items are
 taken in blocks of at most ITEMS, a model each, so what goes to the tasks is bounded. All documents are searched whole.
 
 Defined cases: null or empty texts leak nothing; null or empty items are skipped; items that share an id are separate
 items of that id; each row is searched on its own, so repeated rows and ties give rows of their own; at most one row, the
-best match, for a row and item.
+best match (the first among equals), for a row and item; a text of any length is cut into blocks like others; extra columns are
+dropped by `leaks` and carried through by `without_leaks`.
 """
 
 from __future__ import annotations
@@ -22,22 +23,27 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import Texts, Words, slices
-from .scratch import materialise, row_key
+from .scratch import NUM, materialise, numbered
 from .sums import summed
 
 BLOCK = 16
-ITEMS = 256
+#: Items that are searched for at once, with one model; more items take one more search for each such block of them.
+ITEMS = 1 << 14
 VERBATIM, PARAPHRASE = 0.8, 0.6
 ANSWER = 5
 #: Share of blocks above which a word is a stop word.
 COMMON = 0.05
-DIRECTIONS = 24
-SKETCH = 32
+#: Directions of the latent space, those that the randomised decomposition carries beyond them, and its passes.
+RANK, EXTRA, POWER = 256, 32, 3
+COLUMNS = 1 << 14
+#: A passage this near to an item in the latent space is a candidate. test_models measures the recall (at least 0.9).
+COSINE = 0.35
 #: The ASCII bytes that are neither letters nor digits part words here.
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -81,7 +87,7 @@ def _coded(vocabulary: np.ndarray) -> Callable:
                 at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
                 data = np.where(vocabulary[at] == words.hashes, at, -1).astype("<i4").tobytes()
                 packed = [data[4 * a : 4 * b] for a, b in zip(words.offsets, words.offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rid"), pa.array(packed, pa.binary())], ["id", "rid", "places"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("num"), pa.array(packed, pa.binary())], ["id", "num", "places"])
 
     return run
 
@@ -156,50 +162,100 @@ def weights_of(items: Items, counts: np.ndarray) -> np.ndarray:
     return np.where(common, 0.0, idf)
 
 
-def _sketched(idf: np.ndarray, test: np.ndarray) -> Callable:
-    """The product A'(A test) of the TF-IDF matrix A of all blocks."""
+def dims_of(items: Items) -> np.ndarray:
+    """The column of each word of the vocabulary: its place while there are at most COLUMNS words, else a hash of it."""
+    if len(items.vocabulary) <= COLUMNS:
+        return np.arange(len(items.vocabulary))
+    return (items.vocabulary % np.uint64(COLUMNS)).astype(np.int64)
+
+
+def _applied(basis: np.ndarray) -> Callable:
+    """A'A times `basis`, A being the rows of TF-IDF passages (columns cols, weights vals)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(test.shape)
-        weighted = (idf[:, None] * test).astype(np.float32)
-        for whole in batches:
-            for part in slices(whole, "places"):
-                b = Blocks(part, idf > 0)
-                image = b.added(weighted)[b.block]
-                for k in range(test.shape[1]):
-                    total[:, k] += np.bincount(b.place, image[:, k], len(idf))
-        return (total * idf[:, None]).reshape(-1)
+        total = np.zeros(basis.shape)
+        for batch in batches:
+            for cols, vals in zip(batch.column("cols").to_pylist(), batch.column("vals").to_pylist(), strict=True):
+                at, x = np.frombuffer(cols, "<i4"), np.frombuffer(vals, "<f4")
+                # one row's share of A'(A basis); its columns are distinct
+                total[at] += np.outer(x, x @ basis[at])
+        return total.reshape(-1)
 
     return work
 
 
-def latent_items(items: Items, idf: np.ndarray, sketch: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, lengths): for each word and item the word's share in their latent inner product; the items' lengths."""
-    vectors = np.zeros((len(idf), len(items.ids)))
-    for k, places in enumerate(items.places):
-        np.add.at(vectors[:, k], places, idf[places])
-    # randomised eigenvectors of A'A from one pass: Y (W'Y)^-1 Y' with Y = A'A W
-    core = test.T @ sketch
-    values, basis = np.linalg.eigh((core + core.T) / 2)
-    fit = values > max(values[-1], 1e-9) * 1e-6
-    root = sketch @ (basis[:, fit] / np.sqrt(values[fit]))
-    left, energy, _ = np.linalg.svd(root, full_matrices=False)
-    left, energy = left[:, :DIRECTIONS], energy[:DIRECTIONS] ** 2
-    damp = energy / (energy + np.median(energy)) if len(energy) else energy
-    latent = vectors - left @ (damp[:, None] * (left.T @ vectors))
-    return (latent * idf[:, None]).astype(np.float32), np.sqrt(np.maximum((vectors * latent).sum(axis=0), 1e-9))
-
-
-def _search(items: Items, weights: np.ndarray, lengths: np.ndarray, idf: np.ndarray, unknown: float) -> Callable:
+def passage_vectors(items: Items, idf: np.ndarray, dims: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns and TF-IDF values of each item's passage, of length one."""
+    out = []
+    for places in items.places:
+        cols, back = np.unique(dims[places], return_inverse=True)
+        vals = np.bincount(back, idf[places])
+        out.append((cols, vals / max(float(np.sqrt((vals**2).sum())), 1e-9)))
+    return out
+
+
+def latent_space(spark: SparkSession, vectors: list[tuple[np.ndarray, np.ndarray]], columns: int) -> np.ndarray:
+    """The RANK leading right singular directions of the passages, by randomised subspace iteration.
+
+    The passages are dealt over the tasks; each step multiplies by A'A in one distributed pass and makes the columns
+    orthonormal again. The driver holds arrays of COLUMNS by RANK + EXTRA at most.
+    """
+    width = min(RANK + EXTRA, columns, len(vectors))
+    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((columns, width)))[0]
+    rows = pd.DataFrame({"cols": [c.astype("<i4").tobytes() for c, _ in vectors], "vals": [v.astype("<f4").tobytes() for _, v in vectors]})
+    table = spark.createDataFrame(rows, "cols binary, vals binary").repartition(min(64, -(-len(vectors) // 256)))
+    image = basis
+    for _ in range(POWER):
+        shared = spark.sparkContext.broadcast(basis)
+        image = summed(table, lambda batches, b=shared: _applied(b.value)(batches), basis.size).reshape(basis.shape)
+        before, basis = basis, np.linalg.qr(image)[0]
+    # Rayleigh-Ritz: the directions inside the last subspace by their energy
+    energy, turn = np.linalg.eigh((before.T @ image + image.T @ before) / 2)
+    lead = np.argsort(-energy)[:RANK]
+    lead = lead[energy[lead] > 1e-9 * max(float(energy.max(initial=0.0)), 1e-9)]
+    return np.linalg.qr(image @ turn[:, lead])[0].astype(np.float32) if len(lead) else np.zeros((columns, 0), np.float32)
+
+
+def latent_items(vectors: list[tuple[np.ndarray, np.ndarray]], directions: np.ndarray) -> np.ndarray:
+    """The items' passages in the latent space, of length one each."""
+    q = np.array([v @ directions[c] for c, v in vectors], np.float32).reshape(len(vectors), directions.shape[1])
+    return q / np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-9)
+
+
+def candidates(b: Blocks, n_blocks: np.ndarray, latent: np.ndarray, q: np.ndarray, counted: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(block, item, cosine) of the passages near an item; latent: the words' rows; least: the counted words that an item's leak holds.
+
+    A passage that holds fewer counted words, with a block on either side, than any item needs is no candidate of any.
+    """
+    n = len(b.text)
+    z = b.added(latent)
+    has = np.bincount(b.of_word[b.places >= 0], counted[b.places[b.places >= 0]], n).astype(np.int32)
+    for m in np.unique(n_blocks):
+        own = np.flatnonzero(n_blocks == m)
+        passage, total = z.copy(), has.copy()
+        for d in range(1, min(m + 1, n)):
+            same = b.text[d:] == b.text[:-d]
+            total[:-d] += has[d:] * same
+            if d < m:
+                passage[:-d] += z[d:] * same[:, None]
+        total[1:] += has[:-1] * (b.text[1:] == b.text[:-1])
+        rows = np.flatnonzero(total >= least[own].min())
+        for lo in range(0, len(rows), step := max(1, (1 << 22) // len(own))):
+            some = rows[lo : lo + step]
+            length = np.sqrt((passage[some] ** 2).sum(axis=1, keepdims=True))
+            cosine = passage[some] @ q[own].T / np.maximum(length, 1e-9)
+            at, which = np.nonzero((cosine >= COSINE) & (total[some][:, None] >= least[own]))
+            yield from zip(some[at].tolist(), own[which].tolist(), cosine[at, which].tolist(), strict=True)
+
+
+def _search(items: Items, latent: np.ndarray, q: np.ndarray, idf: np.ndarray) -> Callable:
     every = [items.masks(k) for k in range(len(items.ids))]
     answers = [items.masks(k, max(0, len(w) - ANSWER)) for k, w in enumerate(items.places)]
     # the words that a subsequence of PARAPHRASE takes; those of them that count; those of them that differ
     least = np.array([next(c for c in range(len(w) + 1) if c / len(w) >= PARAPHRASE) for w in items.places])
     least_counted = least - np.array([(idf[w] == 0).sum() for w in items.places])
     least_different = (least - np.array([len(w) - len(own) for w, own in zip(items.places, every, strict=True)])).tolist()
-    holds = np.zeros((len(idf), len(items.ids)), np.uint8)
-    for k, w in enumerate(items.places):
-        holds[w, k] = 1
+    counted = (idf > 0).astype(np.float64)
 
     def matched(words: list[int], k: int) -> tuple[float, bool]:
         size = len(items.places[k])
@@ -213,48 +269,37 @@ def _search(items: Items, weights: np.ndarray, lengths: np.ndarray, idf: np.ndar
         for whole in batches:
             for part in slices(whole, "places"):
                 b = Blocks(part, idf > 0)
-                n = len(b.text)
-                hits = b.added(holds).astype(np.int32)
-                mass = np.where(b.places < 0, unknown**2, (idf**2)[b.places])
-                norms = np.bincount(b.of_word, mass, n)
                 found: dict[tuple[int, int], tuple] = {}
-                for m in np.unique(items.blocks):
-                    own = np.flatnonzero(items.blocks == m)
+                for i, k, c in candidates(b, items.blocks, latent, q, counted, least_counted):
+                    text, m = int(b.text[i]), int(items.blocks[k])
+                    lo, hi = b.offsets[text], b.offsets[text + 1]
                     # the words that are matched: the passage of m blocks, and a block on either side
-                    total = hits[:, own].copy()
-                    for d in range(1, min(m + 1, n)):
-                        total[:-d] += hits[d:, own] * (b.text[d:] == b.text[:-d])[:, None]
-                    total[1:] += hits[:-1, own] * (b.text[1:] == b.text[:-1])[:, None]
-                    at, which = np.nonzero(total >= least_counted[own])
-                    for i, k in zip(at.tolist(), own[which].tolist(), strict=True):
-                        text = int(b.text[i])
-                        lo, hi = b.offsets[text], b.offsets[text + 1]
-                        start = max(lo, lo + (i - b.first[text] - 1) * BLOCK)
-                        end = min(hi, lo + (i - b.first[text] + m + 1) * BLOCK)
-                        share, answer = matched(b.places[start:end].tolist(), k)
-                        if share >= VERBATIM or share >= PARAPHRASE and answer:
-                            passage = b.places[lo + (i - b.first[text]) * BLOCK : min(hi, lo + (i - b.first[text] + m) * BLOCK)]
-                            norm = norms[i : min(i + m, b.first[text + 1])].sum()
-                            c = float(weights[passage[passage >= 0], k].sum() / lengths[k] / np.sqrt(max(norm, 1e-9)))
-                            row = (share, c, -int(start - lo), int(end - lo), answer)
-                            found[text, k] = max(found.get((text, k), row), row)
+                    start = max(lo, lo + (i - b.first[text] - 1) * BLOCK)
+                    end = min(hi, lo + (i - b.first[text] + m + 1) * BLOCK)
+                    share, answer = matched(b.places[start:end].tolist(), k)
+                    if share >= VERBATIM or share >= PARAPHRASE and answer:
+                        row = (share, c, -int(start - lo), int(end - lo), answer)
+                        found[text, k] = max(found.get((text, k), row), row)
                 keys = sorted(found)
                 rows = [found[x] for x in keys]
-                ids = part.column("id").take(pa.array([t for t, _ in keys], pa.int64()))
-                rids = part.column("rid").take(pa.array([t for t, _ in keys], pa.int64()))
-                columns = [ids, rids, pa.array([items.ids[k] for _, k in keys], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[0] for r in rows], pa.float64())]
+                own = pa.array([t for t, _ in keys], pa.int64())
+                columns = [part.column("id").take(own), part.column("num").take(own), pa.array([items.ids[k] for _, k in keys], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[0] for r in rows], pa.float64())]
                 columns += [pa.array([r[4] for r in rows], pa.bool_()), pa.array([-r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "item_id", "cosine", "subsequence", "answer", "start", "end"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "num", "item_id", "cosine", "subsequence", "answer", "start", "end"])
 
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, rid, item_id, cosine, subsequence, answer, start, end): documents that hold an item, words start to end."""
+    """(id, num, item_id, cosine, subsequence, answer, start, end): documents that hold an item, words start to end.
+
+    num numbers the rows, or is the column `num` of docs if there is one.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    shape = f"id {kind}, rid bigint, item_id bigint, cosine double, subsequence double, answer boolean, start bigint, end bigint"
+    num = F.col("num").cast("bigint") if "num" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), num.alias("num"), F.col(text_col).alias("text"))
+    shape = f"id {kind}, num bigint, item_id bigint, cosine double, subsequence double, answer boolean, start bigint, end bigint"
     parts = [spark.createDataFrame([], shape)]
     block: list = []
     asked = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).dropna().orderBy("i", "t")
@@ -268,24 +313,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
+def model(spark: SparkSession, items: Items, idf: np.ndarray) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
+    """What the search needs: the items, the latent row of each word of their vocabulary, the items' places there, the words' weights."""
+    dims = dims_of(items)
+    vectors = passage_vectors(items, idf, dims)
+    directions = latent_space(spark, vectors, int(dims.max()) + 1)
+    return items, directions[dims] * idf[:, None].astype(np.float32), latent_items(vectors, directions), idf
+
+
 def _one_block(rows: DataFrame, items: Items, shape: str) -> DataFrame | None:
     if not items.ids:
         return None
     shared = rows.sparkSession.sparkContext.broadcast
     size = len(items.vocabulary)
-    coded = rows.mapInArrow(_coded(items.vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, rid bigint, places binary")
+    coded = rows.mapInArrow(_coded(items.vocabulary), f"id {rows.schema['id'].dataType.simpleString()}, num bigint, places binary")
     coded = materialise(coded, "places")
-    counts = summed(coded.select("places"), _frequencies(size), size + 1)
-    idf, unknown = weights_of(items, counts), float(np.log(counts[-1] + 2))
-    test = np.random.default_rng(17).standard_normal((len(idf), SKETCH))
-    tools = shared((idf, test))
-    sketch = summed(coded.select("places"), lambda batches: _sketched(*tools.value)(batches), test.size).reshape(test.shape)
-    model = shared((items, *latent_items(items, idf, sketch, test), idf, unknown))
-    return coded.mapInArrow(lambda batches: _search(*model.value)(batches), shape)
+    idf = weights_of(items, summed(coded.select("places"), _frequencies(size), size + 1))
+    made = shared(model(rows.sparkSession, items, idf))
+    return coded.mapInArrow(lambda batches: _search(*made.value)(batches), shape)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, id_col, text_col).select(F.col("rid").alias("__rid")).distinct()
-    names = [f"`{c}`" for c in docs.columns]
-    return docs.withColumn("__rid", row_key(id_col, text_col)).join(found, "__rid", "left_anti").select(*names)
+    whole = numbered(docs)
+    texts = whole.select(F.col(NUM).alias("num"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = leaks(texts, benchmark, "id", "text").select(F.col("num").alias(NUM)).distinct()
+    return whole.join(found, NUM, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than one in HEAVY of all rows is met by broadcast; there are fewer than HEAVY of these.
 HEAVY = 4096
+#: The column of a row's number.
+NUM = "__num"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,11 @@ def met(rows: DataFrame, groups: DataFrame, on: list[str], count: str = "c") ->
     return rows.join(few, on).unionByName(rest)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` written with a number of its own for each row, NUM, by which decisions find back to whole rows."""
+    return materialise(docs.withColumn(NUM, F.monotonically_increasing_id()), "numbered")
+
+
 def row_key(id_col: str, text_col: str):
     """A key of a document: rows that share both id and text are one document and get one decision."""
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))

@@ -125,26 +125,81 @@ def test_leaks_found_and_clean_left(spark, docs, none):
     assert decontam.leaks(docs, benchmark.limit(0)).count() == 0
 
 
-def test_paraphrases_found_at_any_corpus_size():
-    """Items with 20 and 38 % of their words replaced and the answer kept, amid host text."""
+def coded(items, texts):
+    batch = [pa.array(range(len(texts)), pa.int64())] * 2 + [pa.array([np.array(t, "<i4").tobytes() for t in texts], pa.binary())]
+    return pa.RecordBatch.from_arrays(batch, ["id", "num", "places"])
+
+
+def test_paraphrases_found_at_any_corpus_size(spark):
+    """Items with 20 and 38 % of their words replaced and the answer kept, amid host text of which half the words are the items'."""
     rng = random.Random(3)
-    items = decontam.Items(list(range(40)), [" ".join(f"t{rng.randrange(4000)}" for _ in range(rng.randrange(15, 60))) for _ in range(40)])
-    for share in (0.2, 0.38):
-        texts, want = [], set()
-        for k, own in enumerate(items.places):
-            n = len(own)
-            changed = set(rng.sample(range(n - decontam.ANSWER), int(share * n)))
-            words = [-1] * 37 + [-1 if j in changed else int(w) for j, w in enumerate(own)] + [-1] * 50
-            texts.append(np.array(words, "<i4").tobytes())
-            want.add((k, k))
-        batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts, pa.binary())], ["id", "rid", "places"])
-        for blocks in (2.5e5, 3e8):
-            counts = np.append(np.full(len(items.vocabulary), 0.001 * blocks), blocks)
-            idf = decontam.weights_of(items, counts)
-            test = np.random.default_rng(17).standard_normal((len(idf), decontam.SKETCH))
-            weights, lengths = decontam.latent_items(items, idf, np.zeros(test.shape), test)
-            out = pa.Table.from_batches(decontam._search(items, weights, lengths, idf, float(np.log(blocks + 2)))([batch])).to_pydict()
-            assert set(zip(out["id"], out["item_id"], strict=True)) >= want
+    items = decontam.Items(list(range(400)), [" ".join(f"t{rng.randrange(4000)}" for _ in range(rng.randrange(15, 60))) for _ in range(400)])
+    size = len(items.vocabulary)
+    other = lambda: rng.randrange(size) if rng.random() < 0.5 else -1
+    for blocks in (2.5e5, 3e8):
+        made = decontam.model(spark, items, decontam.weights_of(items, np.append(np.full(size, 0.001 * blocks), blocks)))
+        assert made[2].shape[1] == decontam.RANK < len(items.ids)
+        for share in (0.0, 0.2, 0.38):
+            texts = []
+            for own in items.places:
+                changed = set(rng.sample(range(len(own) - decontam.ANSWER), int(share * len(own))))
+                texts.append([other() for _ in range(37)] + [-1 if j in changed else int(w) for j, w in enumerate(own)] + [other() for _ in range(50)])
+            out = pa.Table.from_batches(decontam._search(*made)([coded(items, texts)])).to_pydict()
+            found = set(zip(out["id"], out["item_id"], strict=True))
+            assert len(found & {(k, k) for k in range(400)}) >= (400 if share < 0.3 else 360), (blocks, share)
+            assert len(found) <= 404
+
+
+def test_latent_space_equals_a_plain_decomposition(spark):
+    rng = np.random.default_rng(5)
+    dense = rng.random((90, 300)) * (rng.random((90, 300)) < 0.1) @ np.diag(0.97 ** np.arange(300))
+    vectors = [(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in dense]
+    got = decontam.latent_space(spark, vectors, 300)
+    assert got.shape == (300, 90) and np.allclose(got.T @ got, np.eye(90), atol=1e-4)
+    assert np.allclose(dense @ got @ got.T, dense, atol=1e-4)  # rank 90 is held whole
+
+
+def brute_leaks(texts, items):
+    """Every stretch of whole blocks of every text against every item, without a model."""
+
+    def cut(t):
+        return decontam.plain_words(pa.array([t or ""])).hashes.tolist()
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    out = set()
+    for d, w in enumerate(map(cut, texts)):
+        for k, v in enumerate(map(cut, items)):
+            m = -(-len(v) // decontam.BLOCK) + 1
+            for i in range(-(-len(w) // decontam.BLOCK)):
+                part = w[max(0, (i - 1) * decontam.BLOCK) : (i + m + 1) * decontam.BLOCK]
+                share, n = lcs(v, part) / len(v), min(decontam.ANSWER, len(v))
+                if share >= decontam.VERBATIM or share >= decontam.PARAPHRASE and lcs(v[-n:], part) >= n - 1:
+                    out.add((3 * d, k))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [" ".join(rng.choices([f"w{k}" for k in range(90)], k=rng.randrange(12, 40))) for _ in range(6)]
+    host = lambda n: rng.choices([f"w{k}" for k in range(90)] + [f"o{k}" for k in range(400)], k=n)
+    texts = []
+    for k in range(24):
+        own = items[k % 6].split(" ")
+        for j in rng.sample(range(len(own)), int(len(own) * rng.choice([0, 0.1, 0.25, 0.35, 0.5]))):
+            own[j] = "else"
+        texts.append(" ".join(host(rng.randrange(40)) + own + host(rng.randrange(40))))
+    texts += [" ".join(host(60)) for _ in range(6)] + [texts[0], texts[0], items[0] + " " + " ".join(host(20000)), None]
+    table_ = table(spark, texts)
+    got = {(r.id, r.item_id) for r in decontam.leaks(table_.unionAll(table_.limit(0)), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()}
+    assert got == brute_leaks([t if t is None or len(t) < 9000 else t[:3000] for t in texts], items)
 
 
 def test_common_subsequence():
