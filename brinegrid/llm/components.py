@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, met
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the smallest of u and all its partners; a hub's pairs are reduced before the shuffle."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    """(u, v, m): each pair with the smallest of u and all its partners; a hub's pairs do not meet in one task."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+    return met(pairs, least, ["u"]).drop("c")
 
 
 def _large(edges: DataFrame) -> DataFrame:

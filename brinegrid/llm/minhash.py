@@ -2,17 +2,21 @@
 
 A document's set holds its distinct runs of three words (A-Z lowered). The words of a run, `words`, and the
 threshold `percent` are parameters. Documents of one set form a class, kept by one
-representative. Bands of four minima name buckets, as many as leave a pair at the threshold unmet once in 100,000; in each bucket one member, the pivot, is paired with the others.
-Pairs whose packed bits, corrected for chance agreement, may reach the threshold (and whose parity bits do not rule it out)
-are compared on their full sets, and components are formed. Where a bucket still holds several components, members of different ones are paired in the same
-way, so that no link between components is lost; pairs inside a component need no more proof.
+representative. Bands of four minima name buckets, as many as leave a pair at the threshold unmet once in 100,000; in each bucket
+one member, the pivot, is paired with the others. Pairs whose packed bits, corrected for chance agreement, may reach the threshold
+(and whose parity bits do not rule it out) are compared on their full sets, and components are formed.
+
+Where a bucket still holds several components, the members of these buckets are searched for links between components by an exact
+prefix filter: two sets at the threshold share one of the rarest (100 - percent) % of their runs, rare by the count among these members.
+Frequent runs (licences, menus) are no rare ones, so texts that share only them are never paired; members of one
+component are not either. Pairs inside a component need no proof.
 
 The bit estimate is held against the threshold less four of its standard deviations, which a pair at the threshold fails
 with probability 3e-5.
 
 Defined cases: null text and text without words have empty sets and are linked with nothing; a text of fewer words than a run has
-its whole sequence as one run; rows that share id and text are one document; a null id names no component, its document's is
-that of the others.
+its whole sequence as one run; repeated rows are copies of each other; a null id names no component, its document's is
+that of the others; a text of any length is taken whole; an empty table gives none; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Texts, Words, mix, runs_of, slices
-from .scratch import bucketed, materialise, row_key
+from .scratch import NUM, bucketed, materialise, met, numbered, spread
 
 WORDS = 3
 HASHES = 256
@@ -115,8 +119,8 @@ def _sketch(words: int, n_bands: int):
                     sums[0][full], sums[1][full] = np.add.reduceat(h, starts), np.add.reduceat(mix(h), starts)
                     mins = minima(h, starts)
                     bits[full], bands[full] = pack(mins), band_keys(mins, n_bands)
-                columns = [part.column("id"), part.column("rid"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bits), _lists(odd), _lists(bands)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "rid", "n", "s1", "s2", "bits", "odd", "bands"])
+                columns = [part.column("id"), part.column("num"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _lists(bits), _lists(odd), _lists(bands)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "num", "n", "s1", "s2", "bits", "odd", "bands"])
 
     return run
 
@@ -162,63 +166,110 @@ def _likely(percent: int) -> Column:
     return fits & (_estimate(F.col("bits_a"), F.col("bits_b")) >= least_estimate(percent))
 
 
+def _runs(words: int):
+    """(num, h) for every member of a text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in slices(whole, "text"):
+                doc, h = distinct(*runs_of(Words(Texts(part.column("text")), lower=True), words))
+                yield pa.RecordBatch.from_arrays([part.column("num").take(pa.array(doc)), pa.array(h.view(np.int64))], ["num", "h"])
+
+    return run
+
+
 def _named(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    return df.select(*[F.col(c).alias({"rid": side, "key": "key"}.get(c, f"{c}_{side}")) for c in columns])
+    return df.select(*[F.col(c).alias({"num": side, "key": "key"}.get(c, f"{c}_{side}")) for c in columns])
+
+
+LIGHT = ["num", "n", "bits", "odd"]
+
+
+def _of_pivots(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(buckets, pairs): the shared buckets (num, key, size), and the likely pairs (a, b) of their pivots with the others."""
+    entries = classes.select("num", F.explode("bands").alias("key"))
+    sizes = materialise(entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    shared = materialise(met(entries, sizes, ["key"], "size"), "buckets")
+    # the pivot of a bucket is the member whose buckets are the fullest: of near copies, the one nearest to their origin
+    central = shared.groupBy("num").agg(F.sum(F.log2("size")).alias("at"))
+    pivots = shared.join(central, "num").groupBy("key").agg(F.max(F.struct("at", "num")).alias("p"), F.first("size").alias("size"))
+    light = classes.select(*LIGHT)
+    pivots = materialise(pivots.select("key", "size", F.col("p.num").alias("a")).join(_named(light, "a", LIGHT), "a"), "pivots")
+    pairs = met(shared.select("num", "key"), pivots, ["key"], "size").filter("a != num").drop("key", "size").dropDuplicates(["a", "num"])
+    pairs = pairs.withColumnRenamed("num", "b").join(_named(light, "b", LIGHT), "b").filter(_likely(percent))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return shared, materialise(pairs, "pairs")
+
+
+def _across(shared: DataFrame, first: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of different components among the members of buckets that hold several, by the prefix filter."""
+    member = shared.join(first.withColumnRenamed("id", "num"), "num", "left").select("num", "key", "size", F.coalesce("component", "num").alias("c"))
+    member = materialise(member, "members")
+    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.first("size").alias("size")).filter("low < high")
+    left = met(member.drop("size"), materialise(mixed.select("key", "size"), "mixed"), ["key"], "size").select("num", "c").distinct()
+    left = materialise(left.join(classes.select(*LIGHT), "num"), "left")
+    runs = materialise(texts.select("num", "text").join(left.select("num"), "num", "left_semi").mapInArrow(_runs(words), "num bigint, h bigint"), "runs")
+    # a run that one member holds joins nothing, but takes its place among the rarest
+    often = materialise(runs.groupBy("h").agg(F.count("*").alias("often")), "often")
+    ranked = met(runs, often, ["h"], "often").join(left.select("num", "n", "c"), "num")
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("num").orderBy("often", "h")))
+    prefix = ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("often > 1").select("num", "h", "c")
+    prefix = materialise(prefix, "prefixes")
+    # of each run, its members outside the component that holds most of them are paired with all
+    kinds = prefix.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("most"))
+    kinds = materialise(kinds.filter("most.k < size").select("h", "size", F.col("most.c").alias("most")), "mostly")
+    every = materialise(met(prefix, kinds, ["h"], "size").withColumn("few", F.expr("c != most")), "postings")
+    minor = every.filter("few").select("h", F.col("num").alias("a"), F.col("c").alias("c_a"))
+    other = every.select("h", F.col("num").alias("b"), F.col("c").alias("c_b"), F.col("few").alias("few_b"))
+    pairs = spread(other, minor, ["h"], "b").filter("c_a != c_b and (not few_b or a < b)")
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
+    light = left.select(*LIGHT)
+    pairs = spread(spread(pairs, _named(light, "a", LIGHT), ["a"], "b"), _named(light, "b", LIGHT), ["b"], "a")
+    return materialise(pairs.filter(_likely(percent)).select("a", "b"), "likely")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, rid, n_shingles, component_id) for every row of `docs`; rid is the row's key (scratch.row_key)."""
+    """(id, num, n_shingles, component_id, chosen) for every row of `docs`.
+
+    num numbers the rows, or is the column `num` of docs if there is one; chosen: the num of one row of the component, of the smallest id.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketch(words, bands_for(percent)), f"id {kind}, rid bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, odd array<bigint>, bands array<bigint>"), "sketches")
-    texts = bucketed(rows.select("rid", "text"), "rid", "texts_near")
+    num = F.col("num").cast("bigint") if "num" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), num.alias("num"), F.col(text_col).alias("text"))
+    texts = bucketed(rows, "num", "texts_near")
+    sketches = materialise(texts.mapInArrow(_sketch(words, bands_for(percent)), f"id {kind}, num bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, odd array<bigint>, bands array<bigint>"), "sketches")
     sets = ["n", "s1", "s2"]
     # exact copies are reduced before the shuffle, so a group of copies arrives as a row for each task
-    classes = materialise(sketches.filter("n > 0").groupBy(sets).agg(F.min(F.struct("rid", "bits", "odd", "bands")).alias("r")).select(*sets, "r.*"), "classes")
-    entries = classes.select("rid", F.explode("bands").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialise(entries.join(sizes, "key"), "buckets")
-    # the pivot of a bucket is the member whose buckets are the fullest: of near copies, the one nearest to their origin
-    central = shared.groupBy("rid").agg(F.sum(F.log2("size")).alias("at"))
-    pivots = shared.select("rid", "key").join(central, "rid").groupBy("key").agg(F.max(F.struct("at", "rid")).alias("p")).select("key", F.col("p.rid").alias("a"))
-
-    columns = ["rid", "n", "bits", "odd"]
-    light = classes.select(*columns)
-    pairs = shared.select("rid", "key").join(pivots, "key").filter("a != rid").select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
-    pairs = pairs.join(_named(light, "a", columns), "a").join(_named(light, "b", columns), "b").filter(_likely(percent)).select("a", "b")
-    links = _links(materialise(pairs, "pairs"), texts, words, percent)
-    first = components(links)
-
-    # buckets that hold several components: pairs across components, each in the first bucket that both share
-    member = shared.select("rid", "key").join(first.withColumnRenamed("id", "rid"), "rid", "left").select("rid", "key", F.coalesce("component", "rid").alias("c"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
-    left = materialise(member.join(mixed, "key").join(classes.select(*columns, "bands"), "rid"), "mixed")
-    columns = ["key", "c", *columns, "bands"]
-    x, y = _named(left, "a", columns), _named(left, "b", columns)
-    place = lambda side: F.array_position(f"bands_{side}", F.col("key"))
-    earlier = F.exists(F.zip_with(F.slice("bands_a", 1, (place("a") - 1).cast("int")), F.slice("bands_b", 1, (place("b") - 1).cast("int")), lambda p, q: p == q), lambda same: same)
-    across = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _likely(percent) & ~earlier).select("a", "b").distinct()
-    more = _links(materialise(across, "across"), texts, words, percent)
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "num").alias("own")
+    classes = sketches.filter("n > 0").groupBy(sets).agg(F.min(F.struct("num", "bits", "odd", "bands")).alias("r"), F.min(own).alias("own"), F.count("*").alias("copies"))
+    classes = materialise(classes.select(*sets, "own", "copies", "r.*"), "classes")
+
+    shared, pairs = _of_pivots(classes, percent)
+    first = materialise(components(_links(pairs, texts, words, percent)), "components")
+    more = _links(_across(shared, first, classes, texts, words, percent), texts, words, percent)
     joined = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    of = classes.select(*sets, F.col("rid").alias("class")).join(joined.withColumnRenamed("id", "class"), "class", "left").select(*sets, F.coalesce("component", "class").alias("component"))
-    members = sketches.select("id", "rid", *sets).join(of, sets, "left")
-    smallest = members.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    named = members.join(smallest, "component", "left")
-    return named.select("id", "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    of = materialise(classes.join(joined.withColumnRenamed("id", "num"), "num", "left").select(*sets, "copies", "own", F.coalesce("component", "num").alias("component")), "of")
+    least = of.groupBy("component").agg(F.min("own").alias("least"), F.count("*").alias("c"))
+    of = materialise(met(of.drop("own"), materialise(least, "least"), ["component"]).select(*sets, "copies", F.col("least.id").alias("component_id"), F.col("least.num").alias("chosen")), "named")
+    named = met(sketches.filter("n > 0").select("id", "num", *sets), of, sets, "copies").select("id", "num", "n", "component_id", "chosen")
+    empty = sketches.filter("n = 0").select("id", "num", "n", F.col("id").alias("component_id"), F.col("num").alias("chosen"))
+    return named.unionByName(empty).withColumnRenamed("n", "n_shingles")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    texts = materialise(texts.join(ends, "rid", "left_semi").dropDuplicates(["rid"]), "texts")
-    put = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
+    ends = pairs.select(F.col("a").alias("num")).unionByName(pairs.select(F.col("b").alias("num"))).distinct()
+    texts = materialise(texts.join(ends, "num", "left_semi").select("num", "text"), "texts")
+    side = lambda x: texts.select(F.col("num").alias(x), F.col("text").alias(f"text_{x}"))
+    # a pivot's text goes to as many tasks as its pairs fill
+    put = spread(spread(pairs, side("a"), ["a"], "b"), side("b"), ["b"], "a")
     return materialise(put.mapInArrow(_confirm(words, percent), "a bigint, b bigint"), "confirmed")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each group: of its smallest id, or the smallest key of rows without ids; rows without words all stay."""
-    found = near_duplicates(docs, id_col, text_col, words, percent).groupBy("rid").agg(F.first("id").alias("id"), F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
-    kept = found.filter(F.col("n").eqNullSafe(0) | F.col("id").eqNullSafe(F.col("c"))).select(F.col("rid").alias("__rid"))
-    names = [f"`{c}`" for c in docs.columns]
-    return docs.withColumn("__rid", row_key(id_col, text_col)).join(kept, "__rid", "left_semi").select(*names)
+    """One row of each group, of its smallest id (rows without ids come last); rows without words all stay; ties are one row's."""
+    whole = numbered(docs)
+    texts = whole.select(F.col(NUM).alias("num"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kept = near_duplicates(texts, "id", "text", words, percent).filter("num = chosen").select(F.col("num").alias(NUM))
+    return whole.join(kept, NUM, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -62,6 +62,20 @@ def met(rows: DataFrame, groups: DataFrame, on: list[str], count: str = "c") ->
     return rows.join(few, on).unionByName(rest)
 
 
+#: Rows of one key that `spread` puts into one task.
+CHUNK = 256
+
+
+def spread(rows: DataFrame, side: DataFrame, on: list[str], by: str) -> DataFrame:
+    """`rows` joined with `side`, which may hold several and large rows for a key: a key's rows are dealt, by the column `by`,
+    over as many parts as they fill CHUNK times, and each part gets the key's rows of `side`."""
+    counts = materialise(rows.groupBy(on).agg(F.count("*").alias("__c")), "counts")
+    parts = F.ceil(F.col("__c") / CHUNK)
+    dealt = met(rows, counts, on, "__c").withColumn("__part", F.pmod(F.xxhash64(by), parts)).drop("__c")
+    copied = side.join(counts, on).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__c")
+    return dealt.join(copied, [*on, "__part"]).drop("__part")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """`docs` written with a number of its own for each row, NUM, by which decisions find back to whole rows."""
     return materialise(docs.withColumn(NUM, F.monotonically_increasing_id()), "numbered")

@@ -60,6 +60,41 @@ def test_empty_and_twins(spark, none):
     assert [r.component_id for r in minhash.near_duplicates(twins.unionAll(twins)).collect()] == [0, 0]
 
 
+def test_boilerplate_makes_no_pairs(spark, monkeypatch):
+    """Texts that share half of their runs, and so many buckets, but are no near copies: few pairs come to be compared."""
+    rng = random.Random(6)
+    common = words(rng, 60)
+    texts = [common + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) for _ in range(3000)]
+    texts += [texts[5] + " end", texts[77].replace("u", "v", 1)]
+    seen, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda pairs, *rest: (seen.append(pairs.count()), links(pairs, *rest))[1])
+    got = {r.id: r.component_id for r in minhash.near_duplicates(table(spark, texts).repartition(4)).collect()}
+    assert {i for i, c in got.items() if i != c} == {9000, 9003} and got[9000] == 15 and got[9003] == 231
+    assert sum(seen) < 3000
+
+
+def test_recall_at_the_threshold(spark):
+    """800 pairs of sets that share 86 to 90 % of their runs: all are linked."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(800):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(162)]
+        texts += [" ".join(w), " ".join(w[: rng.randrange(140, 146)] + [f"x{rng.randrange(10**9)}" for _ in range(2)])]
+    got = {r.id: r.component_id for r in minhash.near_duplicates(table(spark, texts).repartition(4)).collect()}
+    want = brute_pairs = 0
+    for k in range(0, len(texts), 2):
+        a, b = (set(zip(w, w[1:], w[2:], strict=False)) for w in (texts[k].split(" "), texts[k + 1].split(" ")))
+        if 100 * len(a & b) >= 85 * len(a | b):
+            want, brute_pairs = want + 1, brute_pairs + (got[3 * k + 3] == 3 * k)
+    assert want > 300 and brute_pairs >= 0.999 * want
+
+
+def test_rows_without_ids_keep_one(spark):
+    rows = spark.createDataFrame([(None, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "q r s t"), (7, "x y z"), (7, "x y z"), (None, None), (None, "")], "doc_id bigint, text string")
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(rows).collect()), key=str)
+    assert kept == sorted([(None, "a b c d e f g h"), (None, "q r s t"), (7, "x y z"), (None, None), (None, "")], key=str)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40) if k % 10] + [(100, 3), (100, 35)], "a bigint, b bigint")
     got = {r.id: r.component for r in components.components(links).collect()}
