@@ -100,6 +100,88 @@ def test_language_model_counts(spark, docs, texts):
         assert r.score < 0
 
 
+def ids_of(rng, n, kinds=300):
+    """A batch of coded texts, and the same as lists."""
+    texts = [[rng.randrange(kinds) for _ in range(rng.randrange(1, 40))] for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array([np.array(t, "<i4").tobytes() for t in texts], pa.binary())], ["ids"]), texts
+
+
+def plain_logs(weights, bias, ids, k):
+    """log P(class | history) of token k of a text, feature by feature."""
+    none = maxent.VOCABULARY + 1
+    before = [ids[k - d] if k >= d else none for d in (1, 2, 3)]
+    keys = [*before, before[0] * (maxent.VOCABULARY + 2) + before[1]]
+    slots = [int(maxent.mix(np.array([4 * key + s], np.uint64))[0] >> np.uint64(50)) for s, key in enumerate(keys)]
+    z = bias.astype(float) + sum(weights[:, s].astype(float) for s in slots)
+    return slots, z - math.log(sum(math.exp(x) for x in z))
+
+
+def test_gradient_sums_equal_plain_ones():
+    rng, draw = random.Random(2), np.random.default_rng(2)
+    batch, texts = ids_of(rng, 60)
+    weights = draw.normal(0, 0.3, (maxent.CLASSES, maxent.HASHED)).astype(np.float32)
+    bias = draw.normal(0, 1, maxent.CLASSES).astype(np.float32)
+    classes = draw.integers(0, maxent.CLASSES, maxent.VOCABULARY + 1)
+    seen, due = np.zeros((2, maxent.HASHED, maxent.CLASSES))
+    for t in texts:
+        for k in range(len(t)):
+            slots, logs = plain_logs(weights, bias, t, k)
+            assert math.isclose(sum(math.exp(x) for x in logs), 1.0)
+            for s in slots:
+                seen[s, classes[t[k]]] += 1
+                due[s] += np.exp(logs)
+    assert np.array_equal(maxent._observed(classes)([batch]).reshape(seen.shape), seen)
+    assert np.allclose(maxent._expected(weights, bias)([batch]).reshape(due.shape), due, rtol=1e-4, atol=1e-4)
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all words and the end after one history, P(token | history) sums to 1."""
+    rng = random.Random(7)
+    names = [f"w{k}" for k in range(40)]
+    learn = [(k, " ".join(rng.choices(names, weights=range(1, 41), k=50))) for k in range(200)]
+    stem = learn[0][1].split(" ")[:20]
+    made = {}
+    broadcast = spark.sparkContext.broadcast
+
+    # the model as it goes to the tasks
+    def keep(value):
+        if isinstance(value, tuple) and len(value) == 4:
+            made["model"] = value
+        return broadcast(value)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: keep(value))
+        maxent.score(spark.createDataFrame(learn, "doc_id bigint, text string"), F.lit(True)).count()
+    weights, bias, classes, inside = made["model"]
+    counts = Counter(w for _, t in learn for w in [*t.split(" "), "\n"])
+    ranked = sorted(counts, key=lambda w: -counts[w])
+    ids = [ranked.index(w) for w in stem]
+    if len(set(counts.values())) < len(counts):
+        pytest.skip("ranks of equal counts follow hashes")
+    logs = plain_logs(weights, bias, [*ids, 0], len(ids))[1]
+    word = lambda k, c: math.exp(logs[classes[k]]) * (c + maxent.SMOOTH) / 10 ** inside[classes[k]]
+    assert math.isclose(sum(word(k, counts[w]) for k, w in enumerate(ranked)) + word(maxent.VOCABULARY, 0), 1.0, rel_tol=1e-6)
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    """The long histories know what the corpus holds: copies of trained texts gain on texts of the same words."""
+    rng = random.Random(15)
+    rows = [(k, words(rng, 150, 150)) for k in range(600)]
+    rows += [(1000 + k, rows[k][1]) for k in range(100)]
+    got = {r.id: r.score - r.base_score for r in maxent.score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.lit(True)).collect()}
+    assert np.mean([got[1000 + k] for k in range(100)]) > np.mean([got[k] for k in range(100, 600)]) + 3
+    assert all(got[k] == pytest.approx(got[1000 + k]) for k in range(100))
+
+
+def test_most_frequent_words(spark, monkeypatch):
+    counts = spark.createDataFrame([(k, 1 + 1000 // (k + 1)) for k in range(200)], "h bigint, c bigint")
+    h, c = maxent.most_frequent(counts)
+    assert len(h) == 200 and c.tolist() == sorted(c.tolist(), reverse=True)
+    monkeypatch.setattr(maxent, "TOP", 20)
+    h, c = maxent.most_frequent(counts)
+    assert 15 <= len(h) <= 20 and h.tolist() == list(range(len(h)))
+
+
 def test_language_model_edge_cases(spark, docs, none):
     assert maxent.score(none, F.lit(True)).count() == 0
     untrained = maxent.score(docs, F.lit(False)).collect()
