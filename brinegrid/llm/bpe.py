@@ -6,7 +6,9 @@ changed since are skipped. Decoding concatenates vocabulary strings with a space
 decoder does. Special tokens' strings in a text are those tokens.
 
 Defined cases: null text is empty and has no ids; a symbol outside the vocabulary is dropped, as there is no unknown
-token; letters are those of the regex module's Unicode tables; rows are independent, so ties and repeated rows need no rule; an empty table gives an empty result.
+token; letters and digits are those of Unicode 16, as in the tokenizers library, whatever the regex module has (NOT_YET_LETTERS);
+rows are independent, so ties and repeated rows need no rule; a text of any length is one row; an empty table gives an empty
+result. A vocabulary file with other steps than these (flags of special tokens, other splits, a decoder) is refused.
 """
 
 from __future__ import annotations
@@ -30,6 +32,24 @@ CACHE_WORDS = 400_000
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
+#: Code points that are letters, or digits, only after Unicode 16.
+NOT_YET_LETTERS = (
+    "\\u0558\\u058B-\\u058C\\u088F\\u0C5C\\u0CDC\\u208F\\u209D-\\u209F\\uA7CE-\\uA7CF\\uA7D2\\uA7D4\\uA7DD\\uA7E2\\uA7F1\\uAB6C-\\uAB6D"
+    "\\U000107BB-\\U000107BF\\U00010940-\\U00010959\\U00010EC5-\\U00010EC7\\U00010ED9-\\U00010EEE\\U00011B0A\\U00011DB0-\\U00011DDB"
+    "\\U00011DF1\\U00016EA0-\\U00016EB8\\U00016EBB-\\U00016ED3\\U00016FF2-\\U00016FF3\\U000187F8-\\U000187FF\\U00018CD6-\\U00018CDA"
+    "\\U00018D09-\\U00018D20\\U00018D80-\\U00018DF2\\U00018E00-\\U00019191\\U000191A0-\\U000191D2\\U0001B123-\\U0001B128\\U0001B168"
+    "\\U0001D6A6\\U0001DF1F-\\U0001DF24\\U0001DF2B-\\U0001DF81\\U0001DF90-\\U0001DF96\\U0001DFCD-\\U0001DFFF\\U0001E6C0-\\U0001E6DE"
+    "\\U0001E6E0-\\U0001E6E2\\U0001E6E4-\\U0001E6E5\\U0001E6E7-\\U0001E6ED\\U0001E6F0-\\U0001E6F4\\U0001E6FE-\\U0001E6FF"
+    "\\U0002B73A-\\U0002B73F\\U0002B81E\\U0002CEA2-\\U0002CEAD\\U000323B0-\\U00033479\\U0003D000-\\U0003FC3F"
+)
+NOT_YET_NUMBERS = "\\U00011DE0-\\U00011DE9\\U0001246F\\U00012475-\\U0001247F\\U00012550-\\U00012686\\U00016FF4-\\U00016FF6"
+#: First and last capital of Unicode 16 and 17 that Python's tables lack, and the first one's small letter.
+LATE_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5)]
+LATE_CAPITALS += [(0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+LATE = {chr(c): chr(small + c - first) for first, last, small in LATE_CAPITALS for c in range(first, last + 1)}
+LATE_CAPITAL = regex.compile("[" + "".join(LATE) + "]")
+
+
 def byte_letters() -> list[str]:
     others = iter(range(0x100, 0x200))
     return [chr(b) if b in set(PRINTABLE) else chr(next(others)) for b in range(256)]
@@ -49,8 +69,15 @@ class Bpe:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.specials.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.word = regex.compile(pattern)
+        split, *rest = spec["pre_tokenizer"]["pretokenizers"]
+        flags = [t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")]
+        steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        plain = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and [p["type"] for p in rest] == ["ByteLevel"]
+        if any(flags) or not plain or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or model["unk_token"] or model["byte_fallback"]:
+            raise ValueError("the vocabulary file asks for steps that are not built here")
+        # the same classes of characters as in the file, less those that its library does not know yet
+        known = split["pattern"]["Regex"].replace("\\p{L}", f"[\\p{{L}}--[{NOT_YET_LETTERS}]]").replace("\\p{N}", f"[\\p{{N}}--[{NOT_YET_NUMBERS}]]")
+        self.word = regex.compile(known, regex.V1)
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
@@ -96,7 +123,7 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         out: list[bytes] = []
         at = 0
-        for found in self.special.finditer(text) if self.specials and "<|" in text else ():
+        for found in self.special.finditer(text):
             out += self.encode_plain(text[at : found.start()])
             out.append(np.array([self.specials[found[0]]], "<u4").tobytes())
             at = found.end()
@@ -109,6 +136,9 @@ class Bpe:
 
 def lowered(text: str) -> str:
     """Lower case letter by letter: a final sigma is not told from others."""
+    if text.isascii():
+        return text.lower()
+    text = LATE_CAPITAL.sub(lambda m: LATE[m[0]], text)
     return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
 
 

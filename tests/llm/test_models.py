@@ -29,6 +29,22 @@ def test_bpe_equals_the_library(docs, texts):
         assert got[3 * k].decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_every_character():
+    """Each code point between letters, digits and marks, as the library cuts and lowers it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.Bpe(open(path).read())
+    library.no_truncation()
+    library.no_padding()
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(every), 4096):
+        text = " ".join(f"a{c}b 1{c}2 !{c}" for c in every[lo : lo + 4096])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(lo)
+    for text in ("<|endoftext|><|endoftext|>x", "a<|startoftext|", "< |endoftext|>", "ΑΣ ΑΣΑ"):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        bpe.Bpe(open(path).read().replace('"lstrip": false', '"lstrip": true').replace('"lstrip":false', '"lstrip":true'))
+
+
 def test_bpe_of_no_rows(none):
     assert bpe.encode(none, open(public_tokenizers.path("word_bpe_49k.json")).read()).count() == 0
 
