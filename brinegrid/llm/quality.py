@@ -3,10 +3,11 @@
 Indicators are the distinct byte four-grams, words and word pairs of a text and tenths of its shares of repeated words,
 distinct words, capitals and marks, hashed into 2**18 features. On a sample of
 at most `sample` labelled rows (those whose ids hash lowest) the log ratio of each feature's smoothed class counts scales
-its indicator, rows are brought to length one, and dual coordinate descent fits the hinge loss. The sample bounds what the
-fit holds; every text is scored.
+its indicator, rows are brought to length one, and dual coordinate descent fits the hinge loss. Features that fewer than RARE
+sampled rows hold are dropped inside the tasks, and rows are taken, in the order of the ids' hashes, while they hold no more
+than FEATURES together, so what the driver fits is bounded whatever the texts' lengths; every text is scored.
 
-Defined cases: null text is empty and gets the score of the intercept alone; a document with several labels counts once,
+Defined cases: null text is empty and has only the indicators of its shape; a text of any length is scored whole; a document with several labels counts once,
 with label 1 if their mean is at least 0.5; null labels or ids teach nothing; with labels of one class only, or none,
 every score is that class's share (0.5 without labels); texts are scored row by row, so ties and repeated rows keep their
 own rows and equal texts equal scores.
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, Words, slices
+from .scratch import materialise
+from .sums import summed
 
 BITS = 18
 SAMPLE = 8000
@@ -30,6 +33,8 @@ EPOCHS = 20
 SMOOTH = 1.0
 #: A feature that fewer sampled rows hold says nothing.
 RARE = 5
+#: Features of all sampled rows together that the driver holds (four bytes each).
+FEATURES = 1 << 25
 
 
 def indicators(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +76,12 @@ def _shape(texts: Texts, words: Words) -> np.ndarray:
 
 
 def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Of each feature: log of its smoothed share among rows of label 1 over that among rows of label 0; 0 for rare ones."""
+    """Of each feature: log of its smoothed share among rows of label 1 over that among rows of label 0; 0 where no row holds it."""
     held = np.full((2, 1 << BITS), SMOOTH)
     for f, y in zip(rows, labels.tolist(), strict=True):
         held[y][f] += 1.0  # a row's features are distinct
     q, p = held
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    return np.where(p + q >= RARE + 2 * SMOOTH, ratio, 0.0)
+    return np.where(p + q > 2 * SMOOTH, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
 
 
 def descend(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -110,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col
     """(weights, intercept), or the one label's share; of labelled rows for which `train`, over the column id, holds."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna().filter(train)
     chosen = chosen.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    chosen = chosen.withColumn("draw", F.xxhash64("id")).orderBy("draw", "id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("draw", "y", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,9 +124,29 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col
                 doc, feature = indicators(texts)
                 ends = np.searchsorted(doc, np.arange(len(texts) + 1))
                 packed = [feature[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(packed, pa.binary())], ["y", "features"])
-
-    got = rows.mapInArrow(extract, "y int, features binary").toArrow()
+                yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("y"), pa.array(packed, pa.binary())], ["draw", "y", "features"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(1 << BITS)
+        for batch in batches:
+            for x in batch.column("features").to_pylist():
+                total[np.frombuffer(x, "<u4")] += 1
+        return total
+
+    held = materialise(rows.mapInArrow(extract, "draw bigint, y int, features binary"), "features")
+    common = docs.sparkSession.sparkContext.broadcast(summed(held.select("features"), counted, 1 << BITS) >= RARE)
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x, "<u4") for x in batch.column("features").to_pylist()]
+            packed = [f[common.value[f]].tobytes() for f in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("y"), pa.array(packed, pa.binary())], ["draw", "y", "features"])
+
+    held = materialise(held.mapInArrow(pruned, "draw bigint, y int, features binary"), "pruned")
+    sizes = held.groupBy("draw").agg(F.sum(F.octet_length("features") / 4).alias("n")).orderBy("draw").collect()
+    fits = np.cumsum([r["n"] for r in sizes]) <= FEATURES
+    last = sizes[max(int(fits.sum()) - 1, 0)]["draw"] if sizes else 0
+    got = held.filter(F.col("draw") <= last).select("y", "features").toArrow()
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.5

@@ -69,6 +69,47 @@ def test_quality_on_held_out_rows(spark, docs):
     assert all(0 <= r["__s"] <= 1 for r in scored.collect())
 
 
+def test_indicators_and_fit_equal_plain_ones(texts):
+    """Features of the whole text by sets, and the dual descent's weights by a plain loop over dense rows."""
+    short = [t or "" for t in texts if len(t or "") < 3000]
+    doc, feature = quality.indicators(quality.Texts(pa.array(short)))
+    for k, t in enumerate(short):
+        own, b = set(feature[doc == k].tolist()), t.encode()
+        grams = {int(np.uint32(int.from_bytes(b[i : i + 4], "little")) * np.uint32(0x9E3779B1) >> np.uint32(32 - quality.BITS)) for i in range(len(b) - 3)}
+        assert grams <= own and len(own) <= len(grams) + 2 * len(t.split()) + 5 and len(own) == (doc == k).sum()
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(60)]
+    labels = np.array([int(r.sum() % 3 == 0) for r in rows])
+    ratio = quality.log_ratios(rows, labels)
+    p, q = (np.array([1 + sum(f in r for r, y in zip(rows, labels, strict=True) if y == c) for f in range(40)]) for c in (1, 0))
+    full = lambda x, rows_: x.sum() + (1 << quality.BITS) - 40
+    assert np.allclose(ratio[:40], np.log(p / full(p, rows)) - np.log(q / full(q, rows)))
+    dense = np.array([np.where(np.isin(np.arange(40), r), ratio[:40], 0) for r in rows])
+    dense = np.c_[dense / np.linalg.norm(dense, axis=1, keepdims=True), np.ones(60)]
+    w, alpha, y, turn = np.zeros(41), np.zeros(60), 2 * labels - 1, np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        moved = 0.0
+        for i in turn.permutation(60):
+            new = np.clip(alpha[i] - (y[i] * w @ dense[i] - 1) / (dense[i] @ dense[i]), 0, quality.COST)
+            w, moved, alpha[i] = w + (new - alpha[i]) * y[i] * dense[i], max(moved, abs(new - alpha[i])), new
+        if moved < 1e-3:
+            break
+    got = quality.descend(rows, ratio, labels)
+    for i in range(60):
+        assert got[rows[i]].sum() / np.sqrt((ratio[rows[i]] ** 2).sum()) + got[-1] == pytest.approx(w @ dense[i], abs=1e-6)
+
+
+def test_quality_of_equal_texts_and_small_bounds(spark, monkeypatch):
+    rows, labels = corpus(spark, 120)
+    twice = rows.unionAll(rows.withColumn("doc_id", F.col("doc_id") + 10000))
+    scores = {}
+    for r in quality.classify(twice, labels, out="__s").collect():
+        scores.setdefault(r.text, set()).add(r["__s"])
+    assert all(len(s) == 1 for s in scores.values())
+    monkeypatch.setattr(quality, "FEATURES", 2000)
+    assert quality.classify(rows, labels).count() == 120
+
+
 def test_quality_edge_cases(spark, docs, none):
     labels = spark.createDataFrame([(0, 1), (0, 0), (None, 1)], "doc_id bigint, quality int")
     out = quality.classify(docs, labels, out="__s")
