@@ -7,7 +7,8 @@ into a hexadecimal string; likeness corrects the share of equal positions for ch
 
 Defined cases: null text is empty; a text of one to four words is one run; a text without words has the fingerprint
 "", like only to another of these (1.0, else 0.0). Rows that share an id follow each other in the order of their texts'
-hashes; a null id comes last in descending order. With one row its next document is itself.
+hashes; a null id comes last in descending order. With one row its next document is itself; an empty table gives none; extra
+columns are not carried; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -77,25 +78,35 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """`docs` with the column `next`: `columns` of the row that follows in descending `order` (after the last: the first).
 
-    The order is cut into ranges at quantiles, at most 16384 numbers on the driver whatever the input, and each range is
-    a window partition. The highest row of a range is dealt to the range above as well, where it ends the window.
+    The order is cut into ranges at quantiles, at most 8192 numbers on the driver whatever the input, and each range is
+    a window partition. A number that fills several ranges (rows without ids, say) has a range of its own, cut by its rows'
+    hashes. The first row of a range is dealt to the range before as well, where it ends the window.
     """
     spark = docs.sparkSession
     n = min(8192, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 63)))
-    bounds = docs.select(F.percentile_approx(key, [(i + 1) / n for i in range(n - 1)], 10 * n).alias("q")).first()["q"] or []
-    bounds = F.lit(sorted(set(bounds)) or [0])
-    part = F.size(F.filter(bounds, lambda b: b < key))
-    tops = {r["p"]: r["top"] for r in docs.groupBy(part.alias("p")).agg(F.max(key).alias("top")).collect()}
-    parts = sorted(tops)
-    edges = [(tops[p], q) for p, q in zip(parts, parts[1:] + parts[:1], strict=True)]
-    edge = spark.createDataFrame(edges, "`__key` bigint, `__to` int")
-    dealt = docs.withColumns({"__key": key, "__part": part}).join(F.broadcast(edge), "__key", "left")
+    found = docs.select(F.percentile_approx(key, [(i + 1) / n for i in range(n - 1)], 10 * n).alias("q")).first()["q"] or []
+    times = {q: found.count(q) for q in set(found)}
+    heavy = {q for q, k in times.items() if k > 1}
+    bounds = sorted(set(found) | {q - 1 for q in heavy if q > -(1 << 63)}) or [0]
+    pieces = [times[q] + 1 if q in heavy else 1 for q in bounds] + [1]
+    base = [sum(pieces[p + 1 :]) for p in range(len(pieces))]
+    # the number of bounds under the key, by binary search
+    steps = F.lit([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    under = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(F.lit(bounds), at + s - 1) < F.col("__key"), at + s).otherwise(at))
+    share = (F.shiftright("__tie", 32) + (1 << 31)) * F.get(F.lit(pieces), F.col("__under"))
+    dealt = docs.withColumns({"__key": key, "__tie": F.xxhash64(*columns)}).withColumn("__under", under)
+    dealt = dealt.withColumn("__part", (F.get(F.lit(base), F.col("__under")) + F.shiftright(share, 32)).cast("int"))
+    firsts = {r["p"]: (~r["f"]["k"], r["f"]["t"]) for r in dealt.groupBy(F.col("__part").alias("p")).agg(F.min(F.struct(F.bitwise_not("__key").alias("k"), F.col("__tie").alias("t"))).alias("f")).collect()}
+    parts = sorted(firsts)
+    edges = [(*firsts[q], p) for p, q in zip(parts, parts[1:] + parts[:1], strict=True)]
+    edge = spark.createDataFrame(edges, "`__key` bigint, `__tie` bigint, `__to` int")
+    dealt = dealt.join(F.broadcast(edge), ["__key", "__tie"], "left")
     ways = F.array_compact(F.array(F.struct(F.lit(False).alias("extra"), F.col("__part").alias("p")), F.when(F.col("__to").isNotNull(), F.struct(F.lit(True).alias("extra"), F.col("__to").alias("p")))))
     dealt = dealt.withColumn("__way", F.explode(ways)).withColumns({"__p": F.col("__way.p"), "__extra": F.col("__way.extra")})
     over = Window.partitionBy("__p").orderBy("__extra", F.desc("__key"), "__tie")
-    dealt = dealt.withColumn("__tie", F.xxhash64(*columns)).withColumn("next", F.lead(F.struct(*columns)).over(over))
-    return dealt.filter("not __extra").drop("__key", "__part", "__to", "__way", "__p", "__extra", "__tie")
+    dealt = dealt.withColumn("next", F.lead(F.struct(*columns)).over(over))
+    return dealt.filter("not __extra").drop("__key", "__tie", "__under", "__part", "__to", "__way", "__p", "__extra")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

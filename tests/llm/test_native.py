@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -64,6 +65,45 @@ def test_likeness_is_near_the_true_similarity(docs, texts):
         assert abs(rows[3 * k].near_edited - want) < 0.2, (k, want, rows[3 * k].near_edited)
 
 
+def test_fingerprints_equal_plain_ones(spark, docs, texts):
+    """Bins, probes and low bits by loops, from the same hashes of words and of runs."""
+    split = {3 * k: [w for w in re.split("[ \\t\\n\\x0b\\x0c\\r]+", t or "") if w] for k, t in enumerate(texts)}
+    names = sorted({w for ws in split.values() for w in ws})
+    of = {r.w: r.h for r in spark.createDataFrame([(w,) for w in names], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = {tuple(ws[i : i + 5]) for ws in split.values() if ws for i in range(max(1, len(ws) - 4))}
+    hashed = spark.createDataFrame([(list(r), [of[w] for w in r]) for r in runs], "r array<string>, hs array<bigint>")
+    five = F.xxhash64(*[F.get("hs", F.lit(k)) for k in range(5)])
+    run_of = {tuple(r.r): r.h for r in hashed.select("r", F.when(F.size("hs") == 5, five).otherwise(F.xxhash64("hs")).alias("h")).collect()}
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    bins = fingerprints.BINS
+    for i, ws in split.items():
+        least = {}
+        for j in range(max(1, len(ws) - 4) if ws else 0):
+            h = run_of[tuple(ws[j : j + 5])]
+            b = (h % 2**64) >> 57
+            least[b] = min(least.get(b, h), h)
+        want = ""
+        for b in range(bins) if least else ():
+            t, at = 0, b
+            while at not in least:  # the probe order of bin b
+                at, t = (fingerprints._steps[b] * t - (b * 73 + 29) % bins) % bins, t + 1
+            want += f"{least[at] % 256:02x}"
+        assert rows[i].fingerprint == want, i
+
+
+def test_next_document_of_a_heavy_id(spark):
+    """Two thirds of the rows without an id: all rows still form one ring in order."""
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = fingerprints.with_next(many, "doc_id", ["doc_id", "text"]).collect()
+    after = {r.text: r.next.text for r in rows}
+    assert len(rows) == len(after) == len(set(after.values())) == 3000
+    text, seen = "text 2997", []
+    for _ in range(3000):
+        seen.append(text)
+        text = after[text]
+    assert text == "text 2997" and seen[:1000] == [f"text {k}" for k in range(2997, -1, -3)]
+
+
 def test_next_document_over_many_ranges(spark):
     many = spark.range(3000).select((F.col("id") * 7 % 3001).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     ids = sorted((r.doc_id for r in many.collect()), reverse=True)
