@@ -28,6 +28,8 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every end of a link (columns a, b); a component is named by its smallest id."""
     edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct(), "links")
+    if edges.isEmpty():
+        return edges.toDF("id", "component")
     mark = None
     while True:
         edges = materialise(_small(_large(edges)).filter("u != v").distinct(), "stars")

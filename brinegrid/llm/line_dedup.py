@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import row_key
+from .scratch import materialise, met, row_key
 
 WINDOW = 3
 
@@ -38,16 +38,16 @@ def _windows(text: Column, width: int) -> Column:
 
 
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(rid, starts): for each document the first lines of its windows that occurred before."""
+    """(id, rid, starts): for each document the first lines of its windows that occurred before."""
     rows = docs.select(
         F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rid"), F.explode(_windows(F.col(text_col), width)).alias("w")
     ).select("id", "rid", "w.h", "w.g", "w.line")
     place = F.struct("id", "rid", "line")
     # counted and reduced before the shuffle, so a window that many documents share arrives as a row for each task
     first = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.filter("n > 1 and first != last").select("h", "g", "first")
-    later = rows.join(first, ["h", "g"]).filter(place != F.col("first"))
-    return later.groupBy("rid").agg(F.collect_set("line").alias("starts"))
+    first = materialise(first.filter("n > 1 and first != last").select("h", "g", "first", "n"), "windows")
+    later = met(rows, first, ["h", "g"], "n").filter(place != F.col("first"))
+    return later.groupBy("id", "rid").agg(F.collect_set("line").alias("starts"))
 
 
 def dedup_lines(
@@ -55,8 +55,10 @@ def dedup_lines(
 ) -> DataFrame:
     """`docs` with the column `out`: the text without the lines of repeated windows; `counts` adds n_lines, n_removed."""
     names = docs.columns
-    later = later_windows(docs, id_col, text_col, width).select(F.col("rid").alias("__rid"), F.col("starts").alias("__starts"))
-    joined = docs.withColumn("__rid", row_key(id_col, text_col)).join(later, "__rid", "left")
+    later = later_windows(docs, id_col, text_col, width).select(F.col("id").alias("__id"), F.col("rid").alias("__late"), F.col("starts").alias("__starts"))
+    # the key of id and text, and the id itself, so that no two ids meet by a collision
+    same = (F.col("__rid") == F.col("__late")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+    joined = docs.withColumn("__rid", row_key(id_col, text_col)).join(later, same, "left")
 
     def keep(lines: Column) -> Column:
         covered = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (width - 1))))

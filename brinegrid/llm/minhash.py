@@ -206,7 +206,10 @@ def _across(shared: DataFrame, first: DataFrame, classes: DataFrame, texts: Data
     member = shared.join(first.withColumnRenamed("id", "num"), "num", "left").select("num", "key", "size", F.coalesce("component", "num").alias("c"))
     member = materialise(member, "members")
     mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.first("size").alias("size")).filter("low < high")
-    left = met(member.drop("size"), materialise(mixed.select("key", "size"), "mixed"), ["key"], "size").select("num", "c").distinct()
+    mixed = materialise(mixed.select("key", "size"), "mixed")
+    if mixed.isEmpty():
+        return classes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    left = met(member.drop("size"), mixed, ["key"], "size").select("num", "c").distinct()
     left = materialise(left.join(classes.select(*LIGHT), "num"), "left")
     runs = materialise(texts.select("num", "text").join(left.select("num"), "num", "left_semi").mapInArrow(_runs(words), "num bigint, h bigint"), "runs")
     # a run that one member holds joins nothing, but takes its place among the rarest
@@ -259,6 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("num")).unionByName(pairs.select(F.col("b").alias("num"))).distinct()
     texts = materialise(texts.join(ends, "num", "left_semi").select("num", "text"), "texts")
     side = lambda x: texts.select(F.col("num").alias(x), F.col("text").alias(f"text_{x}"))

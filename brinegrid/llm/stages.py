@@ -1,4 +1,8 @@
-"""The stages of corpus_pipeline.py, each over the documents that its predecessor kept."""
+"""The stages of corpus_pipeline.py, each over the documents that its predecessor kept.
+
+Defined cases: empty tables give empty ones; null texts pass every filter but the classifier's, which scores them as empty; rows
+with equal scores, ids or texts follow their operator's rule; columns beyond the documents' are carried through by all but the last.
+"""
 
 from __future__ import annotations
 
@@ -21,19 +25,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the lines of windows that occurred before; n_chars follows the text."""
+    """The documents without the lines of windows that occurred before; n_chars, where there is one, follows the text."""
     names = docs.columns
     cut = ld.dedup_lines(docs, out="text", counts=False)
+    if "n_chars" not in names:
+        return cut.select(*names)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id (rows without ids come last, ties are one row's)."""
     return minhash.keep_one(docs, words=RUN, percent=PERCENT)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item; null texts and null items leak nothing."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

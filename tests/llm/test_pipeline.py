@@ -30,3 +30,20 @@ def test_stages_and_run(spark, tmp_path):
     assert 636 not in ids, "the leak goes"
     assert len(ids & set(range(0, 450, 3))) == 150, "clean documents stay"
     assert sorted(map(tuple, now.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+
+def test_stages_of_empty_null_and_clashing_tables(spark, tmp_path, docs, none):
+    """Each stage on no rows, on rows without texts or ids, and on columns named as the operators' own."""
+    spark.createDataFrame([(0, 1), (3, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "some words of an item"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (5, None, "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    bare = docs.drop("n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+        assert stage(spark, nulls, str(tmp_path)).count() == 3, name
+        for table_ in (docs, bare):
+            made = stage(spark, table_, str(tmp_path))
+            assert made.columns == table_.columns and made.count() <= table_.count(), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, none, str(tmp_path)).count() == 0
+    assert [r.n_tokens for r in last(spark, nulls, str(tmp_path)).collect()] == [0, 0, 0]
