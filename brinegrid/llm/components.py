@@ -11,7 +11,7 @@ from .scratch import materialise, met
 def _star(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair with the smallest of u and all its partners; a hub's pairs do not meet in one task."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-    return met(pairs, least, ["u"]).drop("c")
+    return met(pairs, materialise(least, "least"), ["u"]).drop("c")
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         return edges.toDF("id", "component")
     mark = None
     while True:
-        edges = materialise(_small(_large(edges)).filter("u != v").distinct(), "stars")
+        edges = materialise(_large(edges).filter("u != v").distinct(), "stars")
+        edges = materialise(_small(edges).filter("u != v").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select("v", "v").toDF("id", "component")).distinct()

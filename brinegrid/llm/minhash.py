@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Texts, Words, mix, runs_of, slices
-from .scratch import NUM, bucketed, materialise, met, numbered, spread
+from .scratch import CHUNK, NUM, bucketed, materialise, met, numbered, spread
 
 WORDS = 3
 HASHES = 256
@@ -216,19 +216,28 @@ def _across(shared: DataFrame, first: DataFrame, classes: DataFrame, texts: Data
     often = materialise(runs.groupBy("h").agg(F.count("*").alias("often")), "often")
     ranked = met(runs, often, ["h"], "often").join(left.select("num", "n", "c"), "num")
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("num").orderBy("often", "h")))
-    prefix = ranked.filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("often > 1").select("num", "h", "c")
+    # of two sets at the threshold, the larger shows a common run among its first n - t n + 1, the smaller among n - 2t / (1 + t) n + 1
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    index = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    prefix = ranked.filter((F.col("nth") <= probe) & (F.col("often") > 1)).select("num", "h", "c", "nth", (F.col("nth") <= index).alias("index"))
     prefix = materialise(prefix, "prefixes")
     # of each run, its members outside the component that holds most of them are paired with all
     kinds = prefix.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("most"))
     kinds = materialise(kinds.filter("most.k < size").select("h", "size", F.col("most.c").alias("most")), "mostly")
-    every = materialise(met(prefix, kinds, ["h"], "size").withColumn("few", F.expr("c != most")), "postings")
-    minor = every.filter("few").select("h", F.col("num").alias("a"), F.col("c").alias("c_a"))
-    other = every.select("h", F.col("num").alias("b"), F.col("c").alias("c_b"), F.col("few").alias("few_b"))
-    pairs = spread(other, minor, ["h"], "b").filter("c_a != c_b and (not few_b or a < b)")
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
-    light = left.select(*LIGHT)
-    pairs = spread(spread(pairs, _named(light, "a", LIGHT), ["a"], "b"), _named(light, "b", LIGHT), ["b"], "a")
-    return materialise(pairs.filter(_likely(percent)).select("a", "b"), "likely")
+    every = met(prefix, kinds, ["h"], "size").withColumn("few", F.expr("c != most")).drop("most", "size").join(left.select(*LIGHT), "num")
+    every = materialise(every, "postings")
+    columns = [c for c in every.columns if c != "h"]
+    side = lambda rows, x: rows.select("h", *[F.col(c).alias(x if c == "num" else f"{c}_{x}") for c in columns])
+    counts = materialise(every.groupBy("h").agg(F.count("*").alias("__c")), "counts")
+    parts = F.ceil(F.col("__c") / CHUNK)
+    other = met(side(every, "b"), counts, ["h"], "__c").withColumn("__part", F.pmod(F.xxhash64("b"), parts))
+    minor = side(every.filter("few"), "a").join(counts, "h").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    ends = (F.col("c_a") != F.col("c_b")) & (~F.col("few_b") | (F.col("a") < F.col("b"))) & F.expr("index_a and n_a <= n_b or index_b and n_b <= n_a")
+    # the runs that two sets share: at most so many up to this one and after it
+    most = F.least("nth_a", "nth_b") + F.least(F.col("n_a") - F.col("nth_a"), F.col("n_b") - F.col("nth_b"))
+    fits = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = other.drop("__c").join(minor.drop("__c"), ["h", "__part"]).filter(ends & fits & _likely(percent))
+    return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -268,7 +277,7 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     texts = materialise(texts.join(ends, "num", "left_semi").select("num", "text"), "texts")
     side = lambda x: texts.select(F.col("num").alias(x), F.col("text").alias(f"text_{x}"))
     # a pivot's text goes to as many tasks as its pairs fill
-    put = spread(spread(pairs, side("a"), ["a"], "b"), side("b"), ["b"], "a")
+    put = spread(pairs, (side("a"), ["a"], "b"), (side("b"), ["b"], "a"))
     return materialise(put.mapInArrow(_confirm(words, percent), "a bigint, b bigint"), "confirmed")
 
 

@@ -66,14 +66,18 @@ def met(rows: DataFrame, groups: DataFrame, on: list[str], count: str = "c") ->
 CHUNK = 256
 
 
-def spread(rows: DataFrame, side: DataFrame, on: list[str], by: str) -> DataFrame:
-    """`rows` joined with `side`, which may hold several and large rows for a key: a key's rows are dealt, by the column `by`,
-    over as many parts as they fill CHUNK times, and each part gets the key's rows of `side`."""
-    counts = materialise(rows.groupBy(on).agg(F.count("*").alias("__c")), "counts")
-    parts = F.ceil(F.col("__c") / CHUNK)
-    dealt = met(rows, counts, on, "__c").withColumn("__part", F.pmod(F.xxhash64(by), parts)).drop("__c")
-    copied = side.join(counts, on).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__c")
-    return dealt.join(copied, [*on, "__part"]).drop("__part")
+def spread(rows: DataFrame, *sides: tuple[DataFrame, list[str], str]) -> DataFrame:
+    """`rows` joined with each (side, on, by), whose side may hold several and large rows for a key: a key's rows are dealt, by the
+    column `by`, over as many parts as they fill CHUNK times, and each part gets the key's rows of the side. `rows` is narrow."""
+    copied = []
+    for k, (side, on, by) in enumerate(sides):
+        counts = materialise(rows.groupBy(on).agg(F.count("*").alias("__c")), "counts")
+        parts = F.ceil(F.col("__c") / CHUNK)
+        rows = materialise(met(rows, counts, on, "__c").withColumn(f"__part{k}", F.pmod(F.xxhash64(by), parts)).drop("__c"), "dealt")
+        copied.append(side.join(counts, on).withColumn(f"__part{k}", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__c"))
+    for k, (_, on, _) in enumerate(sides):
+        rows = rows.join(copied[k], [*on, f"__part{k}"]).drop(f"__part{k}")
+    return rows
 
 
 def numbered(docs: DataFrame) -> DataFrame:
