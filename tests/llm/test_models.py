@@ -169,14 +169,14 @@ def plain_logs(weights, bias, ids, k):
     before = [ids[k - d] if k >= d else none for d in (1, 2, 3)]
     keys = [*before, before[0] * (maxent.VOCABULARY + 2) + before[1]]
     slots = [int(maxent.mix(np.array([4 * key + s], np.uint64))[0] >> np.uint64(50)) for s, key in enumerate(keys)]
-    z = bias.astype(float) + sum(weights[:, s].astype(float) for s in slots)
+    z = bias.astype(float) + sum(weights[s].astype(float) for s in slots)
     return slots, z - math.log(sum(math.exp(x) for x in z))
 
 
 def test_gradient_sums_equal_plain_ones():
     rng, draw = random.Random(2), np.random.default_rng(2)
     batch, texts = ids_of(rng, 60)
-    weights = draw.normal(0, 0.3, (maxent.CLASSES, maxent.HASHED)).astype(np.float32)
+    weights = draw.normal(0, 0.3, (maxent.HASHED, maxent.CLASSES)).astype(np.float32)
     bias = draw.normal(0, 1, maxent.CLASSES).astype(np.float32)
     classes = draw.integers(0, maxent.CLASSES, maxent.VOCABULARY + 1)
     seen, due = np.zeros((2, maxent.HASHED, maxent.CLASSES))
