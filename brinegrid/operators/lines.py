@@ -98,12 +98,15 @@ def sampled(routes: DataFrame, keys: tuple[str, ...], step_nm: float, low: int,
     return points.select(*keys, "i", lon.alias("lon"), lat.alias("lat"))
 
 
-def open_ocean(routes: DataFrame, keys: tuple[str, ...], grid: Grid, traffic: DataFrame, coast: DataFrame, offshore_nm: float = 12.0) -> DataFrame:
+def open_ocean(routes: DataFrame, keys: tuple[str, ...], grid: Grid, traffic: DataFrame, coast: DataFrame, offshore_nm: float = 12.0, reach: float | None = None) -> DataFrame:
     """open: the straight line meets no zone, boundary or lane's neighbourhood (traffic) and keeps off the coast.
 
     traffic: cells (x, y) to keep clear of; coast: cells with dist, their distance to land in cells. Depth is not tested.
+    reach: the cells up to which dist is known; a missing dist says nothing about nearer coast than that.
     """
     cell = grid.cell_nm
+    if reach is not None and reach * cell < offshore_nm:
+        raise ValueError(f"distances to land reach {reach * cell:g} nm, less than the {offshore_nm:g} nm that open water keeps off the coast")
     lanes = sampled(routes, keys, max(0.25, cell / 2), 10, 20_000)
     lands = sampled(routes, keys, max(2.0, 3 * cell), 10, 5_000)
     place = lambda df: df.withColumns(dict(zip(("x", "y"), grid.to_cell(F.col("lon"), F.col("lat")), strict=True))).select(*keys, "x", "y").distinct()

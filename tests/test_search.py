@@ -78,22 +78,52 @@ def test_string_pulling_keeps_only_what_is_needed(spark, layers):
     assert sorted(r.seq for r in pulled) == [0, 5]
 
 
-def test_spline_equals_the_dense_solution(spark):
+def dense_spline(t, v, s):
+    """A cubic for each interval, all coefficients at once: values, two continuous derivatives, a third one next to the ends."""
+    n, rows, right = len(t) - 1, [], []
+
+    def put(parts, value):
+        row = np.zeros(4 * n)
+        for i, at, order, sign in parts:
+            x = t[at] - t[i]
+            row[4 * i : 4 * i + 4] += sign * np.array([[1, x, x**2, x**3], [0, 1, 2 * x, 3 * x**2], [0, 0, 2, 6 * x], [0, 0, 0, 6]][order])
+        rows.append(row)
+        right.append(value)
+
+    for i in range(n):
+        put([(i, i, 0, 1)], v[i])
+        put([(i, i + 1, 0, 1)], v[i + 1])
+    for i in range(n - 1):
+        for order in (1, 2):
+            put([(i, i + 1, order, 1), (i + 1, i + 1, order, -1)], 0)
+    for i in (0, n - 2):
+        put([(i, i + 1, 3, 1), (i + 1, i + 1, 3, -1)], 0)
+    c = np.linalg.lstsq(np.array(rows), np.array(right), rcond=None)[0].reshape(n, 4)
+    k = np.clip(np.searchsorted(t, s, "right") - 1, 0, n - 1)
+    x = s - t[k]
+    return c[k, 0] + c[k, 1] * x + c[k, 2] * x**2 + c[k, 3] * x**3
+
+
+@pytest.mark.parametrize("size", [4, 5, 12])
+def test_spline_equals_the_dense_solution(spark, size):
     rng = np.random.default_rng(4)
-    lon, lat = rng.uniform(-9, 9, 40), rng.uniform(-9, 9, 40)
-    points = spark.createDataFrame([(1, k, float(lon[k]), float(lat[k])) for k in range(40)], "route_id bigint, seq bigint, lon double, lat double")
+    lon, lat = rng.uniform(-9, 9, size), rng.uniform(-9, 9, size)
+    path = [*zip(lon.tolist(), lat.tolist(), strict=True)]
+    path.insert(2, path[1])  # a point that repeats the one before
+    points = spark.createDataFrame([(1, k, *p) for k, p in enumerate(path)] + [(2, 0, 1.0, 2.0), (2, 1, 3.0, 2.0)], "route_id bigint, seq bigint, lon double, lat double")
     got = sorted(map(tuple, polyline.splined(points, 25).collect()))
-    t, s = np.linspace(0, 1, 40), np.linspace(0, 1, 25)
+    t = np.append(0, np.cumsum(np.hypot(np.diff(lon), np.diff(lat))))
     for c, v in ((2, lon), (3, lat)):
-        h, a, r = np.diff(t), np.eye(40), np.zeros(40)
-        for i in range(1, 39):
-            a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-            r[i] = 6 * ((v[i + 1] - v[i]) / h[i] - (v[i] - v[i - 1]) / h[i - 1])
-        m = np.linalg.solve(a, r)
-        k = np.clip(np.searchsorted(t, s, "right") - 1, 0, 38)
-        p, q = (t[k + 1] - s) / h[k], (s - t[k]) / h[k]
-        want = p * v[k] + q * v[k + 1] + ((p**3 - p) * m[k] + (q**3 - q) * m[k + 1]) * h[k] ** 2 / 6
-        assert [row[c] for row in got] == pytest.approx(want.tolist())
+        assert [row[c] for row in got if row[0] == 1] == pytest.approx(dense_spline(t / t[-1], v, np.linspace(0, 1, 25)).tolist(), abs=1e-6)
+    assert [row for row in got if row[0] == 2] == [(2, 0, 1.0, 2.0), (2, 1, 3.0, 2.0)]
+
+
+def test_open_water_needs_far_enough_distances(spark):
+    routes = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "route_id bigint, lon1 double, lat1 double, lon2 double, lat2 double")
+    cells = spark.createDataFrame([], "x bigint, y bigint, dist double")
+    with pytest.raises(ValueError):
+        lines.open_ocean(routes, ("route_id",), GRID, cells, cells, offshore_nm=10 * GRID.cell_nm, reach=6.0)
+    assert lines.open_ocean(routes, ("route_id",), GRID, cells, cells, offshore_nm=5 * GRID.cell_nm, reach=6.0).first().open
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
