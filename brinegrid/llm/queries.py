@@ -86,6 +86,15 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_decontamination, op4_bpe, op5_substring_dedup, op6_quality, op7_language, op8_near_duplicates, op9_line_dedup, op10_lm_score)}
 
 SQL = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM h) WHERE n > 1),
+m AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m) GROUP BY doc_id, run),
+g AS (SELECT doc_id, b AS first, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS last FROM (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, -1, 0 FROM d)),
+kept AS (SELECT doc_id, x, string_agg(substr(x, 2 * first + 1, 2 * (coalesce(last, length(x) // 2) - first)), '' ORDER BY first) AS kept, count(*) - 1 AS n FROM g JOIN d USING (doc_id) GROUP BY doc_id, x)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST((length(x) - length(kept)) // 2 AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM kept""",
     "op5_substring_dedup": """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(range(len(ws) - 34)) AS i, ws FROM d WHERE len(ws) >= 35),
