@@ -43,13 +43,39 @@ def too_close_to_land(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...],
     return _tested(lines, keys, cells.select("x", "y", "dist", "lane"), {"close": F.bool_or(near)})
 
 
+def _facts(grid: Grid | None = None, least: float | None = None) -> dict[str, Column]:
+    """Aggregates over the cells of a line that need no order, so they combine before a shuffle.
+
+    The zone flag changes somewhere if it has both values; a boundary begins somewhere if a cell before its last is none.
+    """
+    zone, boundary = F.col("zone"), F.col("boundary")
+    begins = F.min(F.when(~boundary, F.col("i"))) < F.max(F.when(boundary, F.col("i")))
+    facts = {"crosses": F.coalesce(F.bool_or(zone) & F.bool_or(~zone), F.lit(False)) | F.coalesce(begins, F.lit(False))}
+    if least is not None:
+        near = (F.col("dist") < least) & ~F.coalesce("lane", F.lit(False))
+        facts["close"] = F.bool_or(F.coalesce(near, F.lit(False)))
+    if grid is not None:
+        off = F.col("lane") & (angle_between_deg(F.col("bearing"), F.coalesce("lane_dir", F.lit(-1)).cast("double")) > 90)
+        facts["wrong"] = F.coalesce(F.bool_or(off), F.lit(False))
+    return facts
+
+
+def _bearing(grid: Grid) -> Column:
+    """The bearing from a line's first cell to its last; null for a single cell."""
+    bearing = F.round(bearing_deg(*grid.centre(F.col("x0"), F.col("y0")), *grid.centre(F.col("x1"), F.col("y1"))), 6)
+    return F.when((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")), F.pmod(bearing, F.lit(360.0)))
+
+
 def crosses_boundary(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """crosses: from one cell to the next the zone flag changes or a boundary begins; cells outside the table are skipped."""
-    met = walk(lines, keys).join(cells.select("x", "y", "zone", "boundary"), ["x", "y"])
-    over = Window.partitionBy(*keys).orderBy("i")
-    change = (F.col("zone") != F.lag("zone").over(over)) | (F.col("boundary") & ~F.lag("boundary").over(over))
-    found = met.withColumn("change", F.coalesce(change, F.lit(False))).groupBy(*keys).agg(F.bool_or("change").alias("crosses"))
-    return lines.select(*keys).distinct().join(found, list(keys), "left").select(*keys, F.coalesce("crosses", F.lit(False)).alias("crosses"))
+    return _tested(lines, keys, cells.select("x", "y", "zone", "boundary"), _facts())
+
+
+def judged(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], grid: Grid, least: float) -> DataFrame:
+    """crosses, close and wrong of each line, in one walk."""
+    put = lines.withColumn("bearing", _bearing(grid))
+    met = walk(put, (*keys, "bearing")).join(cells.select("x", "y", "dist", "lane", "lane_dir", "zone", "boundary"), ["x", "y"], "left")
+    return met.groupBy(*keys).agg(*[c.alias(k) for k, c in _facts(grid, least).items()])
 
 
 def touches_boundary(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -59,34 +85,32 @@ def touches_boundary(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...])
 
 def wrong_way(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], grid: Grid) -> DataFrame:
     """wrong: in some lane cell the line's bearing and the lane's differ by more than 90 degrees; a single cell never is."""
-    bearing = F.round(bearing_deg(*grid.centre(F.col("x0"), F.col("y0")), *grid.centre(F.col("x1"), F.col("y1"))), 6)
-    own = lines.select(*keys, F.when((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")), F.pmod(bearing, F.lit(360.0))).alias("bearing"))
-    met = walk(lines, keys).join(cells.select("x", "y", "lane", "lane_dir"), ["x", "y"]).filter("lane")
-    turned = met.join(own, list(keys)).withColumn("off", angle_between_deg(F.col("bearing"), F.coalesce("lane_dir", F.lit(-1)).cast("double")) > 90)
-    found = turned.groupBy(*keys).agg(F.bool_or("off").alias("wrong"))
-    return own.select(*keys).join(found, list(keys), "left").select(*keys, F.coalesce("wrong", F.lit(False)).alias("wrong"))
+    put = lines.withColumn("bearing", _bearing(grid))
+    met = walk(put, (*keys, "bearing")).join(cells.select("x", "y", "lane", "lane_dir", "zone", "boundary"), ["x", "y"], "left")
+    return met.groupBy(*keys).agg(_facts(grid)["wrong"].alias("wrong"))
 
 
 def clear_straight(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], grid: Grid, least: float, swapped_bearing: bool = True) -> DataFrame:
     """clear: no zone or boundary crossing, no wrong way, and every cell in the table, not land, off the coast or in a lane.
 
     Where both ends are in lanes all cells must be, and a lane's direction must lie within 90 degrees of the line's bearing.
-    `swapped_bearing` keeps the bearing of the original rule, which takes latitudes for longitudes.
+    `swapped_bearing` keeps the bearing of the original rule, which takes latitudes for longitudes. One walk and one
+    aggregation, whatever the rules.
     """
     (a, b), (c, d) = grid.centre(F.col("x0"), F.col("y0")), grid.centre(F.col("x1"), F.col("y1"))
-    bearing = bearing_deg(b, a, d, c) if swapped_bearing else bearing_deg(a, b, c, d)
-    ends = lines.select(*keys, F.pmod(F.round(bearing, 6), F.lit(360.0)).alias("bearing"), "x0", "y0", "x1", "y1")
-    lane = cells.filter("lane").select("x", "y", F.lit(True).alias("in"))
-    for k in ("0", "1"):
-        ends = ends.join(lane.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"), F.col("in").alias(f"in{k}")), [f"x{k}", f"y{k}"], "left")
-    ends = ends.select(*keys, "bearing", (F.coalesce("in0", F.lit(False)) & F.coalesce("in1", F.lit(False))).alias("both"))
-    met = walk(lines, keys).join(cells.select("x", "y", "land", "dist", "lane", "lane_dir"), ["x", "y"], "left").join(ends, list(keys))
-    turned = (F.col("lane_dir") >= 0) & (angle_between_deg(F.col("bearing"), F.col("lane_dir").cast("double")) > 90)
-    fine = F.col("land").isNotNull() & ~F.col("land") & (F.col("lane") | F.coalesce(F.col("dist") >= least, F.lit(True)))
-    fine = fine & (~F.col("both") | F.col("lane")) & ~(F.col("both") & F.col("lane") & F.coalesce(turned, F.lit(False)))
-    good = met.groupBy(*keys).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("fine"))
-    good = good.join(crosses_boundary(lines, cells, keys), list(keys)).join(wrong_way(lines, cells, keys, grid), list(keys))
-    return good.select(*keys, (F.col("fine") & ~F.col("crosses") & ~F.col("wrong")).alias("clear"))
+    course = bearing_deg(b, a, d, c) if swapped_bearing else bearing_deg(a, b, c, d)
+    put = lines.withColumns({"bearing": _bearing(grid), "course": F.pmod(F.round(course, 6), F.lit(360.0)), "far": F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))})
+    met = walk(put, (*keys, "bearing", "course", "far")).join(cells.select("x", "y", "land", "dist", "lane", "lane_dir", "zone", "boundary"), ["x", "y"], "left")
+    lane = F.coalesce("lane", F.lit(False))
+    turned = (F.col("lane_dir") >= 0) & (angle_between_deg(F.col("course"), F.col("lane_dir").cast("double")) > 90)
+    fine = F.col("land").isNotNull() & ~F.col("land") & (lane | F.coalesce(F.col("dist") >= least, F.lit(True)))
+    facts = _facts(grid) | {
+        "fine": F.bool_and(F.coalesce(fine, F.lit(False))),
+        "both": F.bool_or(lane & (F.col("i") == 0)) & F.bool_or(lane & (F.col("i") == F.col("far"))),
+        "along": F.bool_and(lane & ~F.coalesce(turned, F.lit(False))),
+    }
+    found = met.groupBy(*keys).agg(*[v.alias(k) for k, v in facts.items()])
+    return found.select(*keys, (F.col("fine") & (~F.col("both") | F.col("along")) & ~F.col("crosses") & ~F.col("wrong")).alias("clear"))
 
 
 def sampled(routes: DataFrame, keys: tuple[str, ...], step_nm: float, low: int, high: int) -> DataFrame:

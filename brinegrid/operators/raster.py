@@ -16,11 +16,13 @@ from ..functions.geo import segment_distance
 def spread(cells: DataFrame, offsets: Iterable[tuple[int, int]], size: tuple[int, int]) -> DataFrame:
     """Every cell moved by every offset: the cell's columns, x and y where it lands, and d2, the squared distance.
 
-    Offsets are a literal array, so this is a generator on the side of the given cells, not a join.
+    Offsets (each below 2**15) are one literal, so this is a generator on the side of the given cells, not a join, and large
+    neighbourhoods stay small in the plan.
     """
-    moves = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in offsets])
-    moved = cells.withColumn("move", F.explode(moves))
-    moved = moved.withColumns({"x": F.col("x") + F.col("move.dx"), "y": F.col("y") + F.col("move.dy"), "d2": F.col("move.dx") * F.col("move.dx") + F.col("move.dy") * F.col("move.dy")})
+    codes = ",".join(str((dx + 2**15) * 2**16 + dy + 2**15) for dx, dy in offsets)
+    moved = cells.withColumn("move", F.explode(F.expr(f"cast(split('{codes}', ',') as array<bigint>)")))
+    moved = moved.withColumns({"dx": F.expr("move div 65536 - 32768"), "dy": F.expr("move % 65536 - 32768")})
+    moved = moved.withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy"), "d2": F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")}).drop("dx", "dy")
     return moved.drop("move").filter(F.col("x").between(0, size[0] - 1) & F.col("y").between(0, size[1] - 1))
 
 
