@@ -148,3 +148,46 @@ def test_every_customer_is_routed(spark, name):
     asked = {r.k for r in spark.read.parquet(f"{SF}/customer.parquet").select(F.col("c_custkey").cast("long").alias("k")).collect()}
     assert len(asked) > 64
     assert {r.route_id for r in plans.QUERIES[name](spark, SF).select("route_id").distinct().collect()} == asked
+
+
+def test_lines_judged_in_one_walk_equal_a_plain_loop(spark):
+    """crosses, close, wrong and clear against loops over each line's cells in order; some cells are missing."""
+    rng = np.random.default_rng(5)
+    cells = {}
+    for x in range(12):
+        for y in range(12):
+            if rng.random() < 0.97:
+                lane = bool(rng.random() < 0.35)
+                dist = float(rng.integers(0, 5)) if rng.random() < 0.5 else None
+                cells[x, y] = (x, y, bool(rng.random() < 0.03), dist, lane, int(rng.integers(0, 8)) * 45 if lane else None, bool(rng.random() < 0.06), bool(rng.random() < 0.06))
+    table = spark.createDataFrame(list(cells.values()), "x bigint, y bigint, land boolean, dist double, lane boolean, lane_dir bigint, zone boolean, boundary boolean")
+    given = [(k, *map(int, rng.integers(0, 12, 4))) for k in range(300)] + [(300, 4, 4, 4, 4)]
+    drawn = spark.createDataFrame(given, "k bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    paths = {}
+    for r in lines.walk(drawn, ("k",)).orderBy("k", "i").collect():
+        paths.setdefault(r.k, []).append((r.x, r.y))
+
+    def bearing(lon1, lat1, lon2, lat2):
+        a, b, d = np.radians(lat1), np.radians(lat2), np.radians(lon2 - lon1)
+        return round(float(np.degrees(np.arctan2(np.sin(d) * np.cos(b), np.cos(a) * np.sin(b) - np.sin(a) * np.cos(b) * np.cos(d)))), 6) % 360
+
+    def apart(a, b):
+        return abs((a - b + 180) % 360 - 180)
+
+    def plain(x0, y0, x1, y1, path):
+        at = [cells.get(p) for p in path]
+        here = [c for c in at if c]
+        crosses = any(a[6] != b[6] or (b[7] and not a[7]) for a, b in zip(here, here[1:], strict=False))
+        close = any(c[3] is not None and c[3] < 1.5 and not c[4] for c in here)
+        (lon1, lat1), (lon2, lat2) = ((0.1 * (x + 0.5), 10 - 0.1 * (y + 0.5)) for x, y in ((x0, y0), (x1, y1)))
+        course = bearing(lat1, lon1, lat2, lon2)
+        wrong = (x0, y0) != (x1, y1) and any(c[4] and apart(bearing(lon1, lat1, lon2, lat2), c[5]) > 90 for c in here)
+        both = bool(at[0] and at[-1] and at[0][4] and at[-1][4])
+        fine = all(c and not c[2] and (c[4] or c[3] is None or c[3] >= 1.5) and (not both or (c[4] and apart(course, c[5]) <= 90)) for c in at)
+        return crosses, close, wrong, fine and not crosses and not wrong
+
+    expected = {k: plain(*ends, paths[k]) for k, *ends in given}
+    judged = {r.k: r for r in lines.judged(drawn, table, ("k",), GRID, 1.5).collect()}
+    clear = {r.k: r.clear for r in lines.clear_straight(drawn, table, ("k",), GRID, 1.5).collect()}
+    assert {k: (judged[k].crosses, judged[k].close, judged[k].wrong, clear[k]) for k in expected} == expected
+    assert 0 < sum(clear.values()) < len(clear)
