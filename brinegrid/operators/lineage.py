@@ -1,10 +1,14 @@
-"""Cuts of lineage between the rounds of an iteration."""
+"""Cuts of lineage between the rounds of an iteration, and the size check before a broadcast."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of cells is broadcast; larger ones are met in a shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +17,22 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brinegrid-"))
     return df.checkpoint()
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is; counts no further than that bound.
+
+    Spark cannot see the size of a checkpoint, so without the mark a small table would cost a shuffle of the large side.
+    """
+    few = df.select(df.columns[0]).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(df) if few else df
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` over a fixed number of partitions, for rows that multiply in the tasks that follow.
+
+    Adaptive execution sizes partitions by the bytes that come in; it would put a small table that grows a thousandfold into one
+    task. An aggregation over `keys` afterwards needs no further shuffle.
+    """
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), *keys)

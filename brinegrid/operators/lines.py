@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import angle_between_deg, bearing_deg, planar_distance_nm, rhumb_point
 from ..functions.grid import Grid
+from .lineage import bounded, spread_out
 
 
 def walk(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -28,7 +29,7 @@ def walk(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def _tested(lines: DataFrame, keys: tuple[str, ...], cells: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """Aggregates over the cells of each line; cells outside the table are null."""
-    met = walk(lines, keys).join(cells, ["x", "y"], "left")
+    met = walk(spread_out(lines, *keys), keys).join(bounded(cells), ["x", "y"], "left")
     return met.groupBy(*keys).agg(*[c.alias(k) for k, c in tests.items()])
 
 
@@ -74,7 +75,7 @@ def crosses_boundary(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...])
 def judged(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], grid: Grid, least: float) -> DataFrame:
     """crosses, close and wrong of each line, in one walk."""
     put = lines.withColumn("bearing", _bearing(grid))
-    met = walk(put, (*keys, "bearing")).join(cells.select("x", "y", "dist", "lane", "lane_dir", "zone", "boundary"), ["x", "y"], "left")
+    met = walk(spread_out(put, *keys), (*keys, "bearing")).join(bounded(cells.select("x", "y", "dist", "lane", "lane_dir", "zone", "boundary")), ["x", "y"], "left")
     return met.groupBy(*keys).agg(*[c.alias(k) for k, c in _facts(grid, least).items()])
 
 
@@ -86,7 +87,7 @@ def touches_boundary(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...])
 def wrong_way(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], grid: Grid) -> DataFrame:
     """wrong: in some lane cell the line's bearing and the lane's differ by more than 90 degrees; a single cell never is."""
     put = lines.withColumn("bearing", _bearing(grid))
-    met = walk(put, (*keys, "bearing")).join(cells.select("x", "y", "lane", "lane_dir", "zone", "boundary"), ["x", "y"], "left")
+    met = walk(spread_out(put, *keys), (*keys, "bearing")).join(bounded(cells.select("x", "y", "lane", "lane_dir", "zone", "boundary")), ["x", "y"], "left")
     return met.groupBy(*keys).agg(_facts(grid)["wrong"].alias("wrong"))
 
 
@@ -100,7 +101,7 @@ def clear_straight(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], gr
     (a, b), (c, d) = grid.centre(F.col("x0"), F.col("y0")), grid.centre(F.col("x1"), F.col("y1"))
     course = bearing_deg(b, a, d, c) if swapped_bearing else bearing_deg(a, b, c, d)
     put = lines.withColumns({"bearing": _bearing(grid), "course": F.pmod(F.round(course, 6), F.lit(360.0)), "far": F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))})
-    met = walk(put, (*keys, "bearing", "course", "far")).join(cells.select("x", "y", "land", "dist", "lane", "lane_dir", "zone", "boundary"), ["x", "y"], "left")
+    met = walk(spread_out(put, *keys), (*keys, "bearing", "course", "far")).join(bounded(cells.select("x", "y", "land", "dist", "lane", "lane_dir", "zone", "boundary")), ["x", "y"], "left")
     lane = F.coalesce("lane", F.lit(False))
     turned = (F.col("lane_dir") >= 0) & (angle_between_deg(F.col("course"), F.col("lane_dir").cast("double")) > 90)
     fine = F.col("land").isNotNull() & ~F.col("land") & (lane | F.coalesce(F.col("dist") >= least, F.lit(True)))
@@ -142,7 +143,7 @@ def open_ocean(routes: DataFrame, keys: tuple[str, ...], grid: Grid, traffic: Da
 
 def lane_status(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Points (x, y, ...) with in_lane; outside the table false."""
-    return points.join(cells.select("x", "y", "lane"), ["x", "y"], "left").withColumn("in_lane", F.coalesce("lane", F.lit(False))).drop("lane")
+    return points.join(bounded(cells.select("x", "y", "lane")), ["x", "y"], "left").withColumn("in_lane", F.coalesce("lane", F.lit(False))).drop("lane")
 
 
 def wrong_way_audit(points: DataFrame, cells: DataFrame, key: str) -> DataFrame:
