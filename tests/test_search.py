@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinegrid.functions.grid import Grid
-from brinegrid.operators import corridor, lines, moves, passages, polyline, search
+from brinegrid.operators import corridor, lineage, lines, moves, passages, polyline, search
 from brinegrid.plans import queries as plans
 from brinegrid.plans.fixtures import fixtures
 from brinegrid.plans.route import Attempt, Settings, route, searched
@@ -191,3 +191,26 @@ def test_lines_judged_in_one_walk_equal_a_plain_loop(spark):
     clear = {r.k: r.clear for r in lines.clear_straight(drawn, table, ("k",), GRID, 1.5).collect()}
     assert {k: (judged[k].crosses, judged[k].close, judged[k].wrong, clear[k]) for k in expected} == expected
     assert 0 < sum(clear.values()) < len(clear)
+
+
+def test_nearer_wrong_way_lanes_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(6)
+    lanes = {(x, y): int(rng.integers(0, 8)) * 45 for x in range(12) for y in range(12) if rng.random() < 0.2}
+    table = spark.createDataFrame([(*k, v) for k, v in lanes.items()], "x bigint, y bigint, lane_dir bigint")
+    given = {k: (int(rng.integers(0, 14)), int(rng.integers(0, 14)), float(rng.integers(0, 8)) * 45) for k in range(200)}
+    points = spark.createDataFrame([(k, *v) for k, v in given.items()], "k bigint, x bigint, y bigint, goal double")
+    expected = {}
+    for k, (x, y, goal) in given.items():
+        near = [((a - x) ** 2 + (b - y) ** 2, abs((d - goal + 180) % 360 - 180) > 90) for (a, b), d in lanes.items() if 0 < (a - x) ** 2 + (b - y) ** 2 <= 4]
+        if near:
+            expected[k] = min(near, key=lambda n: (n[0], not n[1]))[1]
+    assert {r.k: r.near_wrong for r in moves.nearer_wrong_way(points, table, 2, ("k",)).collect()} == expected
+    assert len(set(expected.values())) == 2
+
+
+def test_tables_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    table = spark.range(20)
+    plan = lambda: spark.range(5).join(lineage.bounded(table), "id")._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan().lower()
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 19)
+    assert "broadcast" not in plan().lower()
