@@ -27,9 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .kernels import Texts, Words, slices
-from .scratch import NUM, materialise, numbered
+from .scratch import materialise, numbered, unpacked
 from .sums import summed
 
 BLOCK = 16
@@ -60,7 +61,9 @@ def plain_words(column: pa.Array) -> Words:
 class Items:
     """A block of the benchmark: the vocabulary of all its items, and each item's words as places in it."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], kind: pa.DataType = pa.int64()):
+        """kind: the ids' type."""
+        self.kind = kind
         words = plain_words(pa.array(texts, pa.string()))
         ends = words.offsets
         rows = [(i, words.hashes[a:b]) for i, a, b in zip(ids, ends, ends[1:], strict=False) if b > a]
@@ -283,33 +286,34 @@ def _search(items: Items, latent: np.ndarray, q: np.ndarray, idf: np.ndarray) ->
                 keys = sorted(found)
                 rows = [found[x] for x in keys]
                 own = pa.array([t for t, _ in keys], pa.int64())
-                columns = [part.column("id").take(own), part.column("num").take(own), pa.array([items.ids[k] for _, k in keys], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[0] for r in rows], pa.float64())]
+                columns = [part.column("id").take(own), part.column("num").take(own), pa.array([items.ids[k] for _, k in keys], items.kind), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[0] for r in rows], pa.float64())]
                 columns += [pa.array([r[4] for r in rows], pa.bool_()), pa.array([-r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "num", "item_id", "cosine", "subsequence", "answer", "start", "end"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", num_col: str | None = None) -> DataFrame:
     """(id, num, item_id, cosine, subsequence, answer, start, end): documents that hold an item, words start to end.
 
-    num numbers the rows, or is the column `num` of docs if there is one.
+    num numbers the rows, or is the column `num_col` of distinct numbers. Ids of documents and items keep their types.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    num = F.col("num").cast("bigint") if "num" in docs.columns else F.monotonically_increasing_id()
+    num = F.col(num_col).cast("bigint") if num_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), num.alias("num"), F.col(text_col).alias("text"))
-    shape = f"id {kind}, num bigint, item_id bigint, cosine double, subsequence double, answer boolean, start bigint, end bigint"
+    shape = f"id {kind}, num bigint, item_id {benchmark.schema[item_col].dataType.simpleString()}, cosine double, subsequence double, answer boolean, start bigint, end bigint"
+    kind_of_item = to_arrow_type(benchmark.schema[item_col].dataType)
     parts = [spark.createDataFrame([], shape)]
     block: list = []
-    asked = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).dropna().orderBy("i", "t")
+    asked = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).dropna().orderBy("i", "t")
     for row in asked.toLocalIterator():
         block.append(row)
         if len(block) == ITEMS:
-            parts.append(_one_block(rows, Items([r["i"] for r in block], [r["t"] for r in block]), shape))
+            parts.append(_one_block(rows, Items([r["i"] for r in block], [r["t"] for r in block], kind_of_item), shape))
             block = []
     if block:
-        parts.append(_one_block(rows, Items([r["i"] for r in block], [r["t"] for r in block]), shape))
+        parts.append(_one_block(rows, Items([r["i"] for r in block], [r["t"] for r in block], kind_of_item), shape))
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
@@ -336,6 +340,6 @@ def _one_block(rows: DataFrame, items: Items, shape: str) -> DataFrame | None:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     whole = numbered(docs)
-    texts = whole.select(F.col(NUM).alias("num"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = leaks(texts, benchmark, "id", "text").select(F.col("num").alias(NUM)).distinct()
-    return whole.join(found, NUM, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    texts = whole.select("num", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"))
+    found = leaks(texts, benchmark, "id", "text", num_col="num").select("num").distinct()
+    return unpacked(whole.join(found, "num", "left_anti"), docs.columns)

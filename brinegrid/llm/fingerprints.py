@@ -75,16 +75,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
 
 
-def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, columns: list[str], tie: list[str] | None = None) -> DataFrame:
     """`docs` with the column `next`: `columns` of the row that follows in descending `order` (after the last: the first).
 
     The order is cut into ranges at quantiles, at most 8192 numbers on the driver whatever the input, and each range is
     a window partition. A number that fills several ranges (rows without ids, say) has a range of its own, cut by its rows'
-    hashes. The first row of a range is dealt to the range before as well, where it ends the window.
+    hashes. The first row of a range is dealt to the range before as well, where it ends the window. Rows of one number go by the
+    hash of the columns `tie` (all of `columns` by default); an `order` that is no whole number counts as none.
     """
     spark = docs.sparkSession
     n = min(8192, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col(order).try_cast("bigint"), F.lit(-(1 << 63)))
     found = docs.select(F.percentile_approx(key, [(i + 1) / n for i in range(n - 1)], 10 * n).alias("q")).first()["q"] or []
     times = {q: found.count(q) for q in set(found)}
     heavy = {q for q, k in times.items() if k > 1}
@@ -95,7 +96,7 @@ def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
     steps = F.lit([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)])
     under = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(F.lit(bounds), at + s - 1) < F.col("__key"), at + s).otherwise(at))
     share = (F.shiftright("__tie", 32) + (1 << 31)) * F.get(F.lit(pieces), F.col("__under"))
-    dealt = docs.withColumns({"__key": key, "__tie": F.xxhash64(*columns)}).withColumn("__under", under)
+    dealt = docs.withColumns({"__key": key, "__tie": F.xxhash64(*(tie or columns))}).withColumn("__under", under)
     dealt = dealt.withColumn("__part", (F.get(F.lit(base), F.col("__under")) + F.shiftright(share, 32)).cast("int"))
     firsts = {r["p"]: (~r["f"]["k"], r["f"]["t"]) for r in dealt.groupBy(F.col("__part").alias("p")).agg(F.min(F.struct(F.bitwise_not("__key").alias("k"), F.col("__tie").alias("t"))).alias("f")).collect()}
     parts = sorted(firsts)
@@ -112,7 +113,7 @@ def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text: its last half, rounded down, replaced by the start of the next."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    pairs = with_next(own, "doc_id", ["text", "fp"]).withColumn("n", F.length("text").cast("long"))
+    pairs = with_next(own, "doc_id", ["text", "fp"], ["text"]).withColumn("n", F.length("text").cast("long"))
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), F.col("n").cast("int") - half), F.substr(F.col("next.text"), F.lit(1), half))
     made = pairs.select("doc_id", "n", edited.alias("edited"), "fp", F.col("next.fp").alias("next_fp")).withColumn("edited_fp", fingerprint(F.col("edited")))

@@ -5,7 +5,7 @@ Every run of three consecutive lines of a document is hashed; the first occurren
 
 Defined cases: null or empty text has no lines and loses none; texts of fewer than three lines lose none; windows of
 three empty lines never count; rows that share id and text are one document and get one decision; a null id sorts
-first; extra columns, whatever their names, are carried through untouched.
+first; extra columns, whatever their names, are carried through untouched, but for columns named as those added, which these replace.
 """
 
 from __future__ import annotations
@@ -55,23 +55,27 @@ def dedup_lines(
 ) -> DataFrame:
     """`docs` with the column `out`: the text without the lines of repeated windows; `counts` adds n_lines, n_removed."""
     names = docs.columns
-    later = later_windows(docs, id_col, text_col, width).select(F.col("id").alias("__id"), F.col("rid").alias("__late"), F.col("starts").alias("__starts"))
+    # the other columns travel as one struct, so that no names can clash
+    others = [c for c in names if c not in (id_col, text_col)]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), row.alias("row"), row_key(id_col, text_col).alias("rid"))
+    later = later_windows(docs, id_col, text_col, width).select(F.col("id").alias("late_id"), F.col("rid").alias("late"), "starts")
     # the key of id and text, and the id itself, so that no two ids meet by a collision
-    same = (F.col("__rid") == F.col("__late")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
-    joined = docs.withColumn("__rid", row_key(id_col, text_col)).join(later, same, "left")
+    joined = rows.join(later, (F.col("rid") == F.col("late")) & F.col("id").eqNullSafe(F.col("late_id")), "left")
 
     def keep(lines: Column) -> Column:
-        covered = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (width - 1))))
-        return F.when(F.col("__starts").isNull(), _upto(lines)).otherwise(F.array_except(_upto(lines), covered))
+        covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (width - 1))))
+        return F.when(F.col("starts").isNull(), _upto(lines)).otherwise(F.array_except(_upto(lines), covered))
 
     done = joined.withColumn(
-        "__done",
-        bind(_lines(F.col(text_col)), lambda x: bind(keep(x), lambda k: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(k)).alias("gone"), F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n").alias("text")))),
+        "done",
+        bind(_lines(F.col("text")), lambda x: bind(keep(x), lambda k: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(k)).alias("gone"), F.array_join(F.transform(k, lambda i: F.get(x, i)), "\n").alias("text")))),
     )
-    text = F.when(F.col("__done.gone") > 0, F.col("__done.text")).otherwise(F.col(text_col))
-    made = {"n_lines": F.col("__done.n").cast("long"), "n_removed": F.col("__done.gone").cast("long")} if counts else {}
+    text = F.when(F.col("done.gone") > 0, F.col("done.text")).otherwise(F.col("text"))
+    made = {"n_lines": F.col("done.n").cast("long"), "n_removed": F.col("done.gone").cast("long")} if counts else {}
     made[out] = text
-    kept = [made.pop(c).alias(c) if c in made else F.col(f"`{c}`") for c in names]
+    carried = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col("row").getField(c) for c in others}
+    kept = [made.pop(c, carried[c]).alias(c) for c in names]
     return done.select(*kept, *[v.alias(c) for c, v in made.items()])
 
 

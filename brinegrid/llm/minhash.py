@@ -16,7 +16,8 @@ with probability 3e-5.
 
 Defined cases: null text and text without words have empty sets and are linked with nothing; a text of fewer words than a run has
 its whole sequence as one run; repeated rows are copies of each other; a null id names no component, its document's is
-that of the others; a text of any length is taken whole; an empty table gives none; extra columns are not carried.
+that of the others; a text of any length is taken whole; an empty table gives none; extra columns, whatever their names, are neither read nor
+carried, but by `keep_one`.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import Texts, Words, mix, runs_of, slices
-from .scratch import CHUNK, NUM, bucketed, materialise, met, numbered, spread
+from .scratch import CHUNK, bucketed, materialise, met, numbered, spread, unpacked
 
 WORDS = 3
 HASHES = 256
@@ -240,13 +241,13 @@ def _across(shared: DataFrame, first: DataFrame, classes: DataFrame, texts: Data
     return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, num_col: str | None = None) -> DataFrame:
     """(id, num, n_shingles, component_id, chosen) for every row of `docs`.
 
-    num numbers the rows, or is the column `num` of docs if there is one; chosen: the num of one row of the component, of the smallest id.
+    num numbers the rows, or is the column `num_col` of distinct numbers; chosen: the num of one row of the component, of the smallest id.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    num = F.col("num").cast("bigint") if "num" in docs.columns else F.monotonically_increasing_id()
+    num = F.col(num_col).cast("bigint") if num_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), num.alias("num"), F.col(text_col).alias("text"))
     texts = bucketed(rows, "num", "texts_near")
     sketches = materialise(texts.mapInArrow(_sketch(words, bands_for(percent)), f"id {kind}, num bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, odd array<bigint>, bands array<bigint>"), "sketches")
@@ -284,6 +285,6 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each group, of its smallest id (rows without ids come last); rows without words all stay; ties are one row's."""
     whole = numbered(docs)
-    texts = whole.select(F.col(NUM).alias("num"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kept = near_duplicates(texts, "id", "text", words, percent).filter("num = chosen").select(F.col("num").alias(NUM))
-    return whole.join(kept, NUM, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    texts = whole.select("num", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"))
+    kept = near_duplicates(texts, "id", "text", words, percent, "num").filter("num = chosen").select("num")
+    return unpacked(whole.join(kept, "num", "left_semi"), docs.columns)

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than one in HEAVY of all rows is met by broadcast; there are fewer than HEAVY of these.
 HEAVY = 4096
-#: The column of a row's number.
-NUM = "__num"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,8 +79,21 @@ def spread(rows: DataFrame, *sides: tuple[DataFrame, list[str], str]) -> DataFra
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` written with a number of its own for each row, NUM, by which decisions find back to whole rows."""
-    return materialise(docs.withColumn(NUM, F.monotonically_increasing_id()), "numbered")
+    """(num, row), written: a number of its own for each row of `docs`, and the row as one struct, so no names can clash."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("num"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+
+
+def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of the structs `row`."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
+def unused(names: list[str], name: str) -> str:
+    """`name`, lengthened until no column of `names` is called so."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def row_key(id_col: str, text_col: str):

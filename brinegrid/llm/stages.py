@@ -13,6 +13,7 @@ from . import bpe, decontam, minhash
 from . import line_dedup as ld
 from . import quality as nbsvm
 from .queries import vocabulary_text
+from .scratch import unused
 
 #: Near-duplicates of the corpus: runs of five words, similarity 0.8.
 RUN, PERCENT = 5, 80
@@ -20,8 +21,9 @@ RUN, PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject; it is fitted on labelled documents of its own input."""
-    scored = nbsvm.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), out="__score")
-    return scored.filter("__score >= 0.5").drop("__score")
+    out = unused(docs.columns, "score")
+    scored = nbsvm.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), out=out)
+    return scored.filter(F.col(out) >= 0.5).drop(out)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
