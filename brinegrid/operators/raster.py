@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import segment_distance
@@ -42,18 +44,123 @@ def dilated(cells: DataFrame, offsets: Iterable[tuple[int, int]], size: tuple[in
     return spread(cells.select(*keys, "x", "y"), offsets, size).select(*keys, "x", "y").distinct()
 
 
+#: Side of a tile of the bounded transform, in cells; a task holds one tile with its halo.
+TILE = 128
+#: Up to this reach a disc is a few offsets, and spreading sources as rows is the cheaper way.
+FEW = 2
+
+
 def distance(sources: DataFrame, reach: int, size: tuple[int, int], keys: tuple[str, ...] = ()) -> DataFrame:
     """Bounded Euclidean distance transform: squared distance d2 of every cell within `reach` of a source."""
-    return spread(sources.select(*keys, "x", "y"), disc(reach), size).groupBy(*keys, "x", "y").agg(F.min("d2").alias("d2"))
+    if reach <= FEW:
+        return spread(sources.select(*keys, "x", "y"), disc(reach), size).groupBy(*keys, "x", "y").agg(F.min("d2").alias("d2"))
+    return _tiled(sources.select(*keys, "x", "y", F.lit(0).alias("order")), reach, size, keys, ()).select(*keys, "x", "y", "d2")
 
 
 def nearest(sources: DataFrame, reach: int, size: tuple[int, int], value: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """As `distance`, with `value` of the nearest source; ties go to the smallest `order`."""
+    if reach > FEW:
+        return _tiled(sources.select(*keys, "x", "y", F.col(order).alias("order"), value), reach, size, keys, (value,))
     moved = spread(sources.select(*keys, "x", "y", value, order), disc(reach), size)
     first = F.struct("d2", order, value)
     return moved.groupBy(*keys, "x", "y").agg(F.min(first).alias("s")).select(*keys, "x", "y", F.col("s.d2").alias("d2"), F.col(f"s.{value}").alias(value))
 
 
+def _tiled(sources: DataFrame, reach: int, size: tuple[int, int], keys: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
+    """(keys, x, y, d2, values): the bounded transform, tile by tile.
+
+    A source goes to the tiles that it can reach, one row each (a halo of `reach` cells about a tile, so little more than a row a
+    source). In a tile the columns' nearest sources come from running maxima of rows, and 2 reach + 1 shifts of these give the
+    rows' minima; the key that is minimised holds distance and rank by order, so ties need no second look.
+    """
+    tiles = [F.sequence(F.expr(f"greatest({c} - {reach}, 0L) div {TILE}"), F.expr(f"least({c} + {reach}, {n - 1}L) div {TILE}")) for c, n in (("x", size[0]), ("y", size[1]))]
+    dealt = sources.withColumn("tile_x", F.explode(tiles[0])).withColumn("tile_y", F.explode(tiles[1]))
+    kind = {c: sources.schema[c].dataType.simpleString() for c in (*keys, *values)}
+    shape = ", ".join([*(f"{k} {kind[k]}" for k in keys), "x bigint, y bigint, d2 bigint", *(f"{v} {kind[v]}" for v in values)])
+    none = np.int64(1 << 62)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending")])
+        x0, y0 = table.column("tile_x")[0].as_py() * TILE, table.column("tile_y")[0].as_py() * TILE
+        x, y, n = table.column("x").to_numpy() - x0 + reach, table.column("y").to_numpy() - y0 + reach, table.num_rows
+        side = TILE + 2 * reach
+        rank = np.full((side, side), n, np.int64)
+        np.minimum.at(rank, (y, x), np.arange(n))
+        row = np.arange(side)[:, None]
+        here = np.where(rank < n, row, -side * 4)
+        key = np.full((TILE, side), none)
+        for way in (1, -1):
+            at = np.maximum.accumulate(here, axis=0) if way == 1 else -np.maximum.accumulate(np.where(rank < n, -row, -side * 4)[::-1], axis=0)[::-1]
+            at, apart = at[reach : reach + TILE], np.abs(row[reach : reach + TILE] - at[reach : reach + TILE])
+            fit = apart <= reach
+            key = np.minimum(key, np.where(fit, apart * apart * (n + 1) + rank[np.where(fit, at, 0), np.arange(side)], none))
+        best = np.full((TILE, TILE), none)
+        for dx in range(-reach, reach + 1):
+            best = np.minimum(best, key[:, reach + dx : reach + dx + TILE] + dx * dx * (n + 1))
+        cy, cx = np.nonzero(best < (reach * reach + 1) * (n + 1))
+        inside = (cx + x0 < size[0]) & (cy + y0 < size[1])
+        cy, cx = cy[inside], cx[inside]
+        d2, source = np.divmod(best[cy, cx], n + 1)
+        of = table.take(pa.array(source))
+        return pa.table([*(of.column(k) for k in keys), pa.array(cx + x0), pa.array(cy + y0), pa.array(d2), *(of.column(v) for v in values)], names=[*keys, "x", "y", "d2", *values])
+
+    return dealt.groupBy(*keys, "tile_x", "tile_y").applyInArrow(run, shape)
+
+
+def monotone_minima(at: np.ndarray, sites: np.ndarray, height: np.ndarray, scale: int) -> np.ndarray:
+    """For each of the ascending places `at` the index of the site that minimises (at - site)**2 * scale + height.
+
+    Parabolas of one curvature cross once, so the best sites ascend with the places: the middle place bounds the search of
+    both halves, and each of the log n rounds looks at every site about once.
+    """
+    n, out = len(at), np.zeros(len(at), np.int64)
+    step = 1 << max(n.bit_length() - 1, 0)
+    while step:
+        p = np.arange(step - 1, n, 2 * step)
+        low = np.where(p >= step, out[np.maximum(p - step, 0)], 0)
+        high = np.where(p + step < n, out[np.minimum(p + step, n - 1)], len(sites) - 1)
+        many = high - low + 1
+        first = np.cumsum(many) - many
+        group = np.repeat(np.arange(len(p)), many)
+        site = np.arange(many.sum()) - first[group] + low[group]
+        cost = (at[p[group]] - sites[site]) ** 2 * scale + height[site]
+        hit = np.flatnonzero(cost == np.minimum.reduceat(cost, first)[group])
+        out[p] = site[hit[np.unique(group[hit], return_index=True)[1]]]
+        step //= 2
+    return out
+
+
+def transform(cells: DataFrame, sources: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, x, y, d2, sx, sy, order): the nearest source of every cell, however far; ties go to the smallest `order`.
+
+    The exact transform by separable passes: a running window down and up each column finds the column's nearest sources, and
+    along a row the lower envelope of their parabolas is searched. A cell is one row throughout; a task holds a column or a
+    row of the grid. Cells of keys without sources are left out.
+    """
+    src = sources.groupBy(*keys, "x", "y").agg(F.min(F.col(order).cast("long")).alias("order"))
+    both = cells.select(*keys, "x", "y", F.lit(True).alias("asked"), F.lit(None).cast("struct<order: bigint, y: bigint>").alias("s"))
+    both = both.unionByName(src.select(*keys, "x", "y", F.lit(False).alias("asked"), F.struct("order", "y").alias("s")))
+    column = Window.partitionBy(*keys, "x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumns({"up": F.last("s", True).over(column.orderBy("y")), "down": F.last("s", True).over(column.orderBy(F.desc("y")))}).filter("asked")
+    apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(((F.col("y") - F.col(f"{c}.y")) * (F.col("y") - F.col(f"{c}.y"))).alias("d2"), F.col(f"{c}.order").alias("order"), F.col(f"{c}.y").alias("sy")))
+    near = seen.select(*keys, "x", "y", F.least(apart("up"), apart("down")).alias("g")).select(*keys, "x", "y", "g.*")
+    names = [*keys, "x", "y", "d2", "sx", "sy", "order"]
+    shape = ", ".join(f"{k} {cells.schema[k].dataType.simpleString() if k in keys else 'bigint'}" for k in names)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("x", "ascending")])
+        x, full = table.column("x").to_numpy(), table.filter(table.column("d2").is_valid())
+        if not full.num_rows:
+            return pa.table([table.column(k).slice(0, 0) if k in keys else pa.array([], pa.int64()) for k in names], names=names)
+        sites, g, by, sy = (full.column(c).to_numpy() for c in ("x", "d2", "order", "sy"))
+        own, rank = np.unique(by, return_inverse=True)
+        best = monotone_minima(x, sites, g * len(own) + rank, len(own))
+        d2 = (x - sites[best]) ** 2 + g[best]
+        return pa.table([*(table.column(k) for k in keys), table.column("x"), table.column("y"), pa.array(d2), pa.array(sites[best]), pa.array(sy[best]), pa.array(by[best])], names=names)
+
+    return near.groupBy(*keys, "y").applyInArrow(run, shape)
+
+
 def block_reduced(cells: DataFrame, scale: int, aggregates: dict[str, Column]) -> DataFrame:
     """Blocks of scale x scale cells (cx, cy) with aggregates over their cells; partial sums precede the shuffle."""
     return cells.groupBy((F.col("x") / scale).cast("long").alias("cx"), (F.col("y") / scale).cast("long").alias("cy")).agg(*[c.alias(k) for k, c in aggregates.items()])

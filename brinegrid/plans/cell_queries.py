@@ -224,6 +224,13 @@ def m5_nearest_bearing(fx: Fixtures) -> DataFrame:
     return raster.nearest(walked, 2, fx.size, "dir", "order")
 
 
+@query(sql("SELECT x, y, CAST(d2 AS BIGINT) AS d2, CAST(s // 1000000 AS BIGINT) AS feat FROM (SELECT c.x, c.y, min(pow(c.x - p.x, 2) + pow(c.y - p.y, 2)) AS d2, arg_min(p.feat * 1000000 + p.i, (pow(c.x - p.x, 2) + pow(c.y - p.y, 2)) * 1000000000 + p.feat * 1000000 + p.i) AS s FROM cells0 c, walk p GROUP BY 1, 2)"))
+def m3_m5_nearest_lane(fx: Fixtures) -> DataFrame:
+    """Every cell's nearest lane cell, however far, by the exact transform."""
+    made = raster.transform(fx.cells, fx.walked.withColumn("order", F.col("feat") * 1_000_000 + F.col("i")), "order")
+    return made.select("x", "y", "d2", F.expr("order div 1000000").alias("feat"))
+
+
 @query(sql("SELECT x // 4 AS cx, y // 4 AS cy, bool_or(coalesce(depth <= -30, false)) AND bool_or(NOT land) AS open, bool_or(coalesce(depth <= -30, false)) AS traversable FROM layers GROUP BY 1, 2"))
 def m6_m7_block_reduce(fx: Fixtures) -> DataFrame:
     return raster.coarse_open(fx.layers, 4, 30.0).join(raster.coarse_traversable(fx.cells, 4, 30.0).withColumnRenamed("open", "traversable"), ["cx", "cy"])
