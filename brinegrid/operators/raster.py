@@ -130,35 +130,34 @@ def monotone_minima(at: np.ndarray, sites: np.ndarray, height: np.ndarray, scale
     return out
 
 
-def transform(cells: DataFrame, sources: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, x, y, d2, sx, sy, order): the nearest source of every cell, however far; ties go to the smallest `order`.
+def transform(sources: DataFrame, order: str, size: tuple[int, int]) -> DataFrame:
+    """(x, y, d2, sx, sy, order): the nearest source of every cell of the grid, however far; ties go to the smallest `order`.
 
     The exact transform by separable passes: a running window down and up each column finds the column's nearest sources, and
     along a row the lower envelope of their parabolas is searched. A cell is one row throughout; a task holds a column or a
-    row of the grid. Cells of keys without sources are left out.
+    row of the grid. Without sources there are no rows.
     """
-    src = sources.groupBy(*keys, "x", "y").agg(F.min(F.col(order).cast("long")).alias("order"))
-    both = cells.select(*keys, "x", "y", F.lit(True).alias("asked"), F.lit(None).cast("struct<order: bigint, y: bigint>").alias("s"))
-    both = both.unionByName(src.select(*keys, "x", "y", F.lit(False).alias("asked"), F.struct("order", "y").alias("s")))
-    column = Window.partitionBy(*keys, "x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    src = sources.groupBy("x", "y").agg(F.min(F.col(order).cast("long")).alias("order"))
+    whole = sources.sparkSession.range(size[0] * size[1]).select((F.col("id") % size[0]).alias("x"), F.expr(f"id div {size[0]}").alias("y"), F.lit(True).alias("asked"))
+    both = whole.withColumn("s", F.lit(None).cast("struct<order: bigint, y: bigint>")).unionByName(src.select("x", "y", F.lit(False).alias("asked"), F.struct("order", "y").alias("s")))
+    column = Window.partitionBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumns({"up": F.last("s", True).over(column.orderBy("y")), "down": F.last("s", True).over(column.orderBy(F.desc("y")))}).filter("asked")
     apart = lambda c: F.when(F.col(c).isNotNull(), F.struct(((F.col("y") - F.col(f"{c}.y")) * (F.col("y") - F.col(f"{c}.y"))).alias("d2"), F.col(f"{c}.order").alias("order"), F.col(f"{c}.y").alias("sy")))
-    near = seen.select(*keys, "x", "y", F.least(apart("up"), apart("down")).alias("g")).select(*keys, "x", "y", "g.*")
-    names = [*keys, "x", "y", "d2", "sx", "sy", "order"]
-    shape = ", ".join(f"{k} {cells.schema[k].dataType.simpleString() if k in keys else 'bigint'}" for k in names)
+    near = seen.select("x", "y", F.least(apart("up"), apart("down")).alias("g")).select("x", "y", "g.*")
+    names = ["x", "y", "d2", "sx", "sy", "order"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("x", "ascending")])
         x, full = table.column("x").to_numpy(), table.filter(table.column("d2").is_valid())
         if not full.num_rows:
-            return pa.table([table.column(k).slice(0, 0) if k in keys else pa.array([], pa.int64()) for k in names], names=names)
+            return pa.table([pa.array([], pa.int64())] * len(names), names=names)
         sites, g, by, sy = (full.column(c).to_numpy() for c in ("x", "d2", "order", "sy"))
         own, rank = np.unique(by, return_inverse=True)
         best = monotone_minima(x, sites, g * len(own) + rank, len(own))
         d2 = (x - sites[best]) ** 2 + g[best]
-        return pa.table([*(table.column(k) for k in keys), table.column("x"), table.column("y"), pa.array(d2), pa.array(sites[best]), pa.array(sy[best]), pa.array(by[best])], names=names)
+        return pa.table([table.column("x"), table.column("y"), pa.array(d2), pa.array(sites[best]), pa.array(sy[best]), pa.array(by[best])], names=names)
 
-    return near.groupBy(*keys, "y").applyInArrow(run, shape)
+    return near.groupBy("y").applyInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def block_reduced(cells: DataFrame, scale: int, aggregates: dict[str, Column]) -> DataFrame:

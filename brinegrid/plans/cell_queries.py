@@ -227,7 +227,7 @@ def m5_nearest_bearing(fx: Fixtures) -> DataFrame:
 @query(sql("SELECT x, y, CAST(d2 AS BIGINT) AS d2, CAST(s // 1000000 AS BIGINT) AS feat FROM (SELECT c.x, c.y, min(pow(c.x - p.x, 2) + pow(c.y - p.y, 2)) AS d2, arg_min(p.feat * 1000000 + p.i, (pow(c.x - p.x, 2) + pow(c.y - p.y, 2)) * 1000000000 + p.feat * 1000000 + p.i) AS s FROM cells0 c, walk p GROUP BY 1, 2)"))
 def m3_m5_nearest_lane(fx: Fixtures) -> DataFrame:
     """Every cell's nearest lane cell, however far, by the exact transform."""
-    made = raster.transform(fx.cells, fx.walked.withColumn("order", F.col("feat") * 1_000_000 + F.col("i")), "order")
+    made = raster.transform(fx.walked.withColumn("order", F.col("feat") * 1_000_000 + F.col("i")), "order", fx.size)
     return made.select("x", "y", "d2", F.expr("order div 1000000").alias("feat"))
 
 
@@ -295,22 +295,22 @@ def m15_disc(fx: Fixtures) -> DataFrame:
 
 
 
-@query(sql("SELECT 'fine' AS level, x, y FROM (" + _dilate_sql("(SELECT * FROM walk WHERE feat < 2)", 2, "true") + ") UNION ALL SELECT 'coarse', x, y FROM (" + _dilate_sql("coarse_walk", 1, "true").replace("w - 1", "(w + 3) // 4 - 1") + ")", coarse_walk=walk_sql("(SELECT feat, x0 // 4 AS x0, y0 // 4 AS y0, x1 // 4 AS x1, y1 // 4 AS y1 FROM lane_feat WHERE feat < 2)", "feat")))
+@query(sql("SELECT 'fine' AS level, x, y FROM (" + _dilate_sql("walk", 2, "true") + ") UNION ALL SELECT 'coarse', x, y FROM (" + _dilate_sql("coarse_walk", 1, "true").replace("w - 1", "(w + 3) // 4 - 1") + ")", coarse_walk=walk_sql("(SELECT feat, x0 // 4 AS x0, y0 // 4 AS y0, x1 // 4 AS x1, y1 // 4 AS y1 FROM lane_feat)", "feat")))
 def m16_m17_canal_masks(fx: Fixtures) -> DataFrame:
     from ..operators.corridor import canal_cells
 
-    legs = fx.lane_features.filter("feat < 2")
+    legs = fx.lane_features
     fine, coarse = canal_cells(legs, 2, fx.size, 1), canal_cells(legs, 1, fx.size, 4)
     return fine.select(F.lit("fine").alias("level"), "x", "y").unionByName(coarse.select(F.lit("coarse").alias("level"), "x", "y"))
 
 
-LINES = "SELECT route_id, x0, y0, x1, y1 FROM requests UNION ALL SELECT route_id + 100, x0, y0, least(x0 + 6, w - 1), least(y0 + 3, w - 1) FROM requests, dim"
+LINES = "SELECT route_id, x0, y0, x1, y1 FROM requests UNION ALL SELECT route_id + 10000000, x0, y0, least(x0 + 6, w - 1), least(y0 + 3, w - 1) FROM requests, dim"
 
 
 def _lines(fx: Fixtures) -> DataFrame:
     r = fx.requests
     top = F.lit(fx.w - 1)
-    short = r.select((F.col("route_id") + 100).alias("route_id"), "x0", "y0", F.least(F.col("x0") + 6, top).alias("x1"), F.least(F.col("y0") + 3, top).alias("y1"))
+    short = r.select((F.col("route_id") + 10_000_000).alias("route_id"), "x0", "y0", F.least(F.col("x0") + 6, top).alias("x1"), F.least(F.col("y0") + 3, top).alias("y1"))
     return r.select("route_id", "x0", "y0", "x1", "y1").unionByName(short)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid
 from ..operators import lines, raster
 from ..operators.lineage import cut
+from ..settings import Settings
+from .layers import layers
 
 
 @dataclass(frozen=True)
@@ -82,18 +84,13 @@ class Fixtures:
         return raster.normalised(sums, "density").withColumn("density", F.round("density", 6))
 
     @property
-    def asked(self) -> DataFrame:
+    def requests(self) -> DataFrame:
         """A route request of every customer."""
         c, w = F.col("c_custkey").cast("long"), F.lit(self.w).cast("long")
         draft = (5 + F.col("c_nationkey") % 10).cast("long")
         at = lambda a, b: (c * a + b) % w
         return self.table("customer").select(c.alias("route_id"), at(13, 0).alias("x0"), at(29, 0).alias("y0"), at(41, 5).alias("x1"), at(59, 9).alias("y1"), draft.alias("draft"))
 
-    @property
-    def requests(self) -> DataFrame:
-        """The requests that the SQL of the fixtures is held to."""
-        return self.asked.filter("route_id < 64")
-
     @property
     def track(self) -> DataFrame:
         e = F.col("event_id").cast("long")
@@ -123,11 +120,7 @@ class Fixtures:
     @cached_property
     def layers(self) -> DataFrame:
         """All bands of every cell: depth, land, dist (to land, up to 6), lane, lane_dir, zone, boundary; computed once."""
-        flag = lambda df, name: df.select("x", "y", F.lit(True).alias(name))
-        near = raster.distance(self.land, 6, self.size).select("x", "y", F.sqrt("d2").alias("dist"))
-        out = self.cells.join(flag(self.land, "land"), ["x", "y"], "left").join(near, ["x", "y"], "left")
-        out = out.join(self.lane.withColumn("lane", F.lit(True)), ["x", "y"], "left").join(flag(self.zone, "zone"), ["x", "y"], "left").join(flag(self.boundary, "boundary"), ["x", "y"], "left")
-        return cut(out.fillna(False, ["land", "lane", "zone", "boundary"]))
+        return cut(layers(self.cells, self.land, self.grid, Settings(), self.lane, self.zone, self.boundary))
 
 
 _made: dict[tuple[str, str], Fixtures] = {}
@@ -156,7 +149,7 @@ _SQL = {
     "zone": "SELECT DISTINCT x, y + 2 AS y FROM walk, dim WHERE y + 2 < w EXCEPT SELECT x, y FROM lane",
     "bnd": "SELECT DISTINCT x, y + 4 AS y FROM walk, dim WHERE y + 4 < w EXCEPT SELECT x, y FROM lane EXCEPT SELECT DISTINCT x, y + 2 FROM walk",
     "density": "SELECT x, y, round(s / max(s) OVER (), 6) AS density FROM (SELECT CAST(37 * event_id % w AS BIGINT) AS x, CAST((53 * user_id + 7 * event_id) % w AS BIGINT) AS y, sum(value) AS s FROM events, dim GROUP BY 1, 2)",
-    "requests": "SELECT c AS route_id, 13 * c % w AS x0, 29 * c % w AS y0, (41 * c + 5) % w AS x1, (59 * c + 9) % w AS y1, draft FROM (SELECT CAST(c_custkey AS BIGINT) AS c, CAST(5 + c_nationkey % 10 AS BIGINT) AS draft FROM customer), dim WHERE c < 64",
+    "requests": "SELECT c AS route_id, 13 * c % w AS x0, 29 * c % w AS y0, (41 * c + 5) % w AS x1, (59 * c + 9) % w AS y1, draft FROM (SELECT CAST(c_custkey AS BIGINT) AS c, CAST(5 + c_nationkey % 10 AS BIGINT) AS draft FROM customer), dim",
     "track": "SELECT CAST(user_id AS BIGINT) AS route_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, (37 * e % 3600) / 10 - 180 AS lon, (53 * e % 1400) / 10 - 70 AS lat FROM (SELECT *, CAST(event_id AS BIGINT) AS e FROM events)",
     "basins": "SELECT r AS seq, r_name AS id, r * w // 8 AS bx0, r * w // 8 + w // 3 AS bx1, r * w // 10 AS by0, r * w // 10 + w // 2 AS by1 FROM (SELECT CAST(r_regionkey AS BIGINT) AS r, r_name FROM region), dim",
     "edges": "SELECT src, dst, min(weight_nm) AS weight_nm FROM (SELECT n AS src, (7 * n + 3) % 25 AS dst, 100 + 37 * n % 900 AS weight_nm FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation) UNION ALL SELECT n, (n + 1) % 25, 200 + 91 * n % 700 FROM (SELECT CAST(n_nationkey AS BIGINT) AS n FROM nation)) GROUP BY 1, 2",

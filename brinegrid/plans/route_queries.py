@@ -11,7 +11,8 @@ from ..operators import corridor, lines, moves, passages, polyline, raster, sear
 from ..operators.lineage import cut
 from . import cell_queries as cq
 from .fixtures import Fixtures, fixtures, sql
-from .route import Attempt, Settings, route, searched
+from ..settings import Settings
+from .route import Attempt, by_legs, coarse, route, searched
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,19 +28,14 @@ def query(text: str | None = None):
     return add
 
 
-def _few(fx: Fixtures, n: int = 8) -> DataFrame:
-    """The requests that the SQL of a query is held to; queries without SQL take all (fx.asked)."""
-    return fx.requests.filter(F.col("route_id") < n)
-
-
-_APART = """SELECT r.route_id, c.x, c.y FROM (SELECT * FROM requests WHERE route_id < 8) r, cells0 c WHERE sqrt(pow(c.x - (x0 + t(c.x, c.y, x0, y0, x1, y1) * (x1 - x0)), 2) + pow(c.y - (y0 + t(c.x, c.y, x0, y0, x1, y1) * (y1 - y0)), 2)) <= 3.3"""
+_APART = """SELECT r.route_id, c.x, c.y FROM requests r, cells0 c WHERE sqrt(pow(c.x - (x0 + t(c.x, c.y, x0, y0, x1, y1) * (x1 - x0)), 2) + pow(c.y - (y0 + t(c.x, c.y, x0, y0, x1, y1) * (y1 - y0)), 2)) <= 3.3"""
 _T = "(CASE WHEN x0 = x1 AND y0 = y1 THEN 0.0 ELSE greatest(0.0, least(1.0, ((c.x - x0) * (x1 - x0) + (c.y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) END)"
 _APART = _APART.replace("t(c.x, c.y, x0, y0, x1, y1)", _T)
 
 
 @query(sql("SELECT route_id, x, y FROM corr ANTI JOIN land USING (x, y)", corr=_APART))
 def c1_corridor(fx: Fixtures) -> DataFrame:
-    return corridor.straight_corridor(_few(fx), fx.grid, 3.3 * 60 * fx.grid.dx, fx.land)
+    return corridor.straight_corridor(fx.requests, fx.grid, 3.3 * 60 * fx.grid.dx, fx.land)
 
 
 @query(sql("SELECT DISTINCT route_id, x + dx AS x, y + dy AS y FROM (SELECT route_id, x0 AS x, y0 AS y FROM requests UNION ALL SELECT route_id, x1, y1 FROM requests), (SELECT unnest(range(-3, 4)) AS dx), (SELECT unnest(range(-3, 4)) AS dy), dim WHERE x + dx BETWEEN 0 AND w - 1 AND y + dy BETWEEN 0 AND w - 1 AND (x + dx, y + dy) NOT IN (SELECT (x, y) FROM land)"))
@@ -51,7 +47,7 @@ def c5_waypoint_corridor(fx: Fixtures) -> DataFrame:
 
 @query()
 def c3_two_width_corridor(fx: Fixtures) -> DataFrame:
-    return corridor.two_width_corridor(fx.asked, fx.grid, 12.0, 6.0, 6.0)
+    return corridor.two_width_corridor(fx.requests, fx.grid, 12.0, 6.0, 6.0)
 
 
 def _ends(r: DataFrame) -> DataFrame:
@@ -61,17 +57,31 @@ def _ends(r: DataFrame) -> DataFrame:
 
 def _features(fx: Fixtures, r: DataFrame) -> DataFrame:
     cells = corridor.straight_corridor(r, fx.grid, 3.3 * 6, fx.land).join(r.select("route_id", "draft"), "route_id")
-    return cut(corridor.features(cells, fx.layers, _ends(r), F.col("draft"), fx.size))
+    return cut(corridor.features(cells, fx.layers, _ends(r), F.col("draft"), fx.grid))
 
 
-@query()
+_BEARING = "SELECT route_id, draft, x0, y0, x1, y1, " + cq.BEARING + " AS bearing FROM (SELECT *, -20.0 + (x0 + 0.5) * 0.1 AS lon1, 60.0 - (y0 + 0.5) * 0.1 AS lat1, -20.0 + (x1 + 0.5) * 0.1 AS lon2, 60.0 - (y1 + 0.5) * 0.1 AS lat2 FROM requests)"
+_CELLS = f"""SELECT c.route_id, c.x, c.y, bearing, x0, y0, x1, y1, (NOT coalesce(depth <= -draft, false)) OR zone AS blocked, CASE WHEN coalesce(depth <= -draft, false) THEN round(5.0 / greatest(-depth - draft, 0.001), 6) ELSE 0.0 END AS depth_cost,
+coalesce(round(greatest(0.0, 5.0 * (1 - dist / 6.0)), 6), 0.0) AS land_cost, near.x IS NOT NULL AS near, lane AND {cq._angle('lane_dir', 'bearing')} <= 90 AS r, lane AND {cq._angle('lane_dir', 'bearing')} > 90 AS w
+FROM (SELECT * FROM corr ANTI JOIN land USING (x, y)) c JOIN layers l ON l.x = c.x AND l.y = c.y JOIN brg b ON b.route_id = c.route_id LEFT JOIN near ON near.x = c.x AND near.y = c.y"""
+_NEAR = "SELECT DISTINCT x + dx AS x, y + dy AS y FROM lane, (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy)"
+_AROUND = "SELECT route_id, x + dx AS x, y + dy AS y, min(CASE WHEN coalesce(r, false) THEN dx * dx + dy * dy END) AS rd, min(CASE WHEN coalesce(w, false) THEN dx * dx + dy * dy END) AS wd FROM fea, (SELECT unnest([0, 1, -1, 0, 0]) AS dx, unnest([0, 0, 0, 1, -1]) AS dy) WHERE r OR w GROUP BY 1, 2, 3"
+_SNAP = "SELECT fea.*, a.rd IS NOT NULL AS band, a.rd IS NULL OR (NOT coalesce(w, false) AND (wd IS NULL OR rd <= wd)) AS snap0 FROM fea LEFT JOIN aro a ON a.route_id = fea.route_id AND a.x = fea.x AND a.y = fea.y"
+_ENDS = "SELECT e.route_id, e.seq, e.x, e.y, snap0, w FROM (SELECT route_id, 0 AS seq, x0 AS x, y0 AS y FROM requests UNION ALL SELECT route_id, 1, x1, y1 FROM requests) e LEFT JOIN snp s ON s.route_id = e.route_id AND s.x = e.x AND s.y = e.y"
+_BACK = "SELECT *, coalesce(NOT coalesce(w, false) AND snap0 IS NOT NULL AND (seq <= min(CASE WHEN snap0 THEN seq END) OVER r OR seq >= max(CASE WHEN snap0 THEN seq END) OVER r), false) AS back FROM ven WINDOW r AS (PARTITION BY route_id)"
+_C4 = {"corr": _APART, "brg": _BEARING, "near": _NEAR, "fea": _CELLS, "aro": _AROUND, "snp": _SNAP, "ven": _ENDS, "bck": _BACK}
+
+
+@query(sql("""SELECT s.route_id, s.x, s.y, blocked, depth_cost, land_cost, near, coalesce(r, false) AS right, coalesce(w, false) AS wrong, band, snap0 OR b.x IS NOT NULL AS snap, snap0 OR b.x IS NOT NULL OR NOT h.held AS open, bearing
+FROM snp s LEFT JOIN (SELECT DISTINCT route_id, x, y FROM bck WHERE back) b ON b.route_id = s.route_id AND b.x = s.x AND b.y = s.y JOIN (SELECT route_id, bool_and(coalesce(snap0, false) OR back) AS held FROM bck GROUP BY 1) h ON h.route_id = s.route_id""", **_C4))
 def c4_features(fx: Fixtures) -> DataFrame:
-    return _features(fx, fx.asked).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"), "near", "right", "wrong", "band", "snap", "bearing")
+    made = _features(fx, fx.requests)
+    return made.select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"), "near", "right", "wrong", "band", "snap", "open", "bearing")
 
 
-@query(sql("SELECT c.route_id, c.x, c.y, (NOT coalesce(depth <= -draft, false)) OR zone AS blocked, CASE WHEN coalesce(depth <= -draft, false) THEN round(5.0 / greatest(-depth - draft, 0.001), 6) ELSE 0.0 END AS depth_cost, coalesce(round(greatest(0.0, 5.0 * (1 - dist / 6.0)), 6), 0.0) AS land_cost FROM (SELECT * FROM corr ANTI JOIN land USING (x, y)) c JOIN layers l ON l.x = c.x AND l.y = c.y JOIN requests r ON r.route_id = c.route_id", corr=_APART))
+@query(sql("SELECT route_id, x, y, blocked, depth_cost, land_cost FROM fea", **_C4))
 def c2_c4_penalties(fx: Fixtures) -> DataFrame:
-    return _features(fx, _few(fx)).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"))
+    return _features(fx, fx.requests).select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"))
 
 
 _WRONG_NEAR = f"SELECT c.x, c.y, min(CASE WHEN {cq._angle('l.lane_dir', '90')} > 90 THEN pow(l.x - c.x, 2) + pow(l.y - c.y, 2) END) AS wrong, min(CASE WHEN {cq._angle('l.lane_dir', '90')} <= 90 THEN pow(l.x - c.x, 2) + pow(l.y - c.y, 2) END) AS ok FROM cells0 c JOIN lane l ON abs(l.x - c.x) <= 2 AND abs(l.y - c.y) <= 2 AND pow(l.x - c.x, 2) + pow(l.y - c.y, 2) BETWEEN 1 AND 4 GROUP BY 1, 2"
@@ -108,48 +118,51 @@ def p7_p8_p10_p15_move_terms(fx: Fixtures) -> DataFrame:
 
 @query()
 def p14_move_costs(fx: Fixtures) -> DataFrame:
-    goals = fx.asked.select("route_id", F.col("x1").alias("gx"), F.col("y1").alias("gy"))
-    priced = moves.costed(_features(fx, fx.asked), fx.lane, goals, fx.grid)
+    goals = fx.requests.select("route_id", F.col("x1").alias("gx"), F.col("y1").alias("gy"))
+    priced = moves.costed(_features(fx, fx.requests), fx.lane, goals, fx.grid)
     return priced.select("route_id", "x", "y", "nx", "ny", "dir", F.round("cost", 6).alias("cost"))
 
 
 @query()
 def a2_route_kernel(fx: Fixtures) -> DataFrame:
-    found = searched(fx.asked, fx.layers, fx.grid, Settings(width_nm=24.0), Attempt())
+    found = searched(fx.requests, fx.layers, fx.grid, Settings(width_nm=24.0), Attempt())
     return found.select("route_id", F.size("path").alias("n"), "explored", F.round("cost", 3).alias("cost"), "success")
 
 
-def _blocks(fx: Fixtures, r: DataFrame) -> DataFrame:
-    open_blocks = raster.coarse_open(fx.layers, 8, 1.0).filter("open").select("cx", "cy")
-    return r.select("route_id").crossJoin(open_blocks)
-
-
 _COARSE = "SELECT x // 8 AS cx, y // 8 AS cy FROM layers GROUP BY 1, 2 HAVING bool_or(coalesce(depth <= -1, false)) AND bool_or(NOT land)"
-_NEXT = f"SELECT p.cx, p.cy, n.cx AS nx, n.cy AS ny, CASE WHEN dx <> 0 AND dy <> 0 THEN 1.414 ELSE 1.0 END * 8 * sqrt(pow(6.0 * cos(radians(60.0 - (p.cy * 8 + 4.5) * 0.1)), 2) + 36.0) / 1.414 AS cost FROM blk p, mv, blk n WHERE n.cx = p.cx + dx AND n.cy = p.cy + dy"
-_RELAX = "SELECT route_id, x0 // 8 AS cx, y0 // 8 AS cy, 0.0::DOUBLE AS cost, 0 AS depth FROM requests WHERE route_id < 4 UNION SELECT * FROM (SELECT r.route_id, s.nx, s.ny, min(r.cost + s.cost), max(r.depth) + 1 FROM rel r JOIN stp s ON s.cx = r.cx AND s.cy = r.cy WHERE r.depth < 60 GROUP BY 1, 2, 3)"
+_NEXT = "SELECT p.cx, p.cy, n.cx AS nx, n.cy AS ny, CASE WHEN dx <> 0 AND dy <> 0 THEN 1.414 ELSE 1.0 END * 8 * sqrt(pow(6.0 * cos(radians(60.0 - (p.cy * 8 + 4) * 0.1)), 2) + 36.0) / 1.414 AS cost FROM blk p, mv, blk n WHERE n.cx = p.cx + dx AND n.cy = p.cy + dy"
+_STARTS = "SELECT DISTINCT x0 // 8 AS bx, y0 // 8 AS by FROM requests"
+_RELAX = "SELECT bx, by, bx AS cx, by AS cy, 0.0::DOUBLE AS cost, 0 AS depth FROM sta WHERE (bx, by) IN (SELECT (cx, cy) FROM blk) UNION SELECT * FROM (SELECT r.bx, r.by, s.nx, s.ny, min(r.cost + s.cost), max(r.depth) + 1 FROM rel r JOIN stp s ON s.cx = r.cx AND s.cy = r.cy WHERE r.depth < 60 GROUP BY 1, 2, 3, 4)"
 
 
-@query(sql("SELECT route_id, cx, cy, round(min(cost), 6) AS cost FROM rel GROUP BY 1, 2, 3", True, mv=_MOVE, blk=_COARSE, stp=_NEXT, rel=_RELAX))
+@query(sql("SELECT bx * 1000 + by AS start, cx, cy, round(min(cost), 6) AS cost FROM rel GROUP BY 1, 2, 3", True, mv=_MOVE, blk=_COARSE, stp=_NEXT, sta=_STARTS, rel=_RELAX))
 def a6_coarse_distance(fx: Fixtures) -> DataFrame:
-    starts = _few(fx, 4).select("route_id", F.expr("x0 div 8").alias("x"), F.expr("y0 div 8").alias("y"))
-    found = search.relaxed(search.coarse_moves(_blocks(fx, _few(fx, 4)), fx.grid, 8), starts)
-    return found.select("route_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.round("cost", 6).alias("cost"))
+    """Distances from every block in which a request starts to every block, by relaxation; requests that share a block share its rows."""
+    blocks = cut(raster.coarse_open(fx.layers, 8, 1.0).filter("open").select("cx", "cy"))
+    starts = fx.requests.select(F.expr("x0 div 8").alias("x"), F.expr("y0 div 8").alias("y")).distinct().join(blocks.select(F.col("cx").alias("x"), F.col("cy").alias("y")), ["x", "y"], "left_semi")
+    moves_ = search.coarse_moves(blocks.withColumn("route_id", F.lit(0)), fx.grid, 8).select("x", "y", "nx", "ny", "cost")
+    found = search.relaxed(moves_, starts.select((F.col("x") * 1000 + F.col("y")).alias("route_id"), "x", "y"))
+    return found.select(F.col("route_id").alias("start"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.round("cost", 6).alias("cost"))
 
 
 @query()
 def a4_coarse_to_fine_legs(fx: Fixtures) -> DataFrame:
-    asked = fx.asked
-    blocks = asked.select("route_id", *[F.expr(f"{c} div 8").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    coarse = search.astar(search.coarse_moves(_blocks(fx, asked), fx.grid, 8), blocks, fx.grid, turn_weight=0.0, heuristic=1.0)
-    return search.coarse_to_fine(coarse, asked, 8)
+    return search.coarse_to_fine(coarse(fx.requests, fx.layers, fx.grid, 8), fx.requests, 8)
+
+
+@query()
+def a4b_coarse_to_fine(fx: Fixtures) -> DataFrame:
+    """Every request searched leg by leg along its coarse path."""
+    found = by_legs(fx.requests, fx.layers, fx.grid, Settings(coarse_scale=8, width_nm=24.0))
+    return found.select("route_id", F.size("path").alias("n"), "explored", F.round("cost", 3).alias("cost"), "success", F.sha2(F.to_json("path"), 256).alias("path_sha256"))
 
 
-_MACRO = "SELECT 0::BIGINT AS start, 0::BIGINT AS node, 0.0::DOUBLE AS weight_nm, [0::BIGINT] AS path UNION ALL SELECT m.start, e.dst, m.weight_nm + e.weight_nm, list_append(path, e.dst) FROM mac m JOIN edges e ON e.src = m.node WHERE len(path) < 12 AND NOT list_contains(path, e.dst) AND m.weight_nm + e.weight_nm < 4000"
+_MACRO = "SELECT node AS start, node, 0.0::DOUBLE AS weight_nm, [node] AS path FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) UNION ALL SELECT m.start, e.dst, m.weight_nm + e.weight_nm, list_append(path, e.dst) FROM mac m JOIN edges e ON e.src = m.node WHERE len(path) < 12 AND NOT list_contains(path, e.dst) AND m.weight_nm + e.weight_nm < 4000"
 
 
 @query(sql("SELECT start, node, min(weight_nm) AS weight_nm FROM mac GROUP BY 1, 2", True, mac=_MACRO))
 def a9_macro_distance(fx: Fixtures) -> DataFrame:
-    starts = fx.spark.range(1).select(F.col("id").alias("node"))
+    starts = fx.passages.select(F.col("src").alias("node")).union(fx.passages.select("dst")).distinct()
     return passages.macro_routes(fx.passages, starts).select("start", "node", "weight_nm")
 
 
@@ -172,10 +185,9 @@ def _before(fx: Fixtures) -> DataFrame:
     return walked.select("route_id", "x", "y", F.lag("x").over(over).alias("px"), F.lag("y").over(over).alias("py")).filter("px is not null")
 
 
-@query(sql("SELECT route_id, i AS seq, x, y FROM lw WHERE route_id < 8", ln="SELECT route_id, x0, y0, x1, y1 FROM requests", lw=cq.WALKED))
+@query(sql("SELECT route_id, i AS seq, x, y FROM lw", ln="SELECT route_id, x0, y0, x1, y1 FROM requests", lw=cq.WALKED))
 def a8_reconstruct(fx: Fixtures) -> DataFrame:
-    before = _before(fx).filter("route_id < 8")
-    return search.reconstructed(before, _few(fx).select("route_id", F.col("x1").alias("x"), F.col("y1").alias("y")))
+    return search.reconstructed(_before(fx), fx.requests.select("route_id", F.col("x1").alias("x"), F.col("y1").alias("y")))
 
 
 _THREE = "SELECT route_id, 0 AS seq, x0 AS x, y0 AS y FROM requests UNION ALL SELECT route_id, 1, (x0 + y1) % w, (y0 + x1) % w FROM requests, dim UNION ALL SELECT route_id, 2, x1, y1 FROM requests"
@@ -196,7 +208,7 @@ def x8_wrong_way_segments(fx: Fixtures) -> DataFrame:
 
 @query()
 def x9_bypasses(fx: Fixtures) -> DataFrame:
-    return polyline.bypasses(polyline.wrong_segments(_three(fx, fx.asked), fx.layers, fx.grid), fx.layers, fx.grid)
+    return polyline.bypasses(polyline.wrong_segments(_three(fx, fx.requests), fx.layers, fx.grid), fx.layers, fx.grid)
 
 
 @query(sql(f"SELECT route_id, round(sum(coalesce({cq.PLANAR}, 0.0)), 3) AS distance_nm FROM pairs GROUP BY 1", pairs=cq.PAIRS))
@@ -226,13 +238,13 @@ def l10_wrong_way_audit(fx: Fixtures) -> DataFrame:
 
 @query()
 def x4_lane_aware_simplify(fx: Fixtures) -> DataFrame:
-    points = lines.lane_status(lines.walk(fx.asked, ("route_id",)).withColumnRenamed("i", "seq"), fx.layers)
+    points = lines.lane_status(lines.walk(fx.requests, ("route_id",)).withColumnRenamed("i", "seq"), fx.layers)
     return polyline.lane_aware(points, polyline.clear_pairs(points, fx.layers, fx.grid, Settings().max_skip, 1.0)).select("route_id", "seq", "x", "y", "in_lane")
 
 
 @query()
 def x1_x3_string_pull(fx: Fixtures) -> DataFrame:
-    points = lines.walk(fx.asked, ("route_id",)).withColumnRenamed("i", "seq")
+    points = lines.walk(fx.requests, ("route_id",)).withColumnRenamed("i", "seq")
     return polyline.farthest_skips(points, polyline.clear_pairs(points, fx.layers, fx.grid, Settings().max_skip, 1.0))
 
 
@@ -250,5 +262,5 @@ def x7_spline(fx: Fixtures) -> DataFrame:
 @query()
 def route_batch(fx: Fixtures) -> DataFrame:
     """The flagship: fixture rasters, open water, corridors, search, simplification and repair for a batch of requests."""
-    made = route(fx.asked, fx.layers, fx.grid, Settings(width_nm=24.0))
+    made = route(fx.requests, fx.layers, fx.grid, Settings(width_nm=24.0))
     return made.select("route_id", F.to_json("path").alias("path"), F.round("distance_nm", 6).alias("distance_nm"), "explored", "attempt", F.to_json("warnings").alias("warnings"))

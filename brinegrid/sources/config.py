@@ -8,13 +8,21 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.route import Settings
+from ..settings import Settings
 
 POINT = "struct<lon: double, lat: double>"
-#: Where the settings stand in the file: section, key, setting.
+#: Where the settings stand in the file: section, key, setting ("" where the router has no use for a key that the file ships).
 KEYS = (
+    ("algorithm", "default", "algorithm"),
+    ("algorithm", "coarse_to_fine_threshold_nm", "coarse_threshold_nm"),
+    ("algorithm", "coarse_scale", "coarse_scale"),
     ("algorithm", "heuristic_weight", "heuristic"),
     ("corridor", "width_short_nm", "width_nm"),
+    ("corridor", "width_long_nm", "width_long_nm"),
+    ("corridor", "long_route_threshold_nm", "long_route_nm"),
+    ("corridor", "offshore_buffer_nm", ""),
+    ("corridor", "chokepoint_buffer_nm", ""),
+    ("corridor", "min_width_nm", ""),
     ("tss", "wrong_way_penalty", "wrong_way"),
     ("tss", "alignment_weight", "alignment"),
     ("tss", "off_lane_penalty", "off_lane"),
@@ -23,12 +31,21 @@ KEYS = (
     ("tss", "sepboundary_crossing_penalty", "boundary_crossing"),
     ("tss", "proximity_check_radius", "near_radius"),
     ("tss", "max_lane_deviation_deg", "max_deviation"),
+    ("tss", "snap_corridor_enabled", "snap"),
     ("tss", "snap_corridor_radius_nm", "snap_nm"),
+    ("land", "min_distance_nm", "least_land_nm"),
     ("land", "proximity_penalty", "land_weight"),
     ("land", "max_distance_cells", "land_reach"),
-    ("land", "min_distance_nm", "least_land_nm"),
     ("depth", "near_shore_penalty", "depth_weight"),
+    ("simplify", "tolerance_nm", ""),
+    ("simplify", "max_simplify_nm", "max_simplify_nm"),
     ("simplify", "max_skip", "max_skip"),
+    ("simplify", "min_land_distance_cells_default", ""),
+    ("simplify", "min_land_distance_cells_tss", ""),
+    ("bypass", "offset_distances_nm", "bypass_offsets_nm"),
+    ("routing", "allow_diagonals", ""),
+    ("routing", "max_turn_deg", ""),
+    ("routing", "density_bias", ""),
 )
 
 
@@ -42,9 +59,16 @@ def _load(path: str) -> dict:
 
 @lru_cache(maxsize=16)
 def settings(path: str) -> Settings:
-    """The file's settings over the defaults; a missing file gives the defaults. Kept for the process: `settings.cache_clear()` reloads."""
-    tree = _load(path)
-    return Settings(**{name: tree[section][key] for section, key, name in KEYS if key in tree.get(section, {})})
+    """The file's settings over the defaults; a missing file gives the defaults, an unknown section or key is refused.
+
+    Kept for the process: `settings.cache_clear()` reloads.
+    """
+    tree = {section: part or {} for section, part in _load(path).items()}
+    known = {(section, key) for section, key, _ in KEYS}
+    if unknown := sorted(f"{section}.{key}" for section, part in tree.items() for key in part if (section, key) not in known) + sorted(set(tree) - {s for s, _ in known}):
+        raise ValueError(f"{path} has settings that are not known: {', '.join(unknown)}")
+    given = {name: tree[section][key] for section, key, name in KEYS if name and key in tree.get(section, {})}
+    return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:

@@ -44,11 +44,11 @@ def test_bounded_transform_sends_few_rows(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_unbounded_transform_equals_loops(spark, seed):
     rng = np.random.default_rng(seed)
-    sources = drawn(rng, 12, 40, 25, 2) + [(2, 0, 0, 7), (2, 0, 0, 3)]
-    cells = [(k, x, y) for k in range(4) for x in range(40) for y in range(25) if rng.random() < 0.8]
-    made = raster.transform(spark.createDataFrame(cells, "k bigint, x bigint, y bigint"), spark.createDataFrame(sources, "k bigint, x bigint, y bigint, o bigint"), "o", ("k",)).collect()
-    assert {(r.k, r.x, r.y): (r.d2, r.order) for r in made} == brute(sources, cells)
-    assert all((r.x - r.sx) ** 2 + (r.y - r.sy) ** 2 == r.d2 for r in made)
+    sources = [(0, *s[1:]) for s in drawn(rng, 12, 40, 25, 1)] + [(0, 5, 5, 7), (0, 5, 5, 3)]
+    made = raster.transform(spark.createDataFrame(sources, "k bigint, x bigint, y bigint, o bigint"), "o", (40, 25)).collect()
+    assert {(0, r.x, r.y): (r.d2, r.order) for r in made} == brute(sources, [(0, x, y) for x in range(40) for y in range(25)])
+    assert len(made) == 1000 and all((r.x - r.sx) ** 2 + (r.y - r.sy) ** 2 == r.d2 for r in made)
+    assert raster.transform(spark.createDataFrame([], "x bigint, y bigint, o bigint"), "o", (4, 5)).count() == 0
 
 
 def test_monotone_minima_equal_a_scan():
