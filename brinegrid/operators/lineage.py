@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of cells is broadcast; larger ones are met in a shuffle.
 BROADCAST_ROWS = 1 << 20
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and the session is local (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='brinegrid-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a temporary folder only where that is unset (tests, local mode)."""
+    """A reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brinegrid-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -236,20 +236,20 @@ def m6_m7_block_reduce(fx: Fixtures) -> DataFrame:
     return raster.coarse_open(fx.layers, 4, 30.0).join(raster.coarse_traversable(fx.cells, 4, 30.0).withColumnRenamed("open", "traversable"), ["cx", "cy"])
 
 
-_TRI = """SELECT seq, x, y FROM (SELECT t.seq, c.x, c.y, sum(CASE WHEN least(y1, y2) <= c.y + 0.5 AND greatest(y1, y2) > c.y + 0.5 AND c.x + 0.5 >= x1 + (c.y + 0.5 - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) AS n
+TRIANGLES = """SELECT seq, x, y FROM (SELECT t.seq, c.x, c.y, sum(CASE WHEN least(y1, y2) <= c.y + 0.5 AND greatest(y1, y2) > c.y + 0.5 AND c.x + 0.5 >= x1 + (c.y + 0.5 - y1) * (x2 - x1) / (y2 - y1) THEN 1 ELSE 0 END) AS n
 FROM tri t, cells0 c WHERE y1 <> y2 AND c.y BETWEEN by0 - 1 AND by1 + 1 GROUP BY 1, 2, 3) WHERE n % 2 = 1"""
-_TRI_EDGES = "SELECT seq, by0, by1, unnest([bx0, bx1, bx0 + 3]) + 0.25 AS x1, unnest([by0, by0 + 5, by1]) + 0.125 AS y1, unnest([bx1, bx0 + 3, bx0]) + 0.25 AS x2, unnest([by0 + 5, by1, by0]) + 0.125 AS y2 FROM basins"
+TRIANGLE_EDGES = "SELECT seq, by0, by1, unnest([bx0, bx1, bx0 + 3]) + 0.25 AS x1, unnest([by0, by0 + 5, by1]) + 0.125 AS y1, unnest([bx1, bx0 + 3, bx0]) + 0.25 AS x2, unnest([by0 + 5, by1, by0]) + 0.125 AS y2 FROM basins"
 
 
-def _ring(fx: Fixtures) -> DataFrame:
+def rings(fx: Fixtures) -> DataFrame:
     p = lambda x, y: F.struct((x + 0.25).cast("double").alias("x"), (y + 0.125).cast("double").alias("y"))
     b = {k: F.col(k) for k in ("bx0", "bx1", "by0", "by1")}
     return fx.basins.select("seq", F.array(p(b["bx0"], b["by0"]), p(b["bx1"], b["by0"] + 5), p(b["bx0"] + 3, b["by1"])).alias("ring"))
 
 
-@query(sql(_TRI, tri=_TRI_EDGES))
+@query(sql(TRIANGLES, tri=TRIANGLE_EDGES))
 def m8_rasterise_polygon(fx: Fixtures) -> DataFrame:
-    return raster.rasterised(raster.polygon_edges(_ring(fx), ("seq",), "ring"), ("seq",), fx.size)
+    return raster.rasterised(raster.polygon_edges(rings(fx), ("seq",), "ring"), ("seq",), fx.size)
 
 
 _SEG = """SELECT feat, dir, x, y FROM (SELECT f.feat, f.dir, c.x, c.y, x0 + 0.5 AS ax, y0 + 0.5 AS ay, x1 + 0.5 AS ex, y1 + 0.5 AS ey, c.x + 0.5 AS px, c.y + 0.5 AS py,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..operators import raster
-from ..sources import bands, geojson
+from ..operators.lineage import shared_dir
+from ..sources import bands, files, geojson
+from . import cell_queries
 from .fixtures import Fixtures, fixtures, sql
 
 QUERIES: dict = {}
@@ -27,9 +28,8 @@ def query(text: str):
 
 
 def _folder(fx: Fixtures) -> str:
-    """A new name in the shared folder of the session, or a temporary folder where none is named."""
-    shared = fx.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/brinegrid-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="brinegrid-")
+    """A new name in the shared folder of the session."""
+    return f"{shared_dir(fx.spark)}/brinegrid-{uuid.uuid4().hex}"
 
 
 @query(sql("SELECT x, y, depth FROM cells0 WHERE x BETWEEN 5 AND 24 AND y BETWEEN 3 AND 22"))
@@ -55,7 +55,7 @@ def s11_s20_geojson(fx: Fixtures) -> DataFrame:
     lines = fx.lane_features.select(F.col("feat").alias("route_id"), tags.line_feature(path, F.struct("feat")).alias("value"))
     folder = f"{_folder(fx)}/features"
     # one collection for each lane, as files of a feature collection are small
-    lines.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")).alias("value")).repartition(lines.count(), "value").write.text(folder)
+    lines.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "value", F.lit("]}")).alias("value")).repartition(8, "value").write.text(folder)
     table = fx.spark.read.schema(geojson.COLLECTION).json(folder).select(F.explode("features").alias("f"))
     table = table.select(F.col("f.properties")["feat"].cast("long").alias("feature"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
     return geojson.edges(table).withColumnRenamed("feature", "feat")
@@ -66,3 +66,27 @@ def s13_mosaic(fx: Fixtures) -> DataFrame:
     left = fx.cells.filter("x < 9")
     right = fx.cells.filter("x >= 4 and x < 12").withColumn("depth", -1 - F.col("x"))
     return raster.mosaic([left, right])
+
+
+@query(sql("SELECT x, y, depth FROM cells0"))
+def s13_geotiff(fx: Fixtures) -> DataFrame:
+    """The depth band as a folder of GeoTIFF tiles, written by the tasks and read back as one raster on the grid."""
+    g, folder = fx.grid, f"{_folder(fx)}/tiles"
+    files.write_tiffs(fx.cells, "depth", folder, g, side=64).collect()
+    files.register(fx.spark)
+    return fx.spark.read.format("geotiff").option("value", "depth").option("grid", f"{g.xmin},{g.ymax},{g.dx},{g.dy}").load(folder)
+
+
+@query(sql(cell_queries.TRIANGLES, tri=cell_queries.TRIANGLE_EDGES))
+def s12_shapefile_mask(fx: Fixtures) -> DataFrame:
+    """Polygons as shapefiles, read by record ranges and burnt onto the grid."""
+    g, folder = fx.grid, f"{_folder(fx)}/shapes"
+    lon, lat = (lambda p: g.xmin + p["x"] * g.dx), (lambda p: g.ymax - p["y"] * g.dy)
+    closed = F.concat("ring", F.slice("ring", 1, 1))
+    files.write_shapes(cell_queries.rings(fx).select(F.col("seq").alias("part"), F.array(F.transform(closed, lambda p: F.struct(lon(p).alias("lon"), lat(p).alias("lat")))).alias("rings")), folder).collect()
+    files.register(fx.spark)
+    shapes = fx.spark.read.format("shapefile").load(folder).withColumn("seq", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
+    edges = files.edges_in_cells(shapes, g).join(shapes.select("file", "record", "seq"), ["file", "record"])
+    # coordinates in degrees are a rounding away from cells
+    edges = edges.select("seq", *[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return raster.rasterised(edges, ("seq",), fx.size)

@@ -1,19 +1,14 @@
-"""Raster bands: tables of tiles, and import of dense row-major band files through Spark's own reader."""
+"""Raster bands: tables of tiles, and import of dense row-major band files."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import suffix
+from . import files
 
 TILE = 256
-NPY = b"\x93NUMPY"
 
 
 def write_band(cells: DataFrame, path: str) -> None:
@@ -34,25 +29,14 @@ def read_band(spark: SparkSession, path: str, window: tuple[int, int, int, int]
 def import_dense(spark: SparkSession, path: str, value: str, dtype: str | None = None, shape: tuple[int, int] | None = None, missing: float | None = None) -> DataFrame:
     """(x, y, value) of a dense row-major file: raw bytes with a sidecar `<name>.meta.json`, or with a header of its own.
 
-    A given dtype or shape wins over the sidecar. A file is one record; large bands are written in strips before import.
+    A given dtype or shape wins over the sidecar. The file is read in strips of rows, as many tasks as it has strips.
     """
-    if dtype is None or shape is None:
-        meta = json.loads(spark.read.text(path.rsplit(".", 1)[0] + ".meta.json", wholetext=True).first()[0])
-        dtype, shape = dtype or meta["dtype"], tuple(shape or meta["shape"])
-    kind = {"f": "double", "i": "bigint", "u": "bigint", "b": "boolean"}[np.dtype(dtype).kind]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                raw = content.as_py()
-                start = 10 + int.from_bytes(raw[8:10], "little") if raw[:6] == NPY else 0
-                rows = np.frombuffer(raw, dtype, offset=start).reshape(shape)
-                for y, row in enumerate(rows):
-                    x = np.arange(len(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), y)), pa.array(row).cast({"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}[kind])], ["x", "y", value])
-
-    cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"x bigint, y bigint, `{value}` {kind}")
-    return cells if missing is None else cells.withColumn(value, F.nullif(F.col(value), F.lit(missing)))
+    files.register(spark)
+    store, at = files.opened(path)
+    kind, (rows, columns), _ = files.dense_header(store, at, dtype, shape and f"{shape[0]},{shape[1]}")
+    reader = spark.read.format("dense_band").option("value", value).option("dtype", kind.str).option("shape", f"{rows},{columns}")
+    reader = reader.option("type", {"f": "double", "i": "bigint", "u": "bigint", "b": "boolean"}[kind.kind])
+    return (reader if missing is None else reader.option("missing", missing)).load(path)
 
 
 class Catalog:
