@@ -16,6 +16,8 @@ from .lineage import bounded, spread_out
 
 def walk(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Cells (keys, i, x, y) of lines (keys, x0, y0, x1, y1)."""
+    if clash := {"i", "x", "y"} & set(keys):
+        raise ValueError(f"a line's keys may not be named {', '.join(sorted(clash))}")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     most, least = F.greatest(F.abs(dx), F.abs(dy)), F.least(F.abs(dx), F.abs(dy))
     steps = lines.withColumns({"dx": dx, "dy": dy, "most": most, "least": least}).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "most")))

@@ -239,7 +239,7 @@ def l10_wrong_way_audit(fx: Fixtures) -> DataFrame:
 @query()
 def x4_lane_aware_simplify(fx: Fixtures) -> DataFrame:
     points = lines.lane_status(lines.walk(fx.requests, ("route_id",)).withColumnRenamed("i", "seq"), fx.layers)
-    return polyline.lane_aware(points, polyline.clear_pairs(points, fx.layers, fx.grid, Settings().max_skip, 1.0)).select("route_id", "seq", "x", "y", "in_lane")
+    return polyline.lane_simplified(points, fx.layers, fx.grid, Settings().max_simplify_nm / fx.grid.cell_nm, 1.0).select("route_id", "seq", "x", "y", "in_lane")
 
 
 @query()
