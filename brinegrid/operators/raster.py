@@ -222,8 +222,8 @@ def rasterised(edges: DataFrame, keys: tuple[str, ...], size: tuple[int, int]) -
     return spans.withColumns({"a": left, "b": right}).filter("a <= b").select(*keys, F.explode(F.sequence("a", "b")).alias("x"), "y").distinct()
 
 
-def near_segments(segments: DataFrame, reach: float, size: tuple[int, int], keys: tuple[str, ...]) -> DataFrame:
-    """Cells whose centre is within `reach` cells of a segment (x1, y1, x2, y2, in cells): the buffer without its outline.
+def near_segments(segments: DataFrame, reach: float | Column, size: tuple[int, int], keys: tuple[str, ...]) -> DataFrame:
+    """Cells whose centre is within `reach` cells (a number, or a column of the segments) of a segment (x1, y1, x2, y2, in cells): the buffer without its outline.
 
     Candidates are generated row by row from the segment's own extent, clipped to where the row comes near it.
     """

@@ -9,6 +9,8 @@ from .functions.grid import Grid
 
 #: The distances off a lane, in nautical miles, at which a bypass is tried.
 OFFSETS_NM = (5, 10, 15, 20, 30, 40, 50)
+#: Those at which a bypass of two waypoints is tried.
+PAIR_OFFSETS_NM = (5, 10, 15, 20, 30)
 
 
 @dataclass(frozen=True)
