@@ -45,7 +45,7 @@ def c5_waypoint_corridor(fx: Fixtures) -> DataFrame:
     return corridor.waypoint_corridor(ends, 3, fx.size, fx.land)
 
 
-@query()
+@query(sql("SELECT route_id, x, y FROM corr", corr=_APART.replace("<= 3.3", "<= CAST(18.0 AS DOUBLE) / 60 / 0.1::DOUBLE")))
 def c3_two_width_corridor(fx: Fixtures) -> DataFrame:
     return corridor.two_width_corridor(fx.requests, fx.grid, 12.0, 6.0, 6.0)
 
@@ -116,6 +116,21 @@ def p7_p8_p10_p15_move_terms(fx: Fixtures) -> DataFrame:
     return table.select("x", "y", "nx", "ny", F.round(aligned, 6).alias("alignment"), crossing.alias("crossing"), F.round(cl.turn_penalty(F.lit(45.0), move, 0.5), 6).alias("turn"))
 
 
+_SINGLE = f"CASE WHEN NOT n.lane THEN 0.0 WHEN {cq._angle('n.lane_dir', '90')} > 60 THEN 1000.0 WHEN {cq._angle('move', 'n.lane_dir')} > 80 THEN 1000.0 ELSE -50.0 * (1 - {cq._angle('move', 'n.lane_dir')} / 90) END"
+
+
+@query(sql(f"SELECT n.x, n.y, dx, dy, round(CASE WHEN p.x IS NULL THEN {_SINGLE} ELSE coalesce({_FAULTS[0]}, {_FAULTS[1]}, least(0.0, {_BONUS[0]}, {_BONUS[1]})) END, 6) AS alignment FROM layers n CROSS JOIN mv LEFT JOIN layers p ON p.x = n.x - dx AND p.y = n.y - dy", mv=_MOVE))
+def p7_p9_alignment(fx: Fixtures) -> DataFrame:
+    """The lane term of arriving in every cell by every move; at the grid's edge, where no cell lies behind, of the cell alone."""
+    steps = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx, dy in geo.MOVES])
+    now = fx.layers.select("x", "y", F.col("lane").alias("n_lane"), F.col("lane_dir").alias("n_dir"), F.explode(steps).alias("m")).select("*", "m.dx", "m.dy")
+    past = fx.layers.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("lane").alias("p_lane"), F.col("lane_dir").alias("p_dir"))
+    met = now.withColumns({"px": F.col("x") - F.col("dx"), "py": F.col("y") - F.col("dy")}).join(past, ["px", "py"], "left")
+    sides = {name: (F.coalesce(f"{s}_lane", F.lit(False)), F.col(f"{s}_dir"), F.lit(False)) for name, s in (("before", "p"), ("now", "n"))}
+    term = cl.alignment(F.col("p_lane").isNotNull(), sides, geo.move_bearing_deg(F.col("dx"), F.col("dy")), F.lit(90.0), 1000.0, 50.0, 60.0)
+    return met.select("x", "y", "dx", "dy", F.round(term, 6).alias("alignment"))
+
+
 @query()
 def p14_move_costs(fx: Fixtures) -> DataFrame:
     goals = fx.requests.select("route_id", F.col("x1").alias("gx"), F.col("y1").alias("gy"))
@@ -131,11 +146,11 @@ def a2_route_kernel(fx: Fixtures) -> DataFrame:
 
 _COARSE = "SELECT x // 8 AS cx, y // 8 AS cy FROM layers GROUP BY 1, 2 HAVING bool_or(coalesce(depth <= -1, false)) AND bool_or(NOT land)"
 _NEXT = "SELECT p.cx, p.cy, n.cx AS nx, n.cy AS ny, CASE WHEN dx <> 0 AND dy <> 0 THEN 1.414 ELSE 1.0 END * 8 * sqrt(pow(6.0 * cos(radians(60.0 - (p.cy * 8 + 4) * 0.1)), 2) + 36.0) / 1.414 AS cost FROM blk p, mv, blk n WHERE n.cx = p.cx + dx AND n.cy = p.cy + dy"
-_STARTS = "SELECT DISTINCT x0 // 8 AS bx, y0 // 8 AS by FROM requests"
-_RELAX = "SELECT bx, by, bx AS cx, by AS cy, 0.0::DOUBLE AS cost, 0 AS depth FROM sta WHERE (bx, by) IN (SELECT (cx, cy) FROM blk) UNION SELECT * FROM (SELECT r.bx, r.by, s.nx, s.ny, min(r.cost + s.cost), max(r.depth) + 1 FROM rel r JOIN stp s ON s.cx = r.cx AND s.cy = r.cy WHERE r.depth < 60 GROUP BY 1, 2, 3, 4)"
+_STARTS = "SELECT DISTINCT x0 // 8 AS sx, y0 // 8 AS sy FROM requests"
+_RELAX = "SELECT sx, sy, sx AS cx, sy AS cy, 0.0::DOUBLE AS cost, 0 AS depth FROM sta WHERE (sx, sy) IN (SELECT (cx, cy) FROM blk) UNION SELECT * FROM (SELECT r.sx, r.sy, s.nx, s.ny, min(r.cost + s.cost), max(r.depth) + 1 FROM rel r JOIN stp s ON s.cx = r.cx AND s.cy = r.cy WHERE r.depth < 60 GROUP BY 1, 2, 3, 4)"
 
 
-@query(sql("SELECT bx * 1000 + by AS start, cx, cy, round(min(cost), 6) AS cost FROM rel GROUP BY 1, 2, 3", True, mv=_MOVE, blk=_COARSE, stp=_NEXT, sta=_STARTS, rel=_RELAX))
+@query(sql("SELECT sx * 1000 + sy AS start, cx, cy, round(min(cost), 6) AS cost FROM rel GROUP BY 1, 2, 3", True, mv=_MOVE, blk=_COARSE, stp=_NEXT, sta=_STARTS, rel=_RELAX))
 def a6_coarse_distance(fx: Fixtures) -> DataFrame:
     """Distances from every block in which a request starts to every block, by relaxation; requests that share a block share its rows."""
     blocks = cut(raster.coarse_open(fx.layers, 8, 1.0).filter("open").select("cx", "cy"))
@@ -166,7 +181,10 @@ def a9_macro_distance(fx: Fixtures) -> DataFrame:
     return passages.macro_routes(fx.passages, starts).select("start", "node", "weight_nm")
 
 
-@query()
+_BEST = "SELECT start, node, path FROM mac QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY weight_nm, path) = 1"
+
+
+@query(sql("SELECT start, node, (len(path) - 1)::INTEGER AS n, CAST(to_json([{'lon': path[i]::DOUBLE, 'lat': path[i + 1]::DOUBLE} FOR i IN range(1, len(path))]) AS VARCHAR) AS waypoints FROM best WHERE len(path) > 1", True, mac=_MACRO, best=_BEST))
 def a10_macro_waypoints(fx: Fixtures) -> DataFrame:
     edges = fx.passages.withColumn("waypoints", F.array(F.struct(F.col("src").cast("double").alias("lon"), F.col("dst").cast("double").alias("lat"))))
     nodes = fx.passages.select(F.col("src").alias("node")).union(fx.passages.select("dst")).distinct()
