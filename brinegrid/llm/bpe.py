@@ -7,7 +7,7 @@ decoder does. Special tokens' strings in a text are those tokens.
 
 Defined cases: null text is empty and has no ids; a symbol outside the vocabulary is dropped, as there is no unknown
 token; letters and digits are those of Unicode 16, as in the tokenizers library, whatever the regex module has (NOT_YET_LETTERS);
-rows are independent, so ties and repeated rows need no rule; a text of any length is one row; an empty table gives an empty
+rows are independent, so ties and repeated rows need no rule; other columns are neither read nor carried; a text of any length is one row; an empty table gives an empty
 result. A vocabulary file with other steps than these (flags of special tokens, other splits, a decoder) is refused.
 """
 

@@ -8,7 +8,9 @@ the language's sampled documents hold it.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; so is every text if no language could be
 learned; rows with null language teach nothing; equal shares go to the language first in alphabetical order; a text with a
-letter but shorter than an n-gram is padded with spaces.
+letter but shorter than an n-gram is padded with spaces; rows are told one by one, so repeated rows get equal answers, and a text
+of any length is taken whole; an empty table gives none; other columns are carried, but for those named lang_pred and score, which
+these replace.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ than FEATURES together, so what the driver fits is bounded whatever the texts' l
 Defined cases: null text is empty and has only the indicators of its shape; a text of any length is scored whole; a document with several labels counts once,
 with label 1 if their mean is at least 0.5; null labels or ids teach nothing; with labels of one class only, or none,
 every score is that class's share (0.5 without labels); texts are scored row by row, so ties and repeated rows keep their
-own rows and equal texts equal scores.
+own rows and equal texts equal scores; an empty table gives none; other columns are carried, but for one named as the score is, which this replaces.
 """
 
 from __future__ import annotations
