@@ -128,16 +128,16 @@ class Blocks:
             self.known &= used[self.places]
         self.place, self.block = self.places[self.known], self.of_word[self.known]
 
-    def added(self, rows: np.ndarray) -> np.ndarray:
-        """The sum of rows[word] over the known words of each block."""
-        out = np.zeros((len(self.text), rows.shape[1]), rows.dtype)
+    def added(self, latent: "Latent") -> np.ndarray:
+        """The sum of the words' latent rows over the known words of each block."""
+        out = np.zeros((len(self.text), latent.directions.shape[1]), np.float32)
         n = len(self.block)
         if n:
             first = np.flatnonzero(np.append(True, self.block[1:] != self.block[:-1]))
             nth = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
             for k in range(int(nth.max()) + 1):  # the k-th known word of every block that has as many
                 own = nth == k
-                out[self.block[own]] += rows[self.place[own]]
+                out[self.block[own]] += latent.rows(self.place[own])
         return out
 
 
@@ -219,13 +219,23 @@ def latent_space(spark: SparkSession, vectors: list[tuple[np.ndarray, np.ndarray
     return np.linalg.qr(image @ turn[:, lead])[0].astype(np.float32) if len(lead) else np.zeros((columns, 0), np.float32)
 
 
+class Latent:
+    """The latent row of each word of a vocabulary, as its column's directions and its weight: the rows of all words are never held."""
+
+    def __init__(self, directions: np.ndarray, dims: np.ndarray, idf: np.ndarray):
+        self.directions, self.dims, self.idf = directions, dims, idf.astype(np.float32)
+
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        return self.directions[self.dims[places]] * self.idf[places, None]
+
+
 def latent_items(vectors: list[tuple[np.ndarray, np.ndarray]], directions: np.ndarray) -> np.ndarray:
     """The items' passages in the latent space, of length one each."""
     q = np.array([v @ directions[c] for c, v in vectors], np.float32).reshape(len(vectors), directions.shape[1])
     return q / np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def candidates(b: Blocks, n_blocks: np.ndarray, latent: np.ndarray, q: np.ndarray, counted: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def candidates(b: Blocks, n_blocks: np.ndarray, latent: Latent, q: np.ndarray, counted: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(block, item, cosine) of the passages near an item; latent: the words' rows; least: the counted words that an item's leak holds.
 
     A passage that holds fewer counted words, with a block on either side, than any item needs is no candidate of any.
@@ -251,7 +261,7 @@ def candidates(b: Blocks, n_blocks: np.ndarray, latent: np.ndarray, q: np.ndarra
             yield from zip(some[at].tolist(), own[which].tolist(), cosine[at, which].tolist(), strict=True)
 
 
-def _search(items: Items, latent: np.ndarray, q: np.ndarray, idf: np.ndarray) -> Callable:
+def _search(items: Items, latent: Latent, q: np.ndarray, idf: np.ndarray) -> Callable:
     every = [items.masks(k) for k in range(len(items.ids))]
     answers = [items.masks(k, max(0, len(w) - ANSWER)) for k, w in enumerate(items.places)]
     # the words that a subsequence of PARAPHRASE takes; those of them that count; those of them that differ
@@ -317,12 +327,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
-def model(spark: SparkSession, items: Items, idf: np.ndarray) -> tuple[Items, np.ndarray, np.ndarray, np.ndarray]:
-    """What the search needs: the items, the latent row of each word of their vocabulary, the items' places there, the words' weights."""
+def model(spark: SparkSession, items: Items, idf: np.ndarray) -> tuple[Items, Latent, np.ndarray, np.ndarray]:
+    """What the search needs: the items, the latent rows of the words of their vocabulary, the items' places there, the words' weights."""
     dims = dims_of(items)
     vectors = passage_vectors(items, idf, dims)
     directions = latent_space(spark, vectors, int(dims.max()) + 1)
-    return items, directions[dims] * idf[:, None].astype(np.float32), latent_items(vectors, directions), idf
+    return items, Latent(directions, dims, idf), latent_items(vectors, directions), idf
 
 
 def _one_block(rows: DataFrame, items: Items, shape: str) -> DataFrame | None:
