@@ -72,11 +72,11 @@ _BACK = "SELECT *, coalesce(NOT coalesce(w, false) AND snap0 IS NOT NULL AND (se
 _C4 = {"corr": _APART, "brg": _BEARING, "near": _NEAR, "fea": _CELLS, "aro": _AROUND, "snp": _SNAP, "ven": _ENDS, "bck": _BACK}
 
 
-@query(sql("""SELECT s.route_id, s.x, s.y, blocked, depth_cost, land_cost, near, coalesce(r, false) AS right, coalesce(w, false) AS wrong, band, snap0 OR b.x IS NOT NULL AS snap, snap0 OR b.x IS NOT NULL OR NOT h.held AS open, bearing
+@query(sql("""SELECT s.route_id, s.x, s.y, blocked, depth_cost, land_cost, near, coalesce(r, false) AS right, coalesce(w, false) AS wrong, band, snap0 OR b.x IS NOT NULL AS snap, snap0 OR b.x IS NOT NULL OR NOT h.held AS open, round(bearing, 6) AS bearing
 FROM snp s LEFT JOIN (SELECT DISTINCT route_id, x, y FROM bck WHERE back) b ON b.route_id = s.route_id AND b.x = s.x AND b.y = s.y JOIN (SELECT route_id, bool_and(coalesce(snap0, false) OR back) AS held FROM bck GROUP BY 1) h ON h.route_id = s.route_id""", **_C4))
 def c4_features(fx: Fixtures) -> DataFrame:
     made = _features(fx, fx.requests)
-    return made.select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"), "near", "right", "wrong", "band", "snap", "open", "bearing")
+    return made.select("route_id", "x", "y", "blocked", F.round("depth_cost", 6).alias("depth_cost"), F.round("land_cost", 6).alias("land_cost"), "near", "right", "wrong", "band", "snap", "open", F.round("bearing", 6).alias("bearing"))
 
 
 @query(sql("SELECT route_id, x, y, blocked, depth_cost, land_cost FROM fea", **_C4))
