@@ -235,8 +235,24 @@ def latent_items(vectors: list[tuple[np.ndarray, np.ndarray]], directions: np.nd
     return q / np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def candidates(b: Blocks, n_blocks: np.ndarray, latent: Latent, q: np.ndarray, counted: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """(block, item, cosine) of the passages near an item; latent: the words' rows; least: the counted words that an item's leak holds.
+#: Bits of the table in which words of items are looked up; a bit that two share lets a candidate through, which is then refused word by word.
+MEMBERS = 24
+
+
+def member_slots(item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    x = item * np.int64(0x9E3779B1) + place * np.int64(0x85EBCA6B)
+    return (x ^ x >> 15) & ((1 << MEMBERS) - 1)
+
+
+def windows(b: Blocks, i: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place, in words, of the passages of `blocks` blocks from i on, with a block on either side, inside their texts."""
+    text = b.text[i]
+    lo, hi, first = b.offsets[text], b.offsets[text + 1], b.first[text]
+    return np.maximum(lo, lo + (i - first - 1) * BLOCK), np.minimum(hi, lo + (i - first + blocks + 1) * BLOCK)
+
+
+def candidates(b: Blocks, n_blocks: np.ndarray, latent: Latent, q: np.ndarray, counted: np.ndarray, least: np.ndarray, members: np.ndarray, different: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """(block, item, cosine, start, end) of the passages near an item; latent: the words' rows; least: the counted words that an item's leak holds.
 
     A passage that holds fewer counted words, with a block on either side, than any item needs is no candidate of any.
     """
@@ -258,7 +274,16 @@ def candidates(b: Blocks, n_blocks: np.ndarray, latent: Latent, q: np.ndarray, c
             length = np.sqrt((passage[some] ** 2).sum(axis=1, keepdims=True))
             cosine = passage[some] @ q[own].T / np.maximum(length, 1e-9)
             at, which = np.nonzero((cosine >= COSINE) & (total[some][:, None] >= least[own]))
-            yield from zip(some[at].tolist(), own[which].tolist(), cosine[at, which].tolist(), strict=True)
+            i, k, near = some[at], own[which], cosine[at, which]
+            start, end = windows(b, i, n_blocks[k])
+            for a in range(0, len(i), 1 << 14):
+                size = (end - start)[a : a + (1 << 14)]
+                ends = np.cumsum(size)
+                place = b.places[np.arange(ends[-1]) - np.repeat(ends - size - start[a : a + (1 << 14)], size)].astype(np.int64)
+                held = np.append(0, np.cumsum(members[member_slots(np.repeat(k[a : a + (1 << 14)], size), place)]))
+                # as many places must hold the item's words as a leak has different ones
+                fit = a + np.flatnonzero(held[ends] - held[ends - size] >= different[k[a : a + (1 << 14)]])
+                yield from zip(i[fit].tolist(), k[fit].tolist(), near[fit].tolist(), start[fit].tolist(), end[fit].tolist(), strict=True)
 
 
 def _search(items: Items, latent: Latent, q: np.ndarray, idf: np.ndarray) -> Callable:
@@ -270,10 +295,14 @@ def _search(items: Items, latent: Latent, q: np.ndarray, idf: np.ndarray) -> Cal
     least_different = (least - np.array([len(w) - len(own) for w, own in zip(items.places, every, strict=True)])).tolist()
     counted = (idf > 0).astype(np.float64)
 
+    own_words = [x.keys() for x in every]
+    members = np.zeros(1 << MEMBERS, bool)
+    for k, x in enumerate(items.places):
+        members[member_slots(np.full(len(x), k), x)] = True
+    different = np.array(least_different)
+
     def matched(words: list[int], k: int) -> tuple[float, bool]:
         size = len(items.places[k])
-        if len(every[k].keys() & set(words)) < least_different[k]:
-            return 0.0, False  # too few of the item's words for a subsequence of that length
         share = common_subsequence(every[k], size, words) / size
         n = min(ANSWER, size)
         return share, share >= PARAPHRASE and common_subsequence(answers[k], n, words) >= n - 1
@@ -282,16 +311,16 @@ def _search(items: Items, latent: Latent, q: np.ndarray, idf: np.ndarray) -> Cal
         for whole in batches:
             for part in slices(whole, "places"):
                 b = Blocks(part, idf > 0)
+                text_of, offsets = b.text.tolist(), b.offsets.tolist()
                 found: dict[tuple[int, int], tuple] = {}
-                for i, k, c in candidates(b, items.blocks, latent, q, counted, least_counted):
-                    text, m = int(b.text[i]), int(items.blocks[k])
-                    lo, hi = b.offsets[text], b.offsets[text + 1]
-                    # the words that are matched: the passage of m blocks, and a block on either side
-                    start = max(lo, lo + (i - b.first[text] - 1) * BLOCK)
-                    end = min(hi, lo + (i - b.first[text] + m + 1) * BLOCK)
-                    share, answer = matched(b.places[start:end].tolist(), k)
+                for i, k, c, start, end in candidates(b, items.blocks, latent, q, counted, least_counted, members, different):
+                    text = text_of[i]
+                    lo, words = offsets[text], b.places[start:end].tolist()
+                    if len(own_words[k] & set(words)) < least_different[k]:
+                        continue  # too few of the item's words for a subsequence of that length
+                    share, answer = matched(words, k)
                     if share >= VERBATIM or share >= PARAPHRASE and answer:
-                        row = (share, c, -int(start - lo), int(end - lo), answer)
+                        row = (share, c, lo - start, end - lo, answer)
                         found[text, k] = max(found.get((text, k), row), row)
                 keys = sorted(found)
                 rows = [found[x] for x in keys]
