@@ -116,10 +116,12 @@ def f16_f17_step_cost(fx: Fixtures) -> DataFrame:
     return cells.select("x", "y", "diagonal", F.round(fine, 6).alias("fine"), F.round(coarse, 6).alias("coarse"))
 
 
-@query(sql(f"SELECT dx, dy, (round(degrees(atan2(CAST(dx AS DOUBLE), CAST(-dy AS DOUBLE))), 6) + 360) % 360 AS bearing FROM (SELECT unnest(range(-1, 2)) AS dx), (SELECT unnest(range(-1, 2)) AS dy) WHERE dx <> 0 OR dy <> 0"))
+@query(sql("SELECT feat, i, dx, dy, round((round(degrees(atan2(CAST(dx AS DOUBLE), CAST(-dy AS DOUBLE))), 6) + 360) % 360, 6) AS bearing FROM (SELECT feat, i, lead(x) OVER p - x AS dx, lead(y) OVER p - y AS dy FROM walk WINDOW p AS (PARTITION BY feat ORDER BY i)) WHERE dx IS NOT NULL"))
 def f20_move_bearing(fx: Fixtures) -> DataFrame:
-    moves = fx.spark.createDataFrame(list(geo.MOVES), "dx bigint, dy bigint")
-    return moves.select("dx", "dy", F.pmod(F.round(geo.move_bearing_deg(F.col("dx"), F.col("dy")), 6), F.lit(360.0)).alias("bearing"))
+    """The bearing of every step of the lanes' walks."""
+    over = Window.partitionBy("feat").orderBy("i")
+    steps = fx.walked.withColumns({"dx": F.lead("x").over(over) - F.col("x"), "dy": F.lead("y").over(over) - F.col("y")}).filter("dx is not null")
+    return steps.select("feat", "i", "dx", "dy", F.pmod(F.round(geo.move_bearing_deg(F.col("dx"), F.col("dy")), 6), F.lit(360.0)).alias("bearing"))
 
 
 @query(sql("SELECT route_id, seq, round((degrees(atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat2 - lat1)) + 360) % 360, 5) % 360 AS bearing FROM pairs WHERE lon2 IS NOT NULL", pairs=PAIRS))
@@ -137,10 +139,11 @@ def f22_cross_track(fx: Fixtures) -> DataFrame:
     return _pair(fx.track).select("route_id", "seq", F.round(geo.cross_track_nm(a + 1, b - 1, a, b, c, d), 6).alias("apart"))
 
 
-@query(sql("SELECT k AS width_nm, CAST(greatest(1, round_even(k / 1.0 / 2, 0)) AS BIGINT) AS r, round(k / 60.0, 6) AS deg FROM (SELECT unnest(range(0, 40)) AS k)"))
+@query(sql("SELECT feat, k AS width_nm, CAST(greatest(1, round_even(k / 1.0 / 2, 0)) AS BIGINT) AS r, round(k / 60.0, 6) AS deg FROM (SELECT CAST(p_partkey AS BIGINT) AS feat, CAST(p_size AS BIGINT) AS k FROM part)"))
 def f23_f24_radius(fx: Fixtures) -> DataFrame:
-    widths = fx.spark.range(40).select(F.col("id").alias("width_nm"))
-    return widths.select("width_nm", geo.radius_cells(F.col("width_nm").cast("double"), F.lit(1.0)).cast("long").alias("r"), F.round(geo.nm_to_deg(F.col("width_nm")), 6).alias("deg"))
+    """Half the width of every feature, its part's size in nautical miles, in cells of 1 nm and in degrees."""
+    widths = fx.table("part").select(F.col("p_partkey").cast("long").alias("feat"), F.col("p_size").cast("long").alias("width_nm"))
+    return widths.select("feat", "width_nm", geo.radius_cells(F.col("width_nm").cast("double"), F.lit(1.0)).cast("long").alias("r"), F.round(geo.nm_to_deg(F.col("width_nm")), 6).alias("deg"))
 
 
 @query(sql("SELECT x, y, coalesce(depth <= -10, false) AS safe, CASE WHEN coalesce(depth <= -10, false) THEN round(5.0 / greatest(-depth - 10, 0.001), 6) ELSE CAST('inf' AS DOUBLE) END AS penalty FROM cells0"))
