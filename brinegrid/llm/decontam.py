@@ -226,7 +226,9 @@ class Latent:
         self.directions, self.dims, self.idf = directions, dims, idf.astype(np.float32)
 
     def rows(self, places: np.ndarray) -> np.ndarray:
-        return self.directions[self.dims[places]] * self.idf[places, None]
+        out = self.directions.take(self.dims[places], axis=0, mode="clip")  # all places lie inside; this mode spares the test of each
+        out *= self.idf[places, None]
+        return out
 
 
 def latent_items(vectors: list[tuple[np.ndarray, np.ndarray]], directions: np.ndarray) -> np.ndarray:
