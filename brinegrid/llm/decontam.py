@@ -237,13 +237,50 @@ def latent_items(vectors: list[tuple[np.ndarray, np.ndarray]], directions: np.nd
     return q / np.maximum(np.sqrt((q**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-#: Bits of the table in which words of items are looked up; a bit that two share lets a candidate through, which is then refused word by word.
+#: Bits of the address in the table of the items' words.
 MEMBERS = 24
+#: A place of that table that stands for more than one word, or for a word beyond the first 254 of its item.
+SHARED = 255
 
 
-def member_slots(item: np.ndarray, place: np.ndarray) -> np.ndarray:
-    x = item * np.int64(0x9E3779B1) + place * np.int64(0x85EBCA6B)
-    return (x ^ x >> 15) & ((1 << MEMBERS) - 1)
+class Members:
+    """The different words of all items in one table: how many of an item's words a window holds, at most.
+
+    A place of the table has the number of a word within its item, so a window's numbers are gathered as bits. Words that share
+    a place count as often as they are met, and a stranger at a word's place counts as that word: never too few.
+    """
+
+    def __init__(self, words: list[list[int]]):
+        """words: the different words of each item, as places in the vocabulary."""
+        sizes = np.array([len(w) for w in words])
+        nth = np.concatenate([np.arange(1, s + 1) for s in sizes])
+        slots = self._slots(np.repeat(np.arange(len(words)), sizes), np.concatenate([np.array(w, np.int64) for w in words]))
+        self.table = np.zeros(1 << MEMBERS, np.uint8)
+        self.table[slots] = np.minimum(nth, SHARED)
+        once, times = np.unique(slots, return_counts=True)
+        self.table[once[times > 1]] = SHARED
+        number = np.arange(1, SHARED)
+        self.bits = np.zeros((-(-min(int(sizes.max()), SHARED - 1) // 64), 256), np.uint64)
+        for w, row in enumerate(self.bits):
+            here = number[(number - 1) // 64 == w]
+            row[here] = np.uint64(1) << ((here - 1) % 64).astype(np.uint64)
+
+    @staticmethod
+    def _slots(item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        x = item * np.int64(0x9E3779B1) + place * np.int64(0x85EBCA6B)
+        return (x ^ x >> 15) & ((1 << MEMBERS) - 1)
+
+    def most(self, places: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For windows places[start:end], none of them empty, the number of different words of their item, or more."""
+        size = end - start
+        ends = np.cumsum(size)
+        first = ends - size
+        word = places[np.arange(ends[-1]) - np.repeat(first - start, size)].astype(np.int64)
+        number = self.table[self._slots(np.repeat(item, size), word)]
+        out = np.add.reduceat(number == SHARED, first, dtype=np.int64)
+        for row in self.bits:
+            out += np.bitwise_count(np.bitwise_or.reduceat(row[number], first))
+        return out
 
 
 def windows(b: Blocks, i: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,38 +290,40 @@ def windows(b: Blocks, i: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, n
     return np.maximum(lo, lo + (i - first - 1) * BLOCK), np.minimum(hi, lo + (i - first + blocks + 1) * BLOCK)
 
 
-def candidates(b: Blocks, n_blocks: np.ndarray, latent: Latent, q: np.ndarray, counted: np.ndarray, least: np.ndarray, members: np.ndarray, different: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+def candidates(b: Blocks, n_blocks: np.ndarray, latent: Latent, q: np.ndarray, counted: np.ndarray, least: np.ndarray, members: "Members", different: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
     """(block, item, cosine, start, end) of the passages near an item; latent: the words' rows; least: the counted words that an item's leak holds.
 
     A passage that holds fewer counted words, with a block on either side, than any item needs is no candidate of any.
     """
     n = len(b.text)
     z = b.added(latent)
-    has = np.bincount(b.of_word[b.places >= 0], counted[b.places[b.places >= 0]], n).astype(np.int32)
+    known = b.places >= 0
+    has = np.bincount(b.of_word[known], counted[b.places[known]], n).astype(np.int32)
+    joined = lambda d: b.text[d:] == b.text[:-d]
+    # a passage and a block on either side of it; longer ones add their blocks to what shorter ones have
+    passage, total, before = z.copy(), has.copy(), 1
+    total[1:] += has[:-1] * joined(1)
+    total[:-1] += has[1:] * joined(1)
     for m in np.unique(n_blocks):
         own = np.flatnonzero(n_blocks == m)
-        passage, total = z.copy(), has.copy()
-        for d in range(1, min(m + 1, n)):
-            same = b.text[d:] == b.text[:-d]
-            total[:-d] += has[d:] * same
-            if d < m:
-                passage[:-d] += z[d:] * same[:, None]
-        total[1:] += has[:-1] * (b.text[1:] == b.text[:-1])
-        rows = np.flatnonzero(total >= least[own].min())
-        for lo in range(0, len(rows), step := max(1, (1 << 22) // len(own))):
+        for d in range(before, min(m, n)):
+            passage[:-d] += z[d:] * joined(d)[:, None]
+        for d in range(before + 1, min(m + 1, n)):
+            total[:-d] += has[d:] * joined(d)
+        before = m
+        length = np.sqrt(np.einsum("ij,ij->i", passage, passage))
+        rows = np.flatnonzero((total >= least[own].min()) & (length > 1e-9))
+        for lo in range(0, len(rows), step := max(1, (1 << 20) // len(own))):
             some = rows[lo : lo + step]
-            length = np.sqrt((passage[some] ** 2).sum(axis=1, keepdims=True))
-            cosine = passage[some] @ q[own].T / np.maximum(length, 1e-9)
-            at, which = np.nonzero((cosine >= COSINE) & (total[some][:, None] >= least[own]))
-            i, k, near = some[at], own[which], cosine[at, which]
+            dots = passage[some] @ q[own].T
+            at, which = np.divmod(np.flatnonzero(dots >= COSINE * length[some][:, None]), len(own))
+            enough = total[some[at]] >= least[own[which]]
+            at, which = at[enough], which[enough]
+            i, k, near = some[at], own[which], dots[at, which] / length[some[at]]
             start, end = windows(b, i, n_blocks[k])
             for a in range(0, len(i), 1 << 14):
-                size = (end - start)[a : a + (1 << 14)]
-                ends = np.cumsum(size)
-                place = b.places[np.arange(ends[-1]) - np.repeat(ends - size - start[a : a + (1 << 14)], size)].astype(np.int64)
-                held = np.append(0, np.cumsum(members[member_slots(np.repeat(k[a : a + (1 << 14)], size), place)]))
-                # as many places must hold the item's words as a leak has different ones
-                fit = a + np.flatnonzero(held[ends] - held[ends - size] >= different[k[a : a + (1 << 14)]])
+                part = slice(a, a + (1 << 14))
+                fit = a + np.flatnonzero(members.most(b.places, start[part], end[part], k[part]) >= different[k[part]])
                 yield from zip(i[fit].tolist(), k[fit].tolist(), near[fit].tolist(), start[fit].tolist(), end[fit].tolist(), strict=True)
 
 
@@ -298,9 +337,7 @@ def _search(items: Items, latent: Latent, q: np.ndarray, idf: np.ndarray) -> Cal
     counted = (idf > 0).astype(np.float64)
 
     own_words = [x.keys() for x in every]
-    members = np.zeros(1 << MEMBERS, bool)
-    for k, x in enumerate(items.places):
-        members[member_slots(np.full(len(x), k), x)] = True
+    members = Members([list(x) for x in own_words])
     different = np.array(least_different)
 
     def matched(words: list[int], k: int) -> tuple[float, bool]:
