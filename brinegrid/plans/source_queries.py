@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags
-from ..operators import raster
+from ..operators import polygons, raster
 from ..operators.lineage import shared_dir
 from ..sources import bands, files, geojson
 from . import cell_queries
@@ -90,3 +90,31 @@ def s12_shapefile_mask(fx: Fixtures) -> DataFrame:
     # coordinates in degrees are a rounding away from cells
     edges = edges.select("seq", *[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
     return raster.rasterised(edges, ("seq",), fx.size)
+
+
+_BASIN_EDGES = """SELECT seq, id, unnest([cx - s, cx + s, cx + s, cx, cx + s - 3, cx + s - 1, cx + s - 1]) + 0.25::DOUBLE AS x1, unnest([cy - s, cy - s, cy + s, cy - s // 2, cy - s + 1, cy - s + 1, cy - s + 4]) + 0.125::DOUBLE AS y1,
+unnest([cx + s, cx + s, cx, cx - s, cx + s - 1, cx + s - 1, cx + s - 3]) + 0.25::DOUBLE AS x2, unnest([cy - s, cy + s, cy - s // 2, cy - s, cy - s + 1, cy - s + 4, cy - s + 1]) + 0.125::DOUBLE AS y2
+FROM (SELECT n AS seq, n_name AS id, 31 * n % w AS cx, 17 * n % w AS cy, w // 6 + n % 5 AS s FROM (SELECT CAST(n_nationkey AS BIGINT) AS n, n_name FROM nation), dim)"""
+_IN_BASIN = """SELECT c.x, c.y, arg_min(id, seq) AS basin FROM (SELECT c.x, c.y, seq, any_value(id) AS id FROM cells0 c JOIN poly ON c.y BETWEEN least(y1, y2) AND greatest(y1, y2) GROUP BY 1, 2, 3
+HAVING count(*) FILTER (WHERE (y1 > c.y) <> (y2 > c.y) AND c.x < (x2 - x1) * (c.y - y1) / (y2 - y1) + x1) % 2 = 1
+AND NOT bool_or(c.x BETWEEN least(x1, x2) AND greatest(x1, x2) AND (c.x - x1) * (y2 - y1) = (c.y - y1) * (x2 - x1))) c GROUP BY 1, 2"""
+
+
+@query(sql("SELECT x, y, basin FROM cells0 LEFT JOIN held USING (x, y)", poly=_BASIN_EDGES, held=_IN_BASIN))
+def a11_s16_polygon_basins(fx: Fixtures) -> DataFrame:
+    """Darts with a hole, a basin for each nation, written as one GeoJSON file and read back; the first in the file holds a cell."""
+    n, w = F.col("n_nationkey").cast("long"), fx.w
+    cx, cy, s = F.pmod(n * 31, F.lit(w)), F.pmod(n * 17, F.lit(w)), F.lit(w // 6) + n % 5
+    half = F.floor(s / 2).cast("long")
+    ring = lambda *points: F.array(*[F.array(x + F.lit(0.25), y + F.lit(0.125)) for x, y in points])
+    dart = ((cx - s, cy - s), (cx + s, cy - s), (cx + s, cy + s), (cx, cy - half), (cx - s, cy - s))
+    hole = ((cx + s - 3, cy - s + 1), (cx + s - 1, cy - s + 1), (cx + s - 1, cy - s + 4), (cx + s - 3, cy - s + 1))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring(*dart), ring(*hole)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("n_name").alias("id")).alias("properties"), geometry.alias("geometry"))
+    # a file of basins is one small document: the nations in their order
+    listed = fx.table("nation").agg(F.sort_array(F.collect_list(F.struct(n.alias("n"), feature.alias("f")))).alias("l"))
+    folder = f"{_folder(fx)}/basins"
+    listed.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("l.f").alias("features"))).alias("value")).write.text(folder)
+    edges = geojson.basin_edges(fx.spark, folder)
+    first = polygons.first_polygon(fx.cells.select("x", "y"), edges, ("x", "y"), 8.0)
+    return first.join(F.broadcast(edges.select("seq", F.col("id").alias("basin")).distinct()), "seq", "left").select("x", "y", "basin")

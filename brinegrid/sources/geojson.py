@@ -44,6 +44,13 @@ def basins(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def basin_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, id, x1, y1, x2, y2): the edges of the basins of a file, in file order, for `polygons.first_polygon`."""
+    table = basins(spark, path)
+    found = edges(table.withColumnRenamed("seq", "feature")).select(F.col("feature").alias("seq"), "x1", "y1", "x2", "y2")
+    return found.join(table.select("seq", "id"), "seq").select("seq", "id", "x1", "y1", "x2", "y2")
+
+
 def write_paths(paths: DataFrame, path: str) -> None:
     """Paths (route_id, path array of (lon, lat)) as one GeoJSON feature a line."""
     paths.select(line_feature(F.col("path"), F.struct("route_id")).alias("value")).write.text(path)
