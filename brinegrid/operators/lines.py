@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cells import blocked
 from ..functions.geo import angle_between_deg, bearing_deg, planar_distance_nm, rhumb_point
 from ..functions.grid import Grid
 from .lineage import bounded, spread_out
@@ -116,6 +117,16 @@ def clear_straight(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], gr
     return found.select(*keys, (F.col("fine") & (~F.col("both") | F.col("along")) & ~F.col("crosses") & ~F.col("wrong")).alias("clear"))
 
 
+def open_water(lines: DataFrame, cells: DataFrame, keys: tuple[str, ...], least: float) -> DataFrame:
+    """clear: every cell is in the table, deep enough for the line's `draft`, no land, in no zone, off the coast or in a lane; no boundary is crossed."""
+    names = (*keys, "draft") if "draft" not in keys else keys
+    met = walk(spread_out(lines, *keys), names).join(bounded(cells.select("x", "y", "depth", "land", "dist", "lane", "zone", "boundary")), ["x", "y"], "left")
+    off = F.coalesce("lane", F.lit(False)) | F.coalesce(F.col("dist") >= least, F.lit(True))
+    fine = F.coalesce(~F.col("land") & ~blocked(F.col("depth"), F.col("draft"), F.col("zone")) & off, F.lit(False))
+    found = met.groupBy(*keys).agg(F.bool_and(fine).alias("fine"), _facts()["crosses"].alias("crosses"))
+    return found.select(*keys, (F.col("fine") & ~F.col("crosses")).alias("clear"))
+
+
 def sampled(routes: DataFrame, keys: tuple[str, ...], step_nm: float, low: int, high: int) -> DataFrame:
     """Points (keys, i, lon, lat) along the rhumb line of routes (lon1, lat1, lon2, lat2), a step apart."""
     apart = planar_distance_nm(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))

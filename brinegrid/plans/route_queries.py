@@ -266,6 +266,12 @@ def x1_x3_string_pull(fx: Fixtures) -> DataFrame:
     return polyline.farthest_skips(points, polyline.clear_pairs(points, fx.layers, fx.grid, Settings().max_skip, 1.0))
 
 
+@query()
+def x1_string_pull_by_search(fx: Fixtures) -> DataFrame:
+    points = lines.walk(fx.requests, ("route_id", "draft")).withColumnRenamed("i", "seq")
+    return polyline.string_pulled(points, fx.layers, 500, 5.0)
+
+
 @query()
 def x5_x6_douglas_peucker(fx: Fixtures) -> DataFrame:
     return polyline.douglas_peucker(fx.track.withColumn("flag", F.col("lon") > 0), 600.0, "flag").select("route_id", "seq", "lon", "lat")
