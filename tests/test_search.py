@@ -214,3 +214,14 @@ def test_tables_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
     assert "broadcast" in plan().lower()
     monkeypatch.setattr(lineage, "BROADCAST_ROWS", 19)
     assert "broadcast" not in plan().lower()
+
+
+def test_douglas_peucker_takes_many_stretches_in_one_call(spark):
+    from brinegrid.operators import polyline
+
+    points = spark.range(4000).selectExpr("id div 100 as route_id", "id % 100 as seq", "cast(id % 7 as double) as lon", "cast(id % 100 as double) as lat", "id % 10 < 5 as flag")
+    made = polyline.douglas_peucker(points, 30.0, "flag")
+    # a route's stretches are rows of a batch: no group of the plan goes to Python by itself
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.route_id, r.seq) for r in made.collect()}
+    assert {(r, s) for r in range(40) for s in range(100) if s % 5 in (0, 4)} <= got and len(got) < 4000
