@@ -29,6 +29,7 @@ def test_rows_that_are_alike_are_answered_once(spark):
         ("l5_boundary_touch", lines, "touches_boundary"), ("l6_wrong_way", lines, "wrong_way"), ("l7_clear_path", lines, "clear_straight"), ("l8_open_ocean", lines, "open_ocean"),
         ("l1_line_walk", lines, "walk"), ("l9_lane_status", lines, "walk"), ("l10_wrong_way_audit", lines, "walk"), ("c1_corridor", corridor, "straight_corridor"),
         ("c3_two_width_corridor", corridor, "two_width_corridor"), ("a8_reconstruct", lines, "walk"), ("x8_wrong_way_segments", polyline, "segments"), ("x9_bypasses", polyline, "segments"),
+        ("c2_c4_penalties", corridor, "straight_corridor"), ("c4_features", corridor, "straight_corridor"), ("p14_move_costs", corridor, "straight_corridor"), ("x1_x3_string_pull", lines, "walk"),
     ],
 )
 def test_queries_work_on_different_lines_alone(spark, monkeypatch, query, module, name):
