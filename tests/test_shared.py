@@ -40,3 +40,16 @@ def test_queries_work_on_different_lines_alone(spark, monkeypatch, query, module
     monkeypatch.setattr(module, name, lambda df, *a, **k: sizes.append(df.select("route_id").distinct().count() if "route_id" in df.columns else 0) or real(df, *a, **k))
     (cell_queries.QUERIES | route_queries.QUERIES)[query](spark, SF)
     assert sizes and max(sizes) <= 2 * different
+
+
+def test_coarse_distances_equal_relaxation_and_need_no_rounds(spark, monkeypatch):
+    from brinegrid.functions.grid import Grid
+    from brinegrid.operators import search
+
+    grid = Grid("EPSG:4326", 0.1, 0.1, -20.0, 60.0, 560, 72)
+    blocks = spark.range(70 * 9).selectExpr("id % 70 as cx", "id div 70 as cy").filter("(cx * 7 + cy * 5) % 4 <> 0 and not (cx = 30 and cy <> 4)")
+    starts = blocks.filter("cy = 4 and cx in (1, 3, 69)").selectExpr("cx * 1000 + cy as route_id", "cx as x", "cy as y")
+    moves = search.coarse_moves(blocks.selectExpr("0 as route_id", "cx", "cy"), grid, 8).select("x", "y", "nx", "ny", "cost")
+    told = {(r.route_id, r.x, r.y): round(r.cost, 6) for r in search.relaxed(moves, starts).collect()}
+    monkeypatch.setattr(search, "cut", lambda df: pytest.fail("a round was written"))
+    assert {(r.route_id, r.x, r.y): round(r.cost, 6) for r in search.coarse_distances(starts, blocks, grid, 8).collect()} == told and len(told) > 300
