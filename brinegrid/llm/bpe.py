@@ -16,8 +16,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +53,41 @@ LATE = {chr(c): chr(small + c - first) for first, last, small in LATE_CAPITALS f
 LATE_CAPITAL = regex.compile("[" + "".join(LATE) + "]")
 
 
+#: A heap's entry: the rank of a pair times PLACES, plus the place of its left symbol.
+PLACES = 1 << 32
+ASTRAL = re.compile("[\U00010000-\U0010FFFF]")
+
+
 def byte_letters() -> list[str]:
     others = iter(range(0x100, 0x200))
     return [chr(b) if b in set(PRINTABLE) else chr(next(others)) for b in range(256)]
 
 
+def plain_pattern(pattern: str, classes: dict[str, str]) -> re.Pattern | None:
+    """The pattern with its classes written out as ranges of the first 65,536 code points, for the faster module.
+
+    None if a class stands outside brackets, where ranges cannot.
+    """
+    if "\\" in re.sub(r"\[[^\]]*\]", "", pattern):
+        return None
+    every = "".join(map(chr, range(0x10000)))
+    for name, known in classes.items():
+        runs = [m[0] for m in regex.finditer(f"[{known}]+", every, regex.V1)]
+        pattern = pattern.replace(name, "".join([f"\\u{ord(x[0]):04x}-\\u{ord(x[-1]):04x}" for x in runs]))
+    return re.compile(pattern)
+
+
+class Known(dict):
+    """Ids of the words met so far; a new word is encoded when it is asked for."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file (JSON, its contents given as text)."""
 
@@ -65,7 +98,9 @@ class Bpe:
         self.strings = {i: s for s, i in self.ids.items()}
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.base = max(self.ids.values()) + 1
+        self.ranks = {self.ids[a] * self.base + self.ids[b]: rank * PLACES for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.ids[a + b] for a, b in pairs]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings |= {i: s for s, i in self.specials.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
@@ -76,62 +111,72 @@ class Bpe:
         if any(flags) or not plain or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or model["unk_token"] or model["byte_fallback"]:
             raise ValueError("the vocabulary file asks for steps that are not built here")
         # the same classes of characters as in the file, less those that its library does not know yet
-        known = split["pattern"]["Regex"].replace("\\p{L}", f"[\\p{{L}}--[{NOT_YET_LETTERS}]]").replace("\\p{N}", f"[\\p{{N}}--[{NOT_YET_NUMBERS}]]")
+        classes = {"\\p{L}": f"[\\p{{L}}--[{NOT_YET_LETTERS}]]", "\\p{N}": f"[\\p{{N}}--[{NOT_YET_NUMBERS}]]", "\\s": "\\s"}
+        known = split["pattern"]["Regex"]
+        self.plain = plain_pattern(known, classes)
+        for name, held in classes.items():
+            known = known.replace(name, held)
         self.word = regex.compile(known, regex.V1)
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
+        # a byte's symbol inside a word and at its end, or none
+        self.inner, self.last = ([self.ids.get(x + end) for x in byte_letters()] for end in ("", self.suffix))
+        self.known = Known(self.encode_word)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost among equals."""
-        n, ids, ranks = len(symbols), symbols[:], self.ranks
-        before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap = [(*r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        n, ids, base, rank_of = len(symbols), symbols[:], self.base, self.ranks.get
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [rank + i for i in range(n - 1) if (rank := rank_of(ids[i] * base + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else -1
-            if j < 0 or ids[i] != a or ids[j] != b:
+            rank, i = divmod(heapq.heappop(heap), PLACES)
+            j = after[i]
+            if j < 0 or rank_of(ids[i] * base + ids[j]) != rank * PLACES:
                 continue  # stale: one of the two symbols has been merged since
-            ids[i], alive[j], after[i] = new, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := ranks.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, r[1], ids[x], ids[y]))
-        return [ids[i] for i in range(n) if alive[i]]
+            ids[i], k = self.merged[rank], after[j]
+            ids[j], after[j], after[i] = -1, -1, k
+            if k >= 0:
+                before[k] = i
+                if (rank := rank_of(ids[i] * base + ids[k])) is not None:
+                    heapq.heappush(heap, rank + i)
+            if (h := before[i]) >= 0 and (rank := rank_of(ids[h] * base + ids[i])) is not None:
+                heapq.heappush(heap, rank + h)
+        return [x for x in ids if x >= 0]
 
     def encode_word(self, word: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
-        letters = [self.letters[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        return np.array(self.merge([i for x in letters if (i := self.ids.get(x)) is not None]), "<u4").tobytes()
+        raw = word.encode()
+        symbols = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
+        return as_bytes(self.merge([x for x in symbols if x is not None]))
+
+    def words(self, text: str) -> list[str]:
+        return self.word.findall(text) if self.plain is None or ASTRAL.search(text) else self.plain.findall(text)
 
     def encode_plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
         # white space parts words and is dropped, whatever its run, so folding its runs changes nothing
-        words = self.word.findall(lowered(text))
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.encode_word(w)
-        return [known[w] for w in words]
+        return list(map(self.known.__getitem__, self.words(lowered(text))))
 
     def encode(self, text: str) -> bytes:
         out: list[bytes] = []
         at = 0
         for found in self.special.finditer(text):
             out += self.encode_plain(text[at : found.start()])
-            out.append(np.array([self.specials[found[0]]], "<u4").tobytes())
+            out.append(as_bytes([self.specials[found[0]]]))
             at = found.end()
         return b"".join(out + self.encode_plain(text[at:]))
 
     def decode(self, ids: np.ndarray) -> str:
-        strings = self.strings
-        return " ".join([strings[i] for i in ids.tolist()])
+        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 def lowered(text: str) -> str:

@@ -45,6 +45,15 @@ def test_bpe_of_every_character():
         bpe.Bpe(open(path).read().replace('"lstrip": false', '"lstrip": true').replace('"lstrip":false', '"lstrip":true'))
 
 
+def test_bpe_cuts_words_alike_by_both_modules():
+    own = bpe.Bpe(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    for text in (every, "a".join(every), "1".join(every), "don't we'll 12 !!? \x1c\x85\u3000é"):
+        assert own.plain.findall(text) == own.word.findall(text)
+    beyond = "a\U00010400b \U0001F600\U0001D7CE"
+    assert own.words(beyond) == own.word.findall(beyond)
+
+
 def test_bpe_of_no_rows(none):
     assert bpe.encode(none, open(public_tokenizers.path("word_bpe_49k.json")).read()).count() == 0
 
