@@ -85,3 +85,13 @@ def test_nearest_breaks_ties_by_order(spark):
     points = spark.createDataFrame([(0, 0, 10, 2), (2, 0, 20, 1)], "x bigint, y bigint, v int, o int")
     got = {(r.x, r.y): r.v for r in raster.nearest(points, 1, (5, 5), "v", "o").collect()}
     assert got[1, 0] == 20
+
+
+def test_rasterised_holds_no_cells(spark):
+    """Two polygons that overlap, one with a notch: each cell once for each, and no aggregate over cells."""
+    rows = [(1, [(0.0, 0.0), (8.0, 0.0), (8.0, 6.0), (4.0, 2.0), (0.0, 6.0)]), (2, [(1.0, 1.0), (6.0, 1.0), (6.0, 5.0), (1.0, 5.0)])]
+    table = spark.createDataFrame(rows, "f int, ring array<struct<x: double, y: double>>")
+    made = raster.rasterised(raster.polygon_edges(table, ("f",), "ring"), ("f",), (10, 10))
+    got = [(r.f, r.x, r.y) for r in made.collect()]
+    assert len(got) == len(set(got)) and {(2, x, y) for x in range(1, 6) for y in range(1, 5)} == {g for g in got if g[0] == 2}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
