@@ -5,7 +5,7 @@ distinct words, capitals and marks, hashed into 2**18 features. On a sample of
 at most `sample` labelled rows (those whose ids hash lowest) the log ratio of each feature's smoothed class counts scales
 its indicator, rows are brought to length one, and dual coordinate descent fits the hinge loss. Features that fewer than RARE
 sampled rows hold are dropped inside the tasks, and rows are taken, in the order of the ids' hashes, while they hold no more
-than FEATURES together, so what the driver fits is bounded whatever the texts' lengths; every text is scored.
+than FEATURES together, so what one task fits is bounded whatever the texts' lengths; every text is scored.
 
 Defined cases: null text is empty and has only the indicators of its shape; a text of any length is scored whole; a document with several labels counts once,
 with label 1 if their mean is at least 0.5; null labels or ids teach nothing; with labels of one class only, or none,
@@ -33,7 +33,7 @@ EPOCHS = 20
 SMOOTH = 1.0
 #: A feature that fewer sampled rows hold says nothing.
 RARE = 5
-#: Features of all sampled rows together that the driver holds (four bytes each).
+#: Features of all sampled rows together that the fitting task holds (four bytes each).
 FEATURES = 1 << 25
 
 
@@ -146,19 +146,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col
     sizes = held.groupBy("draw").agg(F.sum(F.octet_length("features") / 4).alias("n")).orderBy("draw").collect()
     fits = np.cumsum([r["n"] for r in sizes]) <= FEATURES
     last = sizes[max(int(fits.sum()) - 1, 0)]["draw"] if sizes else 0
-    got = held.filter(F.col("draw") <= last).select("y", "features").toArrow()
-    y = got.column("y").to_numpy()
-    if len(set(y.tolist())) < 2:
-        return float(y[0]) if len(y) else 0.5
-    packed = got.column("features").to_pylist()
-    del got
-    # rows in an order of their own, so that the fit does not depend on how Spark dealt them
-    order = sorted(range(len(y)), key=lambda i: (packed[i], y[i]))
-    y = y[order]
-    held = [np.frombuffer(packed[i], "<u4") for i in order]
-    ratio = log_ratios(held, y)
-    w = descend(held, ratio, y)
-    return np.stack([w[:-1], ratio**2]).astype(np.float32), float(w[-1])
+    chosen = held.filter(F.col("draw") <= last).select("y", "features")
+    # the sample, of bounded size, is fitted by a task: the driver gets the weights alone
+    got = chosen.groupBy().applyInArrow(_fitted, "share double, weights binary, squares binary, intercept double").first()
+    if got is None or got["weights"] is None:
+        return got["share"] if got else 0.5
+    return np.stack([np.frombuffer(got[k], "<f4") for k in ("weights", "squares")]), got["intercept"]
+
+
+def _fitted(sample: pa.Table) -> pa.Table:
+    """The weights, or the one label's share, of rows (y, features)."""
+    y, packed = sample.column("y").to_numpy(), sample.column("features").to_pylist()
+    weights = squares = intercept = None
+    if len(set(y.tolist())) > 1:
+        # rows in an order of their own, so that the fit does not depend on how Spark dealt them
+        order = sorted(range(len(y)), key=lambda i: (packed[i], y[i]))
+        y = y[order]
+        held = [np.frombuffer(packed[i], "<u4") for i in order]
+        ratio = log_ratios(held, y)
+        w = descend(held, ratio, y)
+        weights, squares, intercept = w[:-1].astype("<f4").tobytes(), (ratio**2).astype("<f4").tobytes(), float(w[-1])
+    kinds = {"share": pa.float64(), "weights": pa.binary(), "squares": pa.binary(), "intercept": pa.float64()}
+    return pa.table({k: pa.array([x], kind) for (k, kind), x in zip(kinds.items(), (float(y[0]), weights, squares, intercept), strict=True)})
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | float, text_col: str = "text", out: str = "score") -> DataFrame:

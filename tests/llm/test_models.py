@@ -367,3 +367,21 @@ def test_common_subsequence():
         for k, w in enumerate(a):
             masks[w] = masks.get(w, 0) | 1 << k
         assert decontam.common_subsequence(masks, len(a), b) == slow(a, b)
+
+
+def test_quality_is_fitted_by_a_task(spark, monkeypatch):
+    """The driver asks for the weights, not for the sample's features, and gets what a plain fit gives."""
+    texts = [f"{'good plain words' if i % 2 else '$$$ buy now'} number {i % 7}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    fit = lambda of: quality.fit(docs, of, F.lit(True), "doc_id", "text", "quality")
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("the sample went to the driver"))
+    weights, intercept = fit(labels)
+    found = [quality.indicators(quality.Texts(pa.array([t])))[1].astype("<u4") for t in texts]
+    common = np.bincount(np.concatenate(found), minlength=1 << quality.BITS) >= quality.RARE
+    rows = sorted(((f[common[f]].tobytes(), i % 2) for i, f in enumerate(found)))
+    held, y = [np.frombuffer(f, "<u4") for f, _ in rows], np.array([y for _, y in rows])
+    ratio = quality.log_ratios(held, y)
+    w = quality.descend(held, ratio, y)
+    assert np.array_equal(weights, np.stack([w[:-1], ratio**2]).astype(np.float32)) and intercept == w[-1]
+    assert fit(labels.filter("quality = 1")) == 1.0 and fit(labels.filter("false")) == 0.5
