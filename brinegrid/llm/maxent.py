@@ -10,9 +10,10 @@ The class of a word is scored by features of the history, in two parts:
 * short ones, hashed into a table of fixed size: the word before, the words two and three before (skips), the pair before. Their
   weights start at zero and move by gradient updates over all training tokens: each task sums observed minus expected counts,
   the sums meet in Spark, and a step scales each weight's gradient by its expected count;
-* long ones: the pair before by its full hash, taken where that hash is divisible by EVERY. Each that training tokens show twice or
-  more has weights of its own for the classes seen after it, moved by one such update. They stay in Spark, as a table that grows
-  with the corpus, and meet the texts in a join.
+* long ones: the pair before, whatever its words, by 44 bits of its hash. Each that training tokens show twice or more has weights of
+  its own for the classes seen after it, moved by one such update. Blocks of texts count their own pairs, the counts meet in parts by
+  ranges of the hash, whose number grows with the corpus, and each part gives each block the weights of the pairs that it holds.
+  On their way probabilities are rounded to 1 part in 256, weights to steps of 1/341.
 
 Counts of words, whatever their number, stay in Spark too: the most frequent, at most TOP, go to the tasks, and the
 other words of a text meet their counts in a join.
@@ -25,16 +26,17 @@ Gradients travel as 32-bit floats, so scores of another partitioning may differ
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Texts, Words, mix, slices
-from .scratch import bucketed, materialise, met
-from .sieve import lists
+from .scratch import materialise, met
 from .sums import summed
 
 TOP = 1 << 19
@@ -49,10 +51,15 @@ UPDATES = 2
 RATE = 0.4
 #: Tokens whose scores are held at once (they fit the cache), and tokens whose expected counts are summed at once.
 CHUNK, LONGEST = 1024, 1 << 16
-#: Of the long histories, those whose hash is divisible by it are features.
-EVERY = 16
+#: Tokens of the texts that ask for their long histories together, and of those whose long histories meet in one part.
+BLOCK, PART = 1 << 22, 1 << 21
+#: Bits of a long history's hash, and of the class that follows it in the name of both.
+KEY_BITS, CLASS_BITS = 44, np.uint64(7)
+#: Steps of a rounded weight, and of the rounded logarithm of a probability sum, from LOG_TOP down.
+WEIGHT_STEPS, LOG_STEPS, LOG_TOP = 341, 128, 23.0
 #: What a long history's expected count is raised by, and its largest weight.
 LONG_PRIOR, LONG_MOST = 0.5, 3.0
+NO_KEY = np.uint64(1 << 63)
 #: Log mass of a class without words.
 EMPTY = -30.0
 END = np.uint64(0x5E5E5E5E5E5E5E5F)
@@ -90,49 +97,49 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def long_histories(hashes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the tokens whose pair before, within their text, is a feature."""
-    key = np.zeros(len(hashes), np.uint64)
-    key[2:] = mix(hashes[1:-1] * np.uint64(3) + mix(hashes[:-2]))
-    fit = key % np.uint64(EVERY) == 0
+def long_histories(batch: pa.RecordBatch, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash of the pair before) of the tokens that a pair goes before in their text; a rare word is its own hash."""
+    ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<i4")
+    code = mix(ids.astype(np.uint64))
+    code[ids == TOP] = batch.column("rare").flatten().to_numpy().view(np.uint64)
+    fit = np.ones(len(ids), bool)
     for d in (0, 1):
         near = heads + d
         fit[near[near < len(fit)]] = False
     at = np.flatnonzero(fit)
-    return at, key[at]
+    return at, mix(code[at - 1] * np.uint64(3) + mix(code[at - 2])) >> np.uint64(64 - KEY_BITS)
 
 
 def _encode(top_hash: np.ndarray, top_rank: np.ndarray, top_log: np.ndarray) -> Callable:
     """top_*: sorted by hash: rank by count, and log10 of the smoothed count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, before = TaskContext.get().partitionId() << 33, 0
         for whole in batches:
             for part in slices(whole, "text"):
                 hashes, offsets = tokens(part)
                 kinds, back = np.unique(hashes, return_inverse=True)
                 at = np.minimum(np.searchsorted(top_hash, kinds), max(len(top_hash) - 1, 0))
                 known = top_hash[at] == kinds if len(top_hash) else np.zeros(len(kinds), bool)
-                rank = np.where(known, top_rank[at] if len(top_hash) else 0, VOCABULARY)
+                rank = np.where(known, top_rank[at] if len(top_hash) else 0, TOP)
                 logs = np.where(known, top_log[at] if len(top_hash) else 0.0, 0.0)
-                ids = np.minimum(rank, VOCABULARY)[back].astype("<i4")
+                ids = rank[back].astype("<i4")
                 rare = ~known[back]
                 heads = offsets[:-1]
                 n_rare = np.append(0, np.cumsum(rare))[offsets].astype(np.int32)
                 rest = pa.ListArray.from_arrays(n_rare, pa.array(hashes[rare].view(np.int64)))
                 data = ids.tobytes()
                 packed = [data[4 * a : 4 * b] for a, b in zip(offsets, offsets[1:], strict=False)]
-                at, key = long_histories(hashes, heads)
-                per = np.searchsorted(at, offsets).astype(np.int32)
-                held = [pa.array((at - np.repeat(heads, np.diff(per))).astype(np.int32)), pa.array(key.view(np.int64))]
-                long = pa.ListArray.from_arrays(per, pa.StructArray.from_arrays(held, ["at", "key"]))
-                columns = [part.column("id"), part.column("num"), part.column("train"), pa.array(np.diff(offsets)), pa.array(packed, pa.binary()), rest, pa.array(np.add.reduceat(logs[back], heads)), long]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "num", "train", "n", "ids", "rare", "logs", "long"])
+                blocks = block + (before + heads) // BLOCK
+                before += int(offsets[-1])
+                columns = [part.column("id"), part.column("num"), part.column("train"), pa.array(np.diff(offsets)), pa.array(packed, pa.binary()), rest, pa.array(np.add.reduceat(logs[back], heads)), pa.array(blocks)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "num", "train", "n", "ids", "rare", "logs", "block"])
 
     return run
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, starts) of documents' tokens end to end, about `limit` at a time."""
+    """(ids, starts) of documents' tokens end to end, about `limit` at a time; words outside the vocabulary have one id."""
     held: list[bytes] = []
     size = 0
     for batch in batches:
@@ -147,7 +154,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator
 
 
 def _joined(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(held), "<i4").astype(np.int64), np.cumsum([0, *(len(x) // 4 for x in held)])[:-1]
+    return np.minimum(np.frombuffer(b"".join(held), "<i4"), VOCABULARY).astype(np.int64), np.cumsum([0, *(len(x) // 4 for x in held)])[:-1]
 
 
 def _near(ids: np.ndarray, starts: np.ndarray, reach: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -284,54 +291,188 @@ def _expected(weights: np.ndarray, bias: np.ndarray) -> Callable:
     return work
 
 
-def _long(weights: np.ndarray, bias: np.ndarray, classes: np.ndarray) -> Callable:
-    """(key, num, at, y, p, train) for each long history: the class y after it, and its probability by the short features."""
+ASKED = "part int, block bigint, size int, data binary"
+ANSWERS = "block bigint, part int, named boolean, size int, more int, data binary"
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _bounds(keys: np.ndarray, parts: int) -> list[int]:
+    """Where the keys of each part begin among sorted ones, and the end."""
+    return np.searchsorted((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64)).tolist()
+
+
+def packed(ordered: np.ndarray, *more: np.ndarray) -> bytes:
+    """Arrays, the first one sorted and taken as differences, byte by byte of all values, compressed."""
+    arrays = [np.diff(ordered, prepend=np.uint64(0)), *more]
+    return pa.compress(b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: tuple[int, str]) -> list[np.ndarray]:
+    """The arrays of `packed`, given the length and type of each."""
+    widths = [n * np.dtype(k).itemsize for n, k in kinds]
+    raw, ends = np.frombuffer(pa.decompress(data, sum(widths), "zstd"), np.uint8), np.cumsum(widths).tolist()
+    out = [np.ascontiguousarray(raw[end - w : end].reshape(-1, n).T).view(k).reshape(-1) if n else np.zeros(0, k) for (n, k), w, end in zip(kinds, widths, ends, strict=True)]
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+def _asked(weights: np.ndarray, bias: np.ndarray, classes: np.ndarray, parts: int) -> Callable:
+    """Rows of ASKED: for each block and part, packed, the long histories with the class y after each (kinds), the number n of
+    training tokens where they stand, and their summed probability p of y by the short features."""
+
+    def out(block: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        kinds, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(kinds)
+        kinds, n, p = kinds[order], n[order], p[order]
+        first = _heads(kinds)
+        kinds = kinds[first]
+        n, p = np.add.reduceat(n, first).astype("<u4"), np.add.reduceat(p, first)
+        p = np.clip(np.rint((LOG_TOP - np.log(np.maximum(p, 1e-30))) * LOG_STEPS), 0, 65535).astype("<u2")
+        low = _bounds(kinds >> CLASS_BITS, parts)
+        held = [(k, b - a, packed(kinds[a:b], n[a:b], p[a:b])) for k, (a, b) in enumerate(zip(low, low[1:], strict=False)) if b > a]
+        part, size, data = zip(*held, strict=True)
+        columns = [pa.array(part, pa.int32()), pa.array([block] * len(part), pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", "size", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = -1, []
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                ids, starts = _joined(batch.column("ids").to_pylist())
-                got, row = lists(batch, "long")
-                place = starts[row] + got["at"]
-                y = classes[ids[place]]
-                p = np.exp(class_logs(weights, bias, features(ids, starts, place), y))
-                of = pa.array(row)
-                columns = [pa.array(got["key"]), batch.column("num").take(of), pa.array(got["at"]), pa.array(y.astype(np.int32)), pa.array(p), batch.column("train").take(of)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "num", "at", "y", "p", "train"])
+            ends = np.append(_heads(whole.column("block").to_numpy()), whole.num_rows).tolist()
+            for begin, end in zip(ends, ends[1:], strict=False):
+                new = whole.column("block")[begin].as_py()
+                if held and new != block:
+                    yield out(block, held)
+                    held = []
+                block = new
+                for lo in range(begin, end, 256):
+                    batch = whole.slice(lo, min(256, end - lo))
+                    ids, starts = _joined(batch.column("ids").to_pylist())
+                    place, key = long_histories(batch, starts)
+                    if not len(place):
+                        continue
+                    y = classes[ids[place]]
+                    train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), np.diff(np.append(starts, len(ids))))[place]
+                    p = np.zeros(len(place), np.float32)
+                    p[train] = np.exp(class_logs(weights, bias, features(ids, starts, place[train]), y[train]))
+                    held.append((key << CLASS_BITS | y.astype(np.uint64), train.astype(np.int32), p))
+        if held:
+            yield out(block, held)
 
     return run
 
 
-def long_features(seen: DataFrame) -> DataFrame:
-    """(num, long): for each text the places of its long histories that training tokens show again, with weights by class."""
-    counts = seen.filter("train").groupBy("key", "y").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
-    total = counts.groupBy("key").agg(F.sum("n").alias("c"), F.collect_list(F.struct("y", "n", "p")).alias("after")).filter("c > 1")
+def long_weights(kinds: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kinds, weights) of the long histories that training tokens show twice or more, sorted, those of weight 0 left out."""
+    order = np.argsort(kinds)
+    kinds = kinds[order]
+    first = _heads(kinds)
+    kinds, n, p = kinds[first], np.add.reduceat(n[order].astype(np.int64), first), np.add.reduceat(p[order].astype(np.float64), first)
+    heads = _heads(kinds >> CLASS_BITS)
+    c = np.repeat(np.add.reduceat(n, heads), np.diff(np.append(heads, len(n))))
     # p is summed over the places of class y; at all c places of the history it is about the same
-    expected = lambda x: F.col("c") * x["p"] / x["n"]
-    weight = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(LONG_MOST), (x["n"] - expected(x)) / (expected(x) + LONG_PRIOR))).cast("float")
-    table = materialise(total.select("key", "c", F.transform("after", lambda x: F.struct(x["y"].alias("y"), weight(x).alias("w"))).alias("after")), "histories")
-    hit = met(seen.select("key", "num", "at"), table, ["key"]).select("num", F.transform("after", lambda x: F.struct("at", x["y"].alias("y"), x["w"].alias("w"))).alias("one"))
-    return hit.groupBy("num").agg(F.flatten(F.collect_list("one")).alias("long"))
+    expected = c * p / np.maximum(n, 1)
+    weight = np.clip((n - expected) / (expected + LONG_PRIOR), 0.0, LONG_MOST)
+    fit = (n > 0) & (c > 1) & (weight > 0)
+    return kinds[fit], weight[fit]
+
+
+def _taken(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run, `many` of each."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Rows of ANSWERS: to each block that asks in a part, packed, the weights of those of its long histories that have some: their
+    numbers among those asked for, or themselves (named) if two tasks have read the block."""
+    sizes = table.column("size").to_pylist()
+    held = [unpacked(x, (n, "<u8"), (n, "<u4"), (n, "<u2")) for n, x in zip(sizes, table.column("data").to_pylist(), strict=True)]
+    kinds, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
+    known, weight = long_weights(kinds, n, np.exp(LOG_TOP - p / LOG_STEPS))
+    weight = np.rint(weight * WEIGHT_STEPS).astype("<u2")
+    known, weight = known[weight > 0], weight[weight > 0]
+    first = _heads(known >> CLASS_BITS)
+    names, many = known[first] >> CLASS_BITS, np.diff(np.append(first, len(known)))
+    blocks, out = table.column("block").to_pylist(), []
+    times = Counter(blocks)
+    for block, part, (asked, _, _) in zip(blocks, table.column("part").to_pylist(), held, strict=True):
+        keys = asked >> CLASS_BITS
+        keys = keys[_heads(keys)]
+        at = np.searchsorted(names, keys)
+        hit = np.append(names, NO_KEY)[at] == keys
+        if hit.any():
+            at = at[hit]
+            take = _taken(first[at], many[at])
+            classes = (known[take] & np.uint64((1 << int(CLASS_BITS)) - 1)).astype(np.uint8)
+            named = times[block] > 1
+            out.append((block, part, named, len(at), len(take), packed(keys[hit] if named else np.flatnonzero(hit).astype(np.uint64), many[at].astype(np.uint8), classes, weight[take])))
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["block", "part", "named", "size", "more", "data"])
+
+
+class Answers:
+    """The long histories of a block that have weights, sorted, and the classes and weights of each."""
+
+    def __init__(self, table: pa.Table, asked: np.ndarray, parts: int):
+        """asked: the block's long histories, sorted, each once."""
+        self.keys, low = np.zeros(0, np.uint64), _bounds(asked, parts)
+        got = []
+        for part, named, n, m, x in zip(*(table.column(c).to_pylist() for c in ("part", "named", "size", "more", "data")), strict=True) if table.num_rows else ():
+            keys, many, classes, weights = unpacked(x, (n, "<u8"), (n, "u1"), (m, "u1"), (m, "<u2"))
+            got.append((keys if named else asked[low[part] + keys.astype(np.int64)], many, classes, weights))
+        if got:
+            keys, many, self.classes, weights = (np.concatenate(x) for x in zip(*got, strict=True))
+            self.weights = (weights / WEIGHT_STEPS).astype(np.float32)
+            many = many.astype(np.int64)
+            self.keys, one = np.unique(keys, return_index=True)
+            self.first, self.many = (np.cumsum(many) - many)[one], many[one]
+
+    def of(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(place, class, weight), by place, of the places whose pair before is `key`."""
+        if not len(self.keys):
+            return None
+        at = np.searchsorted(self.keys, key)
+        hit = np.append(self.keys, NO_KEY)[at] == key
+        at = at[hit]
+        take = _taken(self.first[at], self.many[at])
+        return np.repeat(place[hit], self.many[at]), self.classes[take].astype(np.int64), self.weights[take]
+
+
+def _boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, texts): 256 texts of a block or fewer as one value, compressed, which a shuffle moves at half the size."""
+    for whole in batches:
+        ends = np.append(_heads(whole.column("block").to_numpy()), whole.num_rows).tolist()
+        for begin, end in zip(ends, ends[1:], strict=False):
+            for lo in range(begin, end, 256):
+                part = whole.slice(lo, min(256, end - lo))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([part.column("block")[:1], pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
 
 
-def _score(weights: np.ndarray, bias: np.ndarray, classes: np.ndarray, inside: np.ndarray) -> Callable:
+def _score(weights: np.ndarray, bias: np.ndarray, classes: np.ndarray, inside: np.ndarray, parts: int) -> Callable:
     """Adds `model`: the sum over tokens of log10 P(class | history), less log10 of the class's total smoothed count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+    def run(boxes: pa.Table, answers: pa.Table) -> pa.Table:
+        held, done = [], []
+        for box in boxes.column("texts").to_pylist():
+            for batch in pa.ipc.open_stream(box):
                 ids, starts = _joined(batch.column("ids").to_pylist())
-                y, every = classes[ids], features(ids, starts)
-                got, row = lists(batch, "long")
-                place = starts[row] + got["at"]
-                order = np.argsort(place, kind="stable")
-                place, kind, weight = place[order], got["y"][order], got["w"][order]
-                logs = class_logs(weights, bias, every, y, (place, kind, weight)).astype(np.float64)
-                out = np.add.reduceat(logs / np.log(10) - inside[y], starts)
-                rest = batch.drop_columns(["ids", "long"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out)], [*rest.schema.names, "model"])
+                held.append((batch, *long_histories(batch, starts)))
+        known = Answers(answers, np.unique(np.concatenate([key for _, _, key in held])), parts)
+        for batch, place, key in held:
+            ids, starts = _joined(batch.column("ids").to_pylist())
+            y = classes[ids]
+            logs = class_logs(weights, bias, features(ids, starts), y, known.of(place, key)).astype(np.float64)
+            rest = batch.select(["id", "num", "n", "rare", "logs"])
+            done.append(pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.add.reduceat(logs / np.log(10) - inside[y], starts))], [*rest.schema.names, "model"]))
+        return pa.Table.from_batches(done)
 
     return run
 
@@ -366,9 +507,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     top_hash, top_count = most_frequent(counts)
     order = np.argsort(top_hash)
     table = spark.sparkContext.broadcast((top_hash[order], order.astype(np.int64), np.log10(top_count[order] + SMOOTH)))
-    shape = f"id {kind}, num bigint, train boolean, n bigint, ids binary, rare array<bigint>, logs double, long array<struct<at: int, key: bigint>>"
+    shape = f"id {kind}, num bigint, train boolean, n bigint, ids binary, rare array<bigint>, logs double, block bigint"
     coded = rows.withColumn("num", F.monotonically_increasing_id()).mapInArrow(lambda batches: _encode(*table.value)(batches), shape)
-    coded = bucketed(coded, "num", "coded")
+    coded = materialise(coded, "coded")
 
     own = top_count[:VOCABULARY].astype(np.float64)
     learn = coded.filter("train").select("ids")
@@ -399,11 +540,14 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     size[-1] = total - own.sum() + SMOOTH * (kinds - len(own) + 1)
     inside = np.log10(np.maximum(size, SMOOTH))
     made = spark.sparkContext.broadcast((weights, bias, classes, inside))
-    seen = coded.select("num", "train", "ids", "long").mapInArrow(lambda batches: _long(*made.value[:3])(batches), "key bigint, num bigint, at int, y int, p float, train boolean")
-    long = long_features(materialise(seen, "seen"))
-    none = F.array().cast("array<struct<at: int, y: int, w: float>>")
-    put = coded.select("id", "num", "n", "ids", "rare", "logs").join(long.hint("shuffle_hash"), "num", "left").select("id", "num", "n", "ids", "rare", "logs", F.coalesce("long", none).alias("long"))
-    scored = materialise(put.mapInArrow(lambda batches: _score(*made.value)(batches), f"id {kind}, num bigint, n bigint, rare array<bigint>, logs double, model double"), "scored")
+    parts = max(1, -(-int(total) // PART))
+    seen = coded.select("block", "train", "ids", "rare").mapInArrow(lambda batches: _asked(*made.value[:3], parts)(batches), ASKED)
+    answers = seen.groupBy("part").applyInArrow(_answered, ANSWERS)
+    boxes = coded.select("block", "id", "num", "n", "ids", "rare", "logs").mapInArrow(_boxed, "block bigint, texts binary")
+    scored = boxes.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        lambda texts, more: _score(*made.value, parts)(texts, more), f"id {kind}, num bigint, n bigint, rare array<bigint>, logs double, model double"
+    )
+    scored = materialise(scored, "scored")
 
     asked = materialise(scored.select("num", F.explode("rare").alias("h")), "asked")
     words = materialise(asked.groupBy("h").agg(F.count("*").alias("times")).join(counts, "h", "left"), "met")

@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -229,6 +229,53 @@ def test_probabilities_sum_to_one(spark):
     assert math.isclose(sum(word(k, counts[w]) for k, w in enumerate(ranked)) + word(maxent.VOCABULARY, 0), 1.0, rel_tol=1e-6)
 
 
+def test_scores_equal_plain_ones_of_all_pairs(spark, monkeypatch):
+    """Every pair before a token that training texts show twice has weights, whatever its hash and the number of parts."""
+    rng = random.Random(9)
+    names = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.choices(names, weights=range(1, 31), k=rng.choice((0, 1, 2, 40))))) for k in range(80)]
+    train = {k: k % 10 != 0 for k, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = {}
+    broadcast = spark.sparkContext.broadcast
+
+    def keep(value):
+        if isinstance(value, tuple) and len(value) == 4:
+            made["model"] = value
+        return broadcast(value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: keep(value))
+    got = {r.id: r.score for r in maxent.score(docs, F.col("id") % 10 != 0).collect()}
+    weights, bias, classes, inside = made["model"]
+    texts = {k: [*t.split(), "\n"] for k, t in rows}
+    counts = Counter(w for k in texts if train[k] for w in texts[k])
+    order = lambda w: (-counts[w], int(maxent.tokens(pa.RecordBatch.from_arrays([pa.array([w.strip()])], ["text"]))[0][:1].view(np.int64)[0]))
+    rank = {w: k for k, w in enumerate(sorted(counts, key=order))}
+    ids = {k: [rank[w] for w in t] for k, t in texts.items()}
+    after, logs = defaultdict(lambda: defaultdict(list)), {}
+    for k, t in ids.items():
+        for i, w in enumerate(t):
+            logs[k, i] = plain_logs(weights, bias, t, i)[1]
+            if train[k] and i > 1:
+                after[t[i - 2], t[i - 1]][classes[w]].append(math.exp(logs[k, i][classes[w]]))
+    weighed = 0
+    for k, t in ids.items():
+        total = 0.0
+        for i, w in enumerate(t):
+            z, seen = logs[k, i].copy(), after.get((t[i - 2], t[i - 1]), {}) if i > 1 else {}
+            c = sum(map(len, seen.values()))
+            for y, ps in seen.items() if c > 1 else ():
+                expected = c * sum(ps) / len(ps)
+                z[y] += min(max((len(ps) - expected) / (expected + maxent.LONG_PRIOR), 0), maxent.LONG_MOST)
+                weighed += 1
+            y = classes[w]
+            total += math.log10(counts[texts[k][i]] + maxent.SMOOTH) + (z[y] - math.log(sum(math.exp(x) for x in z))) / math.log(10) - inside[y]
+        assert got[k] == pytest.approx(total, abs=0.03)  # weights are rounded
+    assert weighed > 1000
+    monkeypatch.setattr(maxent, "PART", 100)
+    assert {r.id: r.score for r in maxent.score(docs, F.col("id") % 10 != 0).collect()} == pytest.approx(got, rel=1e-5)
+
+
 def test_texts_that_occur_twice_score_higher(spark):
     """The long histories know what the corpus holds: copies of trained texts gain on texts of the same words."""
     rng = random.Random(15)
