@@ -1,9 +1,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from brinegrid.llm import debruijn, suffix_dedup
+from brinegrid.llm import debruijn, sieve, suffix_dedup
 from brinegrid.llm.sieve import sliding_min
 
 from .conftest import table
@@ -58,3 +59,25 @@ def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 1000, 57).astype(np.uint64)
     for width in (1, 2, 7, 57):
         assert sliding_min(x, width).tolist() == [min(x[i : i + width]) for i in range(len(x) - width + 1)]
+
+
+def test_anchors_do_not_depend_on_slices(texts, monkeypatch):
+    """Texts are taken in slices that fit the cache, and come out as from one slice."""
+    part = pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts]), pa.array(range(len(texts)))], ["text", "num"])
+    found = []
+    for size in (sieve.SLICE, 1 << 12, 1 << 20):
+        monkeypatch.setattr(sieve, "SLICE", size)
+        found.append(pa.Table.from_batches(sieve._anchored(sieve.Units("bytes", 400, 200))([part])))
+    assert found[0].num_rows and all(x.equals(found[0]) for x in found)
+    monkeypatch.undo()
+    assert sieve.SLICE * 8 <= 1 << 20
+
+
+def test_passages_of_many_words_are_judged_by_bytes(spark):
+    """A passage of over 50 words that repeats is removed from 400 bytes on, and stays below, as the contract has it."""
+    own = lambda k: " ".join(f"{k}x{i * 7919 + k * 104729:x}" for i in range(40))
+    for size, gone in ((400, 400), (399, 0)):
+        passage = (" ".join(f"w{i:04}" for i in range(70)))[: size - 2]
+        rows = [f"{own(k)}{k}<{passage}>{k + 5}{own(k + 9)}" for k in range(2)]
+        assert len(passage.split()) > 50
+        assert [r.removed for r in suffix_dedup.dedup_bytes(table(spark, rows)).collect()] == [gone, gone]
