@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from brinegrid.functions.grid import Grid
 from brinegrid.operators import lines, polyline, tiled_lines
 from brinegrid.plans.route_queries import QUERIES
 
@@ -35,3 +36,18 @@ def test_line_cells_are_those_of_the_walk(spark):
 def test_string_pulling_by_search_joins_no_cells_of_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "open_water", lambda *a: pytest.fail("lines were tested as rows"))
     assert QUERIES["x1_string_pull_by_search"](spark, "/root/testdata/sf0.001").count() > 150
+
+
+def test_farthest_seen_equals_skips_over_clear_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    odd = lambda p, v: rng.choices([v, None], [1 - p, p])[0]
+    world = [(x, y, odd(0.01, rng.random() < 0.02), odd(0.5, float(rng.randrange(0, 5))), lane := rng.random() < 0.3, rng.randrange(8) * 45 if lane and rng.random() < 0.8 else None, rng.random() < 0.01, rng.random() < 0.02) for x in range(90) for y in range(90) if (x, y) != (40, 40)]
+    layers = spark.createDataFrame(world, "x long, y long, land boolean, dist double, lane boolean, lane_dir long, zone boolean, boundary boolean")
+    grid = Grid("EPSG:4326", 0.1, 0.1, 0.0, 60.0, 90, 90)
+    ends = [(k, rng.randrange(90), rng.randrange(90), rng.randrange(90), rng.randrange(90)) for k in range(40)] + [(50, 5, 5, 5, 5), (51, 5, 5, 6, 5)]
+    points = lines.walk(spark.createDataFrame(ends, "route_id long, x0 long, y0 long, x1 long, y1 long"), ("route_id",)).withColumnRenamed("i", "seq").cache()
+    rows = lambda df: sorted((r.route_id, r.seq, r.x, r.y) for r in df.collect())
+    want = rows(polyline.farthest_skips(points, polyline.clear_pairs(points, layers, grid, 12, 1.0)))
+    monkeypatch.setattr(lines, "clear_straight", lambda *a: pytest.fail("lines were tested as rows"))
+    assert rows(polyline.farthest_seen(points, layers, grid, 12, 1.0)) == want
+    assert len(ends) * 2 < len(want) < points.count() * 0.9
