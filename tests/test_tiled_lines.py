@@ -51,3 +51,8 @@ def test_farthest_seen_equals_skips_over_clear_pairs(spark, monkeypatch):
     monkeypatch.setattr(lines, "clear_straight", lambda *a: pytest.fail("lines were tested as rows"))
     assert rows(polyline.farthest_seen(points, layers, grid, 12, 1.0)) == want
     assert len(ends) * 2 < len(want) < points.count() * 0.9
+
+
+def test_simplification_joins_no_cells_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(lines, "clear_straight", lambda *a: pytest.fail("lines were tested as rows"))
+    assert QUERIES["x4_lane_aware_simplify"](spark, "/root/testdata/sf0.001").count() > 300
